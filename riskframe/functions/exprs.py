@@ -70,3 +70,26 @@ def round_n(c: str | Column, n: int = 6) -> Column:
 
 def quote_all(names: Sequence[str]) -> list[Column]:
     return [col(n) for n in names]
+
+
+def py_round(c: str | Column, digits: int) -> Column:
+    """Python ``round(x, digits)`` for doubles: correctly rounded from the
+    exact binary value, ties to even (``round(2.675, 2) == 2.67``).
+
+    Spark's ``bround`` rounds the shortest decimal text instead, so it
+    disagrees near decimal ties; ``format_number`` uses the exact value."""
+    text = F.regexp_replace(F.format_number(col(c), digits), ",", "")
+    return F.when(col(c).isNull(), F.lit(None).cast("double")).otherwise(text.cast("double"))
+
+
+def py_fixed(c: str | Column, digits: int) -> Column:
+    """Python ``f"{x:.{digits}f}"`` (no grouping separators)."""
+    return F.regexp_replace(F.format_number(col(c), digits), ",", "")
+
+
+def py_signed_percent(c: str | Column, digits: int = 1) -> Column:
+    """Python ``f"{x:+.{digits}%}"``."""
+    x = col(c) * F.lit(100.0)
+    body = py_fixed(x, digits)
+    sign = F.when(F.substring(body, 1, 1) == "-", F.lit("")).otherwise(F.lit("+"))
+    return F.concat(sign, body, F.lit("%"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.exprs import literal_map
+from ..functions.exprs import literal_map, py_round
 
 
 def log_day(ts: str = "ts"):
@@ -38,8 +38,9 @@ def count_by(log: DataFrame, key: str) -> DataFrame:
 
 
 def avg_probability(log: DataFrame, decimals: int = K.PROBABILITY_DECIMALS) -> DataFrame:
-    """US4: mean probability rounded half-even to 4 places; empty log -> 0.0."""
-    return log.agg(F.coalesce(F.bround(F.avg("probability"), decimals),
+    """US4: mean probability rounded to 4 places (Python ``round``); empty
+    log -> 0.0."""
+    return log.agg(F.coalesce(py_round(F.avg("probability"), decimals),
                               F.lit(0.0)).alias("avg_probability"))
 
 
@@ -74,7 +75,7 @@ def summary(log: DataFrame, ts: str = "ts",
         F.map_from_entries(F.collect_list(F.when(is_mode, F.struct("key", "n")))).alias("by_mode"),
         F.map_from_entries(F.collect_list(
             F.when(F.col("section") == "risk", F.struct("key", "n")))).alias("by_risk_level"),
-        F.coalesce(F.bround(p_total / F.sum(F.when(is_mode, F.col("n"))), decimals),
+        F.coalesce(py_round(p_total / F.sum(F.when(is_mode, F.col("n"))), decimals),
                    F.lit(0.0)).alias("avg_probability"),
         F.array_sort(F.collect_list(F.when(
             F.col("section") == "day",

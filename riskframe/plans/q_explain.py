@@ -1 +1,158 @@
-"""Placeholder."""
+"""Queries EX1-EX4: ablation explanations of the fixed survey scorer."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import constants as K
+from ..functions.exprs import col, literal_map, py_fixed, yes_no
+from ..operators import encode as EN
+from ..operators import explain as EX
+from ..operators import prep as PR
+from ..operators.models import SURVEY_TEST_SCORER, LinearScorer
+from ..sources.fixtures import oracle_views, view
+from .registry import register, rounded
+
+SCORER = SURVEY_TEST_SCORER
+FEATURES = K.BASIC_FEATURES
+
+
+def _clean(spark, sf):
+    return PR.clean_survey(view(spark, sf, "survey_raw"))
+
+
+def survey_baseline(clean) -> dict[str, float]:
+    """0 after scaling: the column mean for scaled columns, 0 for binaries."""
+    stats = EN.fit_scaler(clean, K.BASIC_SCALE_COLS)
+    return {f: (stats[f][0] if f in stats else 0.0) for f in FEATURES}
+
+
+_REVERSE = {
+    "Age": K.AGE_GROUP_CODES, "Diabetes": K.DIABETES_CODES, "GenHlth": K.GEN_HEALTH_CODES,
+    "Education": K.EDUCATION_CODES, "Income": K.INCOME_CODES,
+}
+
+
+def survey_display() -> dict:
+    """Display text per feature for a survey model row (codes shown with the
+    request vocabulary, binaries as yes/no)."""
+    out = {}
+    for f in FEATURES:
+        if f == "Sex":
+            out[f] = F.when(col(f) == 1, F.lit(K.MALE_TEXT)).otherwise(F.lit(K.FEMALE_TEXT))
+        elif f in K.BASIC_BINARY_COLS:
+            out[f] = yes_no(col(f) == 1)
+        elif f == "BMI":
+            out[f] = py_fixed(col(f), 1)
+        elif f in _REVERSE:
+            out[f] = literal_map([(code, key) for key, code in _REVERSE[f]])[col(f).cast("int")]
+        else:
+            out[f] = col(f).cast("int").cast("string")
+    return out
+
+
+def _topk_array(spark, sf):
+    clean = _clean(spark, sf)
+    base = survey_baseline(clean)
+    c = EX.contributions_linear(SCORER, FEATURES, base)
+    terms = EX.linear_terms(clean, SCORER, ["row_id"] + FEATURES)
+    return terms.select("row_id", *FEATURES, EX.top_k(c).alias("t"))
+
+
+def _responses(spark, sf):
+    t = _topk_array(spark, sf)
+    items = EX.response_items(F.col("t"), K.BASIC_FEATURE_LABELS, survey_display())
+    return t.select("row_id", items.alias("items"))
+
+
+# ---------------------------------------------------------------- oracle SQL
+
+def _num(x: float) -> str:
+    return f"{float(x)!r}e0" if "e" not in repr(float(x)) else repr(float(x))
+
+
+def logit_sql(scorer: LinearScorer, replace: dict | None = None) -> str:
+    replace = replace or {}
+    s = _num(scorer.intercept)
+    for name, w, c in scorer.terms:
+        x = replace.get(name, name)
+        t = f"({x} - {_num(c)})" if c is not None else x
+        s += f" {'-' if w < 0 else '+'} {_num(abs(w))}*{t}"
+    return s
+
+
+def _prob(z: str) -> str:
+    return f"1.0e0 / (1.0e0 + exp(-({z})))"
+
+
+WS = oracle_views("survey_raw")
+_BASE = {f: (f"(SELECT avg({f}) FROM survey_raw)" if f in K.BASIC_SCALE_COLS else "0.0e0")
+         for f in FEATURES}
+_LONG = WS + ", lg AS (" + "\nUNION ALL ".join(
+    f"SELECT row_id, {i} AS idx, '{f}' AS feature, "
+    + (f"{_prob(logit_sql(SCORER))} - {_prob(logit_sql(SCORER, {f: _BASE[f]}))}"
+       if f in SCORER.features else "0.0e0") + " AS contribution FROM survey_raw"
+    for i, f in enumerate(FEATURES)) + ")\n"
+_TOPK = _LONG + """, tk AS (SELECT row_id, idx, feature, contribution,
+ row_number() OVER (PARTITION BY row_id ORDER BY abs(contribution) DESC, idx) AS rank FROM lg)
+"""
+
+
+def _case(expr: str, pairs, default: str = "NULL") -> str:
+    return "CASE " + expr + " " + " ".join(f"WHEN {a} THEN '{b}'" for a, b in pairs) + f" ELSE {default} END"
+
+
+def _display_sql() -> str:
+    parts = []
+    for f in FEATURES:
+        if f == "Sex":
+            e = f"CASE WHEN s.Sex = 1 THEN '{K.MALE_TEXT}' ELSE '{K.FEMALE_TEXT}' END"
+        elif f in K.BASIC_BINARY_COLS:
+            e = f"CASE WHEN s.{f} = 1 THEN '{K.YES_TEXT}' ELSE '{K.NO_TEXT}' END"
+        elif f == "BMI":
+            e = "printf('%.1f', s.BMI)"
+        elif f in _REVERSE:
+            e = _case(f"CAST(s.{f} AS INTEGER)", [(code, key) for key, code in _REVERSE[f]])
+        else:
+            e = f"CAST(CAST(s.{f} AS INTEGER) AS VARCHAR)"
+        parts.append(f"WHEN '{f}' THEN {e}")
+    return "CASE tk.feature " + " ".join(parts) + " END"
+
+
+_LABEL = _case("tk.feature", [(f"'{f}'", lbl) for f, lbl in K.BASIC_FEATURE_LABELS], "tk.feature")
+_RESP = _TOPK + f""", rs AS (SELECT tk.row_id, tk.rank, {_LABEL} AS feature, {_display_sql()} AS value,
+ printf('%.4f', tk.contribution)::DOUBLE AS contribution
+ FROM tk JOIN survey_raw s ON s.row_id = tk.row_id WHERE tk.rank <= 8)
+"""
+
+
+@register("explain_ablation", _LONG + "SELECT row_id, feature, (round(contribution, 6) + 0.0) AS contribution FROM lg")
+def explain_ablation(spark, sf):
+    clean = _clean(spark, sf)
+    return rounded(EX.ablation_linear(clean, SCORER, FEATURES, survey_baseline(clean)))
+
+
+@register("explain_topk", _TOPK + """SELECT row_id, rank, feature, (round(contribution, 6) + 0.0) AS contribution
+FROM tk WHERE rank <= 8""")
+def explain_topk(spark, sf):
+    t = _topk_array(spark, sf)
+    return rounded(EX.explode_ranked(t, "row_id", "t").drop("idx"))
+
+
+@register("explain_response", _RESP + """SELECT row_id, rank, feature, value,
+ (round(contribution, 6) + 0.0) AS contribution FROM rs""")
+def explain_response(spark, sf):
+    return rounded(EX.explode_ranked(_responses(spark, sf), "row_id", "items"))
+
+
+@register("explain_chart", _RESP + """, ct AS (SELECT row_id, 9 - rank - (8 - (SELECT count(*) FROM rs r2
+   WHERE r2.row_id = rs.row_id)) AS position, feature || ' (' || value || ')' AS text, contribution,
+ CASE WHEN starts_with(printf('%.1f', contribution * 100.0), '-') THEN '' ELSE '+' END
+   || printf('%.1f', contribution * 100.0) || '%' AS percent_text,
+ CASE WHEN contribution > 0 THEN 'increase' ELSE 'decrease' END AS direction FROM rs)
+SELECT row_id, position, text, (round(contribution, 6) + 0.0) AS contribution, percent_text, direction FROM ct""")
+def explain_chart(spark, sf):
+    r = _responses(spark, sf)
+    c = r.select("row_id", EX.chart_items(F.col("items")).alias("c"))
+    out = c.select("row_id", F.explode("c").alias("e")).select("row_id", "e.*")
+    return rounded(out)

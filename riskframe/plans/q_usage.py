@@ -31,7 +31,7 @@ def usage_by_risk(spark, sf):
 
 
 @register("usage_avg_probability", W + """
-SELECT round(coalesce(round_even(avg(probability), 4), 0.0), 6) AS avg_probability FROM prediction_log""")
+SELECT round(coalesce(printf('%.4f', avg(probability))::DOUBLE, 0.0), 6) AS avg_probability FROM prediction_log""")
 def usage_avg_probability(spark, sf):
     return rounded(usage.avg_probability(_log(spark, sf)))
 
@@ -44,7 +44,7 @@ def usage_by_day(spark, sf):
 
 @register("usage_summary", W + f"""
 SELECT 'total' AS section, '' AS item, count(*)::BIGINT AS n, NULL::DOUBLE AS value FROM prediction_log
-UNION ALL SELECT 'avg_probability', '', NULL, round(coalesce(round_even(avg(probability), 4), 0.0), 6) FROM prediction_log
+UNION ALL SELECT 'avg_probability', '', NULL, round(coalesce(printf('%.4f', avg(probability))::DOUBLE, 0.0), 6) FROM prediction_log
 UNION ALL SELECT 'by_mode', mode, count(*), NULL FROM prediction_log GROUP BY mode
 UNION ALL SELECT 'by_risk_level', risk_level, count(*), NULL FROM prediction_log GROUP BY risk_level
 UNION ALL SELECT 'by_day', {DAY}, count(*), NULL FROM prediction_log GROUP BY 2""")
@@ -53,7 +53,7 @@ def usage_summary(spark, sf):
 
 
 @register("usage_dashboard", W + f""",
-s AS (SELECT count(*)::BIGINT AS total, coalesce(round_even(avg(probability), 4), 0.0) AS avgp FROM prediction_log),
+s AS (SELECT count(*)::BIGINT AS total, coalesce(printf('%.4f', avg(probability))::DOUBLE, 0.0) AS avgp FROM prediction_log),
 r AS (SELECT risk_level, count(*)::BIGINT AS n FROM prediction_log GROUP BY 1),
 m AS (SELECT mode, count(*)::BIGINT AS n FROM prediction_log GROUP BY 1),
 d AS (SELECT {DAY} AS day, count(*)::BIGINT AS n FROM prediction_log GROUP BY 1)

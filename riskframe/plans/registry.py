@@ -39,7 +39,8 @@ def load_all() -> None:
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every double/float column to ``digits`` places (oracle hygiene)."""
+    """Round every double/float column to ``digits`` places (oracle hygiene);
+    ``+ 0.0`` turns a negative zero into 0.0."""
     from pyspark.sql import functions as F
     from pyspark.sql.types import DoubleType, FloatType
 
@@ -47,6 +48,6 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (DoubleType, FloatType)):
-            c = F.round(c.cast("double"), digits).alias(f.name)
+            c = (F.round(c.cast("double"), digits) + F.lit(0.0)).alias(f.name)
         out.append(c)
     return df.select(*out)

@@ -168,7 +168,6 @@ HISTORY_KEEP = 12
 CHUNK_SPLIT_PATTERN = r"\n(?=## )"
 CHUNK_HEADING_PATTERN = r"^## (.+)"
 TITLE_PREFIX = "# "
-CONTEXT_SOURCE_PREFIX = "Nguồn: "
 
 # Characters Python's str.strip() removes (str.isspace), as a regex class
 # valid in both Java regex and RE2.

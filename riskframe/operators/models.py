@@ -110,6 +110,8 @@ def build_model(model_type: str, params: Mapping[str, object] | None = None,
     if model_type == "random_forest":
         mapped.setdefault("seed", seed)
         mapped.setdefault("featureSubsetStrategy", "sqrt")
+        # more tree nodes per pass over the data: fewer passes (jobs)
+        mapped.setdefault("maxMemoryInMB", 1024)
         return RandomForestClassifier(**common, **mapped)
     if model_type == "logistic_regression":
         c = mapped.pop("C", 1.0)

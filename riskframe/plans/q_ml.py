@@ -1 +1,101 @@
-"""Placeholder."""
+"""Model queries (rows-only checks): ML1-ML4, ML6, ME6-ME12, RA3-RA4.
+
+Forests are non-deterministic across engines (and the reference's forest
+is unseeded), so these are checked by row counts here and by property
+tests in ``tests/``; the oracle-checked path uses the fixed linear scorer.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import constants as K
+from ..operators import encode as EN
+from ..operators import prep as PR
+from ..operators import retrieval as RT
+from ..operators import training as TR
+from ..sources.fixtures import view
+from .registry import register, rounded
+
+
+def _advanced_features(spark, sf):
+    clean = PR.clean_clinical(view(spark, sf, "clinical_raw"))
+    out, _, _, feats = EN.build_advanced(clean)
+    return out, feats
+
+
+def _basic_features(spark, sf):
+    out, _, feats = EN.build_basic(PR.clean_survey(view(spark, sf, "survey_raw")))
+    return out, feats
+
+
+@register("train_forest")
+def train_forest(spark, sf):
+    """ML1 + ML8 + ME12: advanced preset (300 trees, depth 8, balanced)."""
+    df, feats = _advanced_features(spark, sf)
+    _, metrics = TR.train_and_evaluate(df, feats, "random_forest", K.FOREST_ADVANCED_LOCAL, key="id")
+    return rounded(metrics)
+
+
+@register("train_logistic")
+def train_logistic(spark, sf):
+    """ML2: logistic regression on the basic features -> coefficients."""
+    df, feats = _basic_features(spark, sf)
+    model = TR.fit(df, feats, "logistic_regression", {"C": 1.0, "n_rows": None})
+    coefs = model.coefficients.toArray().tolist()
+    rows = [(f, float(c)) for f, c in zip(feats, coefs)] + [("(intercept)", float(model.intercept))]
+    return rounded(spark.createDataFrame(rows, "feature string, coefficient double"))
+
+
+@register("cv_scores")
+def cv_scores(spark, sf):
+    """ML4: 5-fold ROC-AUC of the advanced forest."""
+    df, feats = _advanced_features(spark, sf)
+    return rounded(TR.cv_scores(df, feats, "random_forest", K.FOREST_ADVANCED_LOCAL, K.CV_FOLDS, key="id"))
+
+
+@register("gini_importance")
+def gini_importance(spark, sf):
+    """ME6 (+ ME8 top 10): impurity importance of the advanced forest."""
+    df, feats = _advanced_features(spark, sf)
+    model = TR.fit(df, feats, "random_forest", K.FOREST_ADVANCED_LOCAL)
+    return rounded(TR.feature_importances(spark, model, feats))
+
+
+@register("permutation_importance")
+def permutation_importance(spark, sf):
+    """ME7: AUC drop over 30 repeats on the test part (advanced forest)."""
+    from ..operators.split import split_flag
+    df, feats = _advanced_features(spark, sf)
+    flagged = split_flag(df, "id")
+    model = TR.fit(flagged.filter(~F.col("is_test")), feats, "random_forest", K.FOREST_ADVANCED_LOCAL)
+    test = flagged.filter(F.col("is_test"))
+    return rounded(TR.permutation_importance(model, test, feats, repeats=K.PERMUTATION_REPEATS))
+
+
+@register("variant_experiment")
+def variant_experiment(spark, sf):
+    """ME10 + ME11: full (20 features) vs reduced (14) comparison table."""
+    clean = PR.clean_clinical(view(spark, sf, "clinical_raw"))
+    full, f_full = EN.build_variant(clean)
+    reduced, f_red = EN.build_variant(clean, K.ADVANCED_LOW_IMPORTANCE_COLS)
+    a = TR.evaluate_variant(full, f_full, "full", "random_forest", K.FOREST_ADVANCED_LOCAL)
+    b = TR.evaluate_variant(reduced, f_red, "reduced", "random_forest", K.FOREST_ADVANCED_LOCAL)
+    return rounded(a.unionByName(b))
+
+
+@register("batch_inference")
+def batch_inference(spark, sf):
+    """ML6: fitted forest -> score every feature row (target dropped)."""
+    df, feats = _advanced_features(spark, sf)
+    model = TR.fit(df, feats, "random_forest", K.FOREST_ADVANCED_LOCAL)
+    rows = PR.drop_columns(df, [K.TARGET])
+    return rounded(TR.predict(model, rows, feats, keep=["id"]).select("id", "prediction", "probability"))
+
+
+@register("embed_index")
+def embed_index(spark, sf):
+    """RA3 + RA4: chunk every document, embed with the hashing embedder."""
+    chunks = RT.chunk_markdown(view(spark, sf, "kb_docs"))
+    emb = RT.hashing_embed(chunks, "text", "embedding", 256)
+    return emb.select("doc_id", "chunk_index", "source", "heading", "embedding")

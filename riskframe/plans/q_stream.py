@@ -1 +1,17 @@
-"""Placeholder."""
+"""Query US8: streaming daily usage counts (equal to the batch answer)."""
+
+from __future__ import annotations
+
+from ..sources.fixtures import oracle_views
+from ..sources.tables import read_table
+from ..streaming import usage_stream as US
+from .registry import register
+
+
+@register("usage_stream", oracle_views("prediction_log") + """
+SELECT strftime(ts, '%Y-%m-%d') AS day, mode, risk_level, count(*)::BIGINT AS n
+FROM prediction_log GROUP BY 1, 2, 3""")
+def usage_stream(spark, sf):
+    schema = read_table(spark, sf, "events").schema
+    out = US.run_available_now(spark, sf, schema, glob="events.parquet")
+    return US.read_latest(spark, out)

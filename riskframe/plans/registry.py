@@ -34,7 +34,7 @@ def load_all() -> None:
     """Import every query module so that all registrations run."""
     from . import (  # noqa: F401
         q_usage, q_prep, q_features, q_scoring, q_explain, q_serve,
-        q_retrieval, q_profile, q_ml, q_stream,
+        q_retrieval, q_profile, q_ml, q_stream, flagship,
     )
 
 

@@ -55,10 +55,42 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = Fa
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """ED4: Pearson correlation for every ordered pair ``(col_a, col_b)``;
-    each unordered pair is aggregated once, the diagonal is 1 (NaN for a
-    constant column)."""
+    """ED4: Pearson correlation for every ordered pair ``(col_a, col_b)``.
+
+    Without nulls in the columns (checked first, one small aggregation) the
+    whole matrix comes from one ``treeAggregate`` of the Gramian
+    (``pyspark.ml.stat.Correlation``). With nulls, pairs are computed
+    pairwise-complete (``corr`` per pair, each unordered pair once). The
+    diagonal is 1 (NaN for a constant column)."""
     cols = list(cols) if cols is not None else numeric_columns(df)
+    nulls = df.agg(*[F.count_if(col(c).isNull() | F.isnan(col(c).cast("double"))).alias(c)
+                     for c in cols]).first()
+    if all(nulls[c] == 0 for c in cols):
+        return _corr_dense(df, cols)
+    return _corr_pairwise(df, cols)
+
+
+def _corr_dense(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation
+
+    vec = VectorAssembler(inputCols=list(cols), outputCol="_v").transform(
+        df.select(*[col(c).cast("double").alias(c) for c in cols]))
+    m = Correlation.corr(vec, "_v", "pearson").first()[0].toArray()
+    sd = df.agg(*[F.stddev_pop(col(c).cast("double")).alias(c) for c in cols]).first()
+    rows = []
+    for i, a in enumerate(cols):
+        for j, b in enumerate(cols):
+            if i == j:
+                v = 1.0 if (sd[a] or 0.0) > 0 else float("nan")
+            else:
+                v = float(m[i, j])
+            rows.append((a, b, v))
+    # p x p statistics (model-sized, not data-sized)
+    return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, corr double")
+
+
+def _corr_pairwise(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     items = []
     for i, a in enumerate(cols):
         for b in cols[i + 1:]:

@@ -169,8 +169,12 @@ CHUNK_SPLIT_PATTERN = r"\n(?=## )"
 CHUNK_HEADING_PATTERN = r"^## (.+)"
 TITLE_PREFIX = "# "
 
-# Characters Python's str.strip() removes (str.isspace), as a regex class
-# valid in both Java regex and RE2.
+# Characters Python's str.strip() removes (str.isspace): as a set, and as a
+# regex class valid in both Java regex and RE2.
+PY_WHITESPACE_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003"
+    "\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 PY_WHITESPACE_CLASS = (
     r"[\t\n\x0b\x0c\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"

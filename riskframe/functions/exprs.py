@@ -16,9 +16,9 @@ def col(c: str | Column) -> Column:
 
 def py_strip(c: str | Column) -> Column:
     """Python ``str.strip()``: removes every Unicode whitespace character at
-    both ends (Spark ``trim`` only removes blanks)."""
-    ws = K.PY_WHITESPACE_CLASS
-    return F.regexp_replace(col(c), f"^{ws}+|{ws}+$", "")
+    both ends (plain ``trim`` only removes blanks; this passes the full set,
+    no regex)."""
+    return F.trim(col(c), F.lit(K.PY_WHITESPACE_CHARS))
 
 
 def nan_to_null(c: str | Column) -> Column:

@@ -48,7 +48,8 @@ def _sum_terms(scorer: LinearScorer, replaced: int | None = None, value: Column
 
 def contributions_linear(scorer: LinearScorer, features: Sequence[str],
                          baseline: Mapping[str, float]) -> Column:
-    """EX1 (closed form) as ``array<struct<idx, feature, contribution>>`` in
+    """EX1 (closed form) as ``array<struct<neg_abs, idx, feature,
+    contribution>>`` in
     feature order; needs the ``_t*`` columns of ``linear_terms``. Features
     the scorer ignores contribute exactly 0."""
     from ..functions.exprs import sigmoid
@@ -64,21 +65,18 @@ def contributions_linear(scorer: LinearScorer, features: Sequence[str],
             contrib = p - sigmoid(_sum_terms(scorer, j, b))
         else:
             contrib = F.lit(0.0)
-        items.append(F.struct(F.lit(i).alias("idx"), F.lit(f).alias("feature"),
-                              contrib.cast("double").alias("contribution")))
+        c = contrib.cast("double")
+        # led by (-|c|, idx) so the native array sort ranks by magnitude
+        items.append(F.struct((-F.abs(c)).alias("neg_abs"), F.lit(i).alias("idx"),
+                              F.lit(f).alias("feature"), c.alias("contribution")))
     return F.array(*items)
 
 
-def _by_magnitude(a: Column, b: Column) -> Column:
-    """Comparator: |contribution| descending, then feature order (stable)."""
-    aa, bb = F.abs(a["contribution"]), F.abs(b["contribution"])
-    return (F.when(aa > bb, -1).when(aa < bb, 1)
-            .when(a["idx"] < b["idx"], -1).when(a["idx"] > b["idx"], 1).otherwise(0))
-
-
 def top_k(contribs: Column, k: int = K.TOP_CONTRIBUTORS) -> Column:
-    """EX2 inside the row: sort by magnitude (ties keep feature order), keep k."""
-    return F.slice(F.array_sort(contribs, _by_magnitude), 1, k)
+    """EX2 inside the row: |contribution| descending, ties in feature order
+    (a stable sort), keep k. The structs lead with (-|c|, idx), so the
+    native array sort does it (no comparator lambda, no shuffle)."""
+    return F.slice(F.sort_array(contribs, asc=True), 1, k)
 
 
 def explode_ranked(df: DataFrame, key: str, arr: str, rank: str = "rank") -> DataFrame:
@@ -102,7 +100,7 @@ def topk_linear(df: DataFrame, scorer: LinearScorer, features: Sequence[str],
     """EX2 ``(key, rank, feature, contribution)``; map-only."""
     c = contributions_linear(scorer, features, baseline)
     wide = linear_terms(df, scorer, [key]).select(col(key), top_k(c, k).alias("t"))
-    return explode_ranked(wide, key, "t").drop("idx")
+    return explode_ranked(wide, key, "t").drop("idx", "neg_abs")
 
 
 def response_items(contribs_topk: Column, labels: Mapping[str, str] | Sequence[tuple],
@@ -126,6 +124,35 @@ def response_items(contribs_topk: Column, labels: Mapping[str, str] | Sequence[t
     return F.transform(contribs_topk, item)
 
 
+def response_rows(df: DataFrame, key: str, topk_col: str, labels, display: Mapping[str, Column]) -> DataFrame:
+    """EX3 as rows ``(key, rank, feature (label), value, contribution,
+    n_items)``:
+    explode the top-k first, then plain column expressions per row (label
+    from a literal map, display text from a CASE over the feature name)."""
+    label_map = literal_map(list(labels.items()) if isinstance(labels, Mapping) else labels)
+    x = df.select("*", F.posexplode(topk_col).alias("_pos", "_e"))
+    feat = F.col("_e.feature")
+    value = None
+    for f, expr in display.items():
+        value = (F.when(feat == f, expr.cast("string")) if value is None
+                 else value.when(feat == f, expr.cast("string")))
+    value = value.otherwise(F.lit("")) if value is not None else F.lit("")
+    return x.select(col(key), (F.col("_pos") + 1).alias("rank"),
+                    F.coalesce(label_map[feat], feat).alias("feature"), value.alias("value"),
+                    py_round(F.col("_e.contribution"), K.PROBABILITY_DECIMALS).alias("contribution"),
+                    F.size(topk_col).alias("n_items"))
+
+
+def chart_rows(responses: DataFrame, key: str = "row_id") -> DataFrame:
+    """EX4 over response rows: reversed position, ``label (value)`` text,
+    signed percent text and the sign class (map-only)."""
+    return responses.select(
+        col(key), (F.col("n_items") - F.col("rank") + 1).alias("position"),
+        F.concat(F.col("feature"), F.lit(" ("), F.col("value"), F.lit(")")).alias("text"),
+        F.col("contribution"), py_signed_percent(F.col("contribution"), 1).alias("percent_text"),
+        F.when(F.col("contribution") > 0, F.lit("increase")).otherwise(F.lit("decrease")).alias("direction"))
+
+
 def chart_items(items: Column) -> Column:
     """EX4: chart rows from a response array: reversed order, text
     ``label (value)``, signed percent text, and the sign class."""

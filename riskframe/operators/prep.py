@@ -110,12 +110,15 @@ def clean_survey(raw: DataFrame, key: str = "row_id", strict: bool = False) -> D
     int_cols = [c for c in K.BASIC_BINARY_COLS + K.BASIC_ORDINAL_COLS if c in raw.columns]
     dbl_cols = [c for c in K.BASIC_NUMERIC_COLS if c in raw.columns]
     value_cols = [c for c in raw.columns if c not in (key, K.BASIC_TARGET_RAW)]
-    policy = MV.type_policy(raw, value_cols)
+    # pass 1: null counts only (cheap); pass 2: statistics only for columns
+    # that need them - usually none, so no median is computed at all
+    counts = count_nulls(raw, [K.BASIC_TARGET_RAW] + value_cols)
+    need = [c for c in value_cols if counts[c] > 0]
+    policy = MV.type_policy(raw, need)
     if strict:
         policy = {c: p for c, p in policy.items() if c not in int_cols}
-    fitted = MV.fit_policy(raw, policy, check_cols=[K.BASIC_TARGET_RAW] + value_cols)
-    fill = {c: v for c, v in fitted["fill"].items() if fitted["nulls"].get(c, 0) > 0}
-    assert_no_nulls(fitted["nulls"], fill)
+    fill = MV.fit_policy(raw, policy)["fill"] if policy else {}
+    assert_no_nulls(counts, fill)
     df = MV.apply_fill(raw, fill)
     df = convert_target(df, K.BASIC_TARGET_RAW, K.TARGET)
     return cast_types(df, int_cols, dbl_cols)

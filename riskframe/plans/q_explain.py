@@ -61,8 +61,7 @@ def _topk_array(spark, sf):
 
 def _responses(spark, sf):
     t = _topk_array(spark, sf)
-    items = EX.response_items(F.col("t"), K.BASIC_FEATURE_LABELS, survey_display())
-    return t.select("row_id", items.alias("items"))
+    return EX.response_rows(t, "row_id", "t", K.BASIC_FEATURE_LABELS, survey_display())
 
 
 # ---------------------------------------------------------------- oracle SQL
@@ -136,13 +135,13 @@ def explain_ablation(spark, sf):
 FROM tk WHERE rank <= 8""")
 def explain_topk(spark, sf):
     t = _topk_array(spark, sf)
-    return rounded(EX.explode_ranked(t, "row_id", "t").drop("idx"))
+    return rounded(EX.explode_ranked(t, "row_id", "t").drop("idx", "neg_abs"))
 
 
 @register("explain_response", _RESP + """SELECT row_id, rank, feature, value,
  (round(contribution, 6) + 0.0) AS contribution FROM rs""")
 def explain_response(spark, sf):
-    return rounded(EX.explode_ranked(_responses(spark, sf), "row_id", "items"))
+    return rounded(_responses(spark, sf).drop("n_items"))
 
 
 @register("explain_chart", _RESP + """, ct AS (SELECT row_id, 9 - rank - (8 - (SELECT count(*) FROM rs r2
@@ -152,7 +151,4 @@ def explain_response(spark, sf):
  CASE WHEN contribution > 0 THEN 'increase' ELSE 'decrease' END AS direction FROM rs)
 SELECT row_id, position, text, (round(contribution, 6) + 0.0) AS contribution, percent_text, direction FROM ct""")
 def explain_chart(spark, sf):
-    r = _responses(spark, sf)
-    c = r.select("row_id", EX.chart_items(F.col("items")).alias("c"))
-    out = c.select("row_id", F.explode("c").alias("e")).select("row_id", "e.*")
-    return rounded(out)
+    return rounded(EX.chart_rows(_responses(spark, sf)))

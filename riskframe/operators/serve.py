@@ -32,11 +32,24 @@ def _codes(*tables) -> Column:
     return literal_map(pairs)
 
 
-AGE_MAP = _codes(K.AGE_GROUP_CODES)
-DIABETES_MAP = _codes(K.DIABETES_CODES, K.DIABETES_ALIASES)
-GEN_HEALTH_MAP = _codes(K.GEN_HEALTH_CODES, K.GEN_HEALTH_ALIASES)
-EDUCATION_MAP = _codes(K.EDUCATION_CODES, K.EDUCATION_ALIASES)
-INCOME_MAP = _codes(K.INCOME_CODES)
+def age_map() -> Column:
+    return _codes(K.AGE_GROUP_CODES)
+
+
+def diabetes_map() -> Column:
+    return _codes(K.DIABETES_CODES, K.DIABETES_ALIASES)
+
+
+def gen_health_map() -> Column:
+    return _codes(K.GEN_HEALTH_CODES, K.GEN_HEALTH_ALIASES)
+
+
+def education_map() -> Column:
+    return _codes(K.EDUCATION_CODES, K.EDUCATION_ALIASES)
+
+
+def income_map() -> Column:
+    return _codes(K.INCOME_CODES)
 
 
 def bmi(weight: str | Column = "weight_kg", height: str | Column = "height_cm") -> Column:
@@ -50,11 +63,11 @@ def encode_ordinals(df: DataFrame) -> DataFrame:
     rejects) for age group, diabetes, general health, education, income."""
     return df.select(
         col("row_id"),
-        AGE_MAP[col("age_group")].alias("Age"),
-        DIABETES_MAP[F.coalesce(col("diabetes"), F.lit(K.DIABETES_CODES[0][0]))].alias("Diabetes"),
-        GEN_HEALTH_MAP[col("gen_health")].alias("GenHlth"),
-        EDUCATION_MAP[col("education_level")].alias("Education"),
-        INCOME_MAP[col("income_level")].alias("Income"))
+        age_map()[col("age_group")].alias("Age"),
+        diabetes_map()[F.coalesce(col("diabetes"), F.lit(K.DIABETES_CODES[0][0]))].alias("Diabetes"),
+        gen_health_map()[col("gen_health")].alias("GenHlth"),
+        education_map()[col("education_level")].alias("Education"),
+        income_map()[col("income_level")].alias("Income"))
 
 
 def basic_model_row(req: DataFrame, keep: Sequence[str] = ("row_id",)) -> DataFrame:
@@ -66,18 +79,18 @@ def basic_model_row(req: DataFrame, keep: Sequence[str] = ("row_id",)) -> DataFr
         b("chol_check").alias("CholCheck"),
         py_round(bmi(), 1).alias("BMI"),
         b("smoker").alias("Smoker"), b("stroke").alias("Stroke"),
-        DIABETES_MAP[col("diabetes")].alias("Diabetes"),
+        diabetes_map()[col("diabetes")].alias("Diabetes"),
         b("phys_activity").alias("PhysActivity"), b("fruits").alias("Fruits"),
         b("veggies").alias("Veggies"), b("heavy_alcohol").alias("HvyAlcoholConsump"),
         b("any_healthcare").alias("AnyHealthcare"), b("no_doc_because_cost").alias("NoDocbcCost"),
-        GEN_HEALTH_MAP[col("gen_health")].alias("GenHlth"),
+        gen_health_map()[col("gen_health")].alias("GenHlth"),
         col("mental_health_days").cast("int").alias("MentHlth"),
         col("phys_health_days").cast("int").alias("PhysHlth"),
         b("diff_walk").alias("DiffWalk"),
         (col("sex") == F.lit("Male")).cast("int").alias("Sex"),
-        AGE_MAP[col("age_group")].alias("Age"),
-        EDUCATION_MAP[col("education_level")].alias("Education"),
-        INCOME_MAP[col("income_level")].alias("Income"))
+        age_map()[col("age_group")].alias("Age"),
+        education_map()[col("education_level")].alias("Education"),
+        income_map()[col("income_level")].alias("Income"))
 
 
 def advanced_model_row(req: DataFrame, keep: Sequence[str] = ("row_id",)) -> DataFrame:

@@ -86,5 +86,7 @@ def index_job(spark: SparkSession, corpus_dir: str, index_path: str, num_feature
     docs = IO.read_markdown_corpus(spark, corpus_dir).withColumn("doc_id", F.xxhash64("source"))
     chunks = RT.chunk_markdown(docs, keep=("doc_id",))
     index = RT.hashing_embed(chunks, "text", "embedding", num_features)
-    RT.write_index(index.select("doc_id", "chunk_index", "source", "heading", "text", "embedding"), index_path)
+    index = index.withColumn("vec_id", F.xxhash64("doc_id", "chunk_index"))
+    RT.write_index(index.select("vec_id", "doc_id", "chunk_index", "source", "heading", "text", "embedding"),
+                   index_path)
     return RT.read_index(spark, index_path).count()

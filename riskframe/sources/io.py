@@ -141,7 +141,7 @@ def read_prediction_log(spark: SparkSession, path: str) -> DataFrame:
 def read_markdown_corpus(spark: SparkSession, folder: str, glob: str = "*.md") -> DataFrame:
     """IO11: one row per file ``(source, kb_text)``; an empty folder gives
     no rows."""
-    df = spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(folder)
+    df = spark.read.option("pathGlobFilter", glob).text(folder, wholetext=True)
     return df.select(F.col("_metadata.file_name").alias("source"), F.col("value").alias("kb_text"))
 
 

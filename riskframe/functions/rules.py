@@ -130,3 +130,9 @@ CHAT_MESSAGE_SCHEMA: tuple[Field, ...] = (
     Field("role", enum=tuple(K.CHAT_ROLES)),
     Field("content"),
 )
+
+# a conversation-turn table (conv_id, turn, role, text) checked as chat messages
+CHAT_TURN_SCHEMA: tuple[Field, ...] = (
+    Field("role", enum=tuple(K.CHAT_ROLES)),
+    Field("text", min_length=1),
+)

@@ -90,3 +90,31 @@ def index_job(spark: SparkSession, corpus_dir: str, index_path: str, num_feature
     RT.write_index(index.select("vec_id", "doc_id", "chunk_index", "source", "heading", "text", "embedding"),
                    index_path)
     return RT.read_index(spark, index_path).count()
+
+
+def importance_job(spark: SparkSession, features_df: DataFrame, features: list[str], key: str,
+                   params: dict, out_path: str, repeats: int = K.PERMUTATION_REPEATS) -> DataFrame:
+    """ME6-ME9 + IO6: impurity and permutation importance on the test part;
+    writes both maps as one JSON record; returns the permutation table."""
+    from ..operators.split import split_flag
+    flagged = split_flag(features_df, key)
+    model = TR.fit(flagged.filter(~F.col("is_test")), features, "random_forest", params)
+    gini = TR.feature_importances(spark, model, features)
+    perm = TR.permutation_importance(model, flagged.filter(F.col("is_test")), features, repeats=repeats)
+    maps = TR.importance_maps(gini, perm).first()
+    IO.write_metrics(spark, {"gini_importance": dict(maps["gini_importance"]),
+                             "permutation_importance": dict(maps["permutation_importance"])}, out_path)
+    return perm
+
+
+def experiment_job(spark: SparkSession, clinical_raw: DataFrame, out_path: str,
+                   params: dict | None = None) -> DataFrame:
+    """ME10/ME11 + IO7: full vs reduced feature sets -> comparison CSV."""
+    params = params or K.FOREST_ADVANCED_LOCAL
+    clean = PR.clean_clinical(clinical_raw)
+    full, f_full = EN.build_variant(clean)
+    reduced, f_red = EN.build_variant(clean, K.ADVANCED_LOW_IMPORTANCE_COLS)
+    table = (TR.evaluate_variant(full, f_full, "full", "random_forest", params)
+             .unionByName(TR.evaluate_variant(reduced, f_red, "reduced", "random_forest", params)))
+    IO.write_table_csv(table, out_path)
+    return table

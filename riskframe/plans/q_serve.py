@@ -58,9 +58,15 @@ ADV_REQ_COLS = ["row_id", "age", "sex", "cp", "chol", "fbs", "thalch", "exang",
 
 WB = oracle_views("requests_basic", "survey_raw")
 WA = oracle_views("requests_advanced")
+# scaler statistics computed ONCE (materialised): every expression then sees
+# bit-identical values, so ablated logits equal the base logit exactly when
+# a feature already sits at its baseline
+_SB = ", ".join(f"avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END AS s_{c}"
+                for c in K.BASIC_SCALE_COLS)
 RB = WB + f""", rd AS (SELECT {_defaults_sql(R.BASIC_SCHEMA, BASIC_REQ_COLS)} FROM requests_basic),
 rv AS (SELECT *, {_errors_sql(R.BASIC_SCHEMA)} AS errs FROM rd),
-ok AS (SELECT * FROM rv WHERE errs = '')
+sb AS MATERIALIZED (SELECT {_SB} FROM survey_raw),
+ok AS (SELECT rv.*, sb.* FROM rv CROSS JOIN sb WHERE errs = '')
 """
 
 
@@ -130,6 +136,25 @@ def validate_advanced(spark, sf):
     return _flat_errors(R.validate(_req_advanced(spark, sf), R.ADVANCED_SCHEMA))
 
 
+@register("validate_chat", f"""
+SELECT conv_id, turn, concat_ws('|', CASE WHEN role IS NULL THEN 'role:missing' END,
+  CASE WHEN role IS NOT NULL AND role NOT IN ('user', 'assistant') THEN 'role:enum' END,
+  CASE WHEN text IS NULL THEN 'text:missing' END,
+  CASE WHEN text IS NOT NULL AND length(text) < 1 THEN 'text:min_length' END) = '' AS is_valid,
+ concat_ws('|', CASE WHEN role IS NULL THEN 'role:missing' END,
+  CASE WHEN role IS NOT NULL AND role NOT IN ('user', 'assistant') THEN 'role:enum' END,
+  CASE WHEN text IS NULL THEN 'text:missing' END,
+  CASE WHEN text IS NOT NULL AND length(text) < 1 THEN 'text:min_length' END) AS errors
+FROM conversations""")
+def validate_chat(spark, sf):
+    """PR21: chat turns against the message rules (role enumeration,
+    non-empty text); system turns are not valid chat history."""
+    from ..sources.tables import read_table
+    v = R.validate(read_table(spark, sf, "conversations"), R.CHAT_TURN_SCHEMA)
+    return v.select("conv_id", "turn", (F.size(R.ERRORS) == 0).alias("is_valid"),
+                    F.concat_ws("|", R.ERRORS).alias("errors"))
+
+
 @register("encode_ordinals", WB + "SELECT row_id, " + ", ".join(
     f"{(_ORD[c] if c != 'Diabetes' else _code_case('coalesce(diabetes, ' + _lit(K.DIABETES_CODES[0][0]) + ')', K.DIABETES_CODES, K.DIABETES_ALIASES))} AS {c}"
     for c in ["Age", "Diabetes", "GenHlth", "Education", "Income"]) + " FROM requests_basic")
@@ -143,7 +168,7 @@ def bmi(spark, sf):
     return rounded(_req_basic(spark, sf).select("row_id", py_round(SV.bmi(), 1).alias("BMI")))
 
 
-_BASIC_SCALED = {c: (_zsql(f"({_BASIC_RAW[c]})", c, "survey_raw") if c in K.BASIC_SCALE_COLS
+_BASIC_SCALED = {c: (f"((({_BASIC_RAW[c]}) - m_{c}) / s_{c})" if c in K.BASIC_SCALE_COLS
                      else f"({_BASIC_RAW[c]})") for c in K.BASIC_FEATURES}
 
 
@@ -206,3 +231,55 @@ _BASIC_DISPLAY = {
 def display_values(spark, sf):
     ok, _ = R.split_valid(_req_basic(spark, sf), R.BASIC_SCHEMA)
     return SV.display_long(ok, SV.basic_display())
+
+
+# ------------------------------------------------------------ full responses
+
+def _contrib_sql(scorer, scaled: dict, features) -> str:
+    """Oracle long table (row_id, idx, feature, contribution) in model space."""
+    from .q_explain import logit_sql as lsql
+    p = f"(1.0e0 / (1.0e0 + exp(-({lsql(scorer, scaled)}))))"
+    parts = []
+    for i, f in enumerate(features):
+        if f in scorer.features:
+            repl = dict(scaled)
+            repl[f] = "0.0e0"
+            c = f"{p} - (1.0e0 / (1.0e0 + exp(-({lsql(scorer, repl)}))))"
+        else:
+            c = "0.0e0"
+        parts.append(f"SELECT row_id, {i} AS idx, '{f}' AS feature, {c} AS contribution FROM ok")
+    return "\nUNION ALL ".join(parts)
+
+
+def _label_case(expr, labels):
+    return "CASE " + expr + " " + " ".join(f"WHEN '{f}' THEN '{v}'" for f, v in labels) + f" ELSE {expr} END"
+
+
+_EXPLAINED_SQL = RB + ", lg AS (" + _contrib_sql(BASIC_SERVE_SCORER, _BASIC_SCALED, K.BASIC_FEATURES) + """),
+tk AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY abs(contribution) DESC, idx) AS rank FROM lg)
+SELECT tk.row_id, tk.rank, """ + _label_case("tk.feature", K.BASIC_FEATURE_LABELS) + """ AS feature,
+ CASE tk.feature """ + " ".join(f"WHEN '{f}' THEN {e}" for f, e in _BASIC_DISPLAY.items()) + """ END AS value,
+ (round(printf('%.4f', tk.contribution)::DOUBLE, 6) + 0.0) AS contribution
+FROM tk JOIN ok ON ok.row_id = tk.row_id WHERE tk.rank <= 8"""
+
+
+@register("serve_explained_basic", _EXPLAINED_SQL)
+def serve_explained_basic(spark, sf):
+    """ML7 + EX1-EX3 for requests: the top-8 contributions of every valid
+    request in model space (baseline 0), with display labels and values."""
+    from ..operators import explain as EX
+    clean = PR.clean_survey(view(spark, sf, "survey_raw"))
+    stats = EN.fit_scaler(clean, K.BASIC_SCALE_COLS)
+    ok, _ = R.split_valid(_req_basic(spark, sf), R.BASIC_SCHEMA)
+    # display texts travel as one struct (request and feature names collide
+    # case-insensitively: sex / Sex)
+    disp = SV.basic_display()
+    ok = ok.withColumn("_disp", F.struct(*[e.alias(f) for f, e in disp.items()]))
+    rows = SV.to_model_space_basic(ok, stats, keep=("row_id", "_disp"))
+    base = {f: 0.0 for f in K.BASIC_FEATURES}
+    c = EX.contributions_linear(BASIC_SERVE_SCORER, K.BASIC_FEATURES, base)
+    t = EX.linear_terms(rows, BASIC_SERVE_SCORER, ["row_id", "_disp"]).select(
+        "row_id", "_disp", EX.top_k(c).alias("t"))
+    out = EX.response_rows(t, "row_id", "t", K.BASIC_FEATURE_LABELS,
+                           {f: F.col("_disp")[f] for f in disp})
+    return rounded(out.drop("n_items"))

@@ -6,7 +6,8 @@
   aggregation), (2) cut the distinct scores into quantile ranges
   (``Bucketizer`` on approximate quantiles - only the boundaries are
   collected), (3) running sums inside each (group, range), (4) range totals
-  -> offsets from a table of at most groups x buckets rows. Everything is
+  -> offsets from a table of at most groups x buckets rows. The per-score
+  table is checkpointed once, so the input is scanned once. Everything is
   keyed by optional ``group_cols`` (fold, feature, repeat) so many AUCs come
   out of one job.
 * The classification report is built from the confusion cells (at most
@@ -40,9 +41,14 @@ def roc_auc(df: DataFrame, label: str = K.TARGET, score: str = "probability",
 
     g = list(group_cols)
     pos = F.when(F.col(label) == 1, 1).otherwise(0)
+    from ..session import materialize
+
     per_score = (df.select(*g, F.col(score).cast("double").alias("_s"), pos.alias("_pos"))
                  .groupBy(*g, "_s")
                  .agg(F.sum("_pos").alias("_p"), F.sum(1 - F.col("_pos")).alias("_n")))
+    # used three times (range bounds, running sums, range totals): computed
+    # once from the input and read back from the shared checkpoint folder
+    per_score = materialize(per_score)
     # quantile range boundaries of the distinct scores (<= buckets values)
     qs = [i / buckets for i in range(1, buckets)]
     bounds = per_score.agg(F.percentile_approx("_s", qs, 10 * buckets).alias("b")).first()["b"] or []
@@ -50,11 +56,13 @@ def roc_auc(df: DataFrame, label: str = K.TARGET, score: str = "probability",
     bucketed = Bucketizer(splits=splits, inputCol="_s", outputCol="_b",
                           handleInvalid="keep").transform(per_score)
     inner = W.partitionBy(*g, "_b").orderBy("_s").rowsBetween(W.unboundedPreceding, 0)
-    bucketed = bucketed.withColumn("_neg_upto", F.sum("_n").over(inner))
-    totals = bucketed.groupBy(*g, "_b").agg(F.sum("_n").alias("_bn"))
+    win = bucketed.withColumn("_neg_upto", F.sum("_n").over(inner))
+    # range totals come from the same windowed rows (no second scan); the
+    # offsets table has at most groups x buckets rows
+    totals = win.groupBy(*g, "_b").agg(F.max("_neg_upto").alias("_bn"))
     outer = W.partitionBy(*g).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.withColumn("_off", F.coalesce(F.sum("_bn").over(outer), F.lit(0))).drop("_bn")
-    joined = bucketed.join(broadcast_if_small(offsets, known_bound=None), on=g + ["_b"], how="inner")
+    joined = win.join(broadcast_if_small(offsets), on=g + ["_b"], how="left")
     below = F.col("_off") + F.col("_neg_upto") - F.col("_n")
     return joined.groupBy(*g).agg(
         (F.sum(F.col("_p") * (below + F.col("_n") * 0.5))

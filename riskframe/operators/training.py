@@ -114,12 +114,10 @@ def importance_maps(gini: DataFrame, perm: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------
 
 def reliable(df: DataFrame) -> DataFrame:
-    """Materialise to the shared checkpoint folder (``spark.checkpoint.dir``)
-    and cut the lineage, so ids assigned below stay stable even when
-    executors are lost and tasks re-run."""
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise to the shared checkpoint folder so ids assigned below stay
+    stable even when executors are lost and tasks re-run."""
+    from ..session import materialize
+    return materialize(df)
 
 
 def dense_index(df: DataFrame, name: str = "_i") -> DataFrame:

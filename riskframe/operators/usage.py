@@ -59,14 +59,14 @@ def summary(log: DataFrame, ts: str = "ts",
     An empty log gives 0, empty maps, 0.0 and an empty array.
     """
     cube = usage_cube(log, ts)
-    sections = (
-        cube.groupBy(F.lit("mode").alias("section"), F.col("mode").alias("key"))
-        .agg(F.sum("n").alias("n"), F.sum("p_sum").alias("p_sum"))
-        .unionByName(cube.groupBy(F.lit("risk").alias("section"), F.col("risk_level").alias("key"))
-                     .agg(F.sum("n").alias("n"), F.lit(None).cast("double").alias("p_sum")))
-        .unionByName(cube.groupBy(F.lit("day").alias("section"), F.col("day").alias("key"))
-                     .agg(F.sum("n").alias("n"), F.lit(None).cast("double").alias("p_sum")))
-    )
+    # each (tiny) cube row feeds three sections: one explode, one aggregation
+    nod = F.lit(None).cast("double")
+    sections = (cube.select(F.explode(F.array(
+        F.struct(F.lit("mode").alias("section"), F.col("mode").alias("key"), "n", "p_sum"),
+        F.struct(F.lit("risk").alias("section"), F.col("risk_level").alias("key"), "n", nod.alias("p_sum")),
+        F.struct(F.lit("day").alias("section"), F.col("day").alias("key"), "n", nod.alias("p_sum")),
+    )).alias("e")).groupBy("e.section", "e.key")
+        .agg(F.sum("e.n").alias("n"), F.sum("e.p_sum").alias("p_sum")))
     is_mode = F.col("section") == "mode"
     total = F.coalesce(F.sum(F.when(is_mode, F.col("n"))), F.lit(0)).cast("long")
     p_total = F.sum(F.when(is_mode, F.col("p_sum")))

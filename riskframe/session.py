@@ -49,9 +49,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        # only in local tests: nothing configured, use a scratch folder
         conf_dir = tempfile.mkdtemp(prefix="riskframe-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", conf_dir)
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
+
+
+def materialize(df):
+    """Write ``df`` to the shared checkpoint folder (``spark.checkpoint.dir``)
+    and cut its lineage: later reads see identical rows even when executors
+    are lost, and a result used several times is computed once. (Never a
+    local checkpoint: those die with the executor.)"""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

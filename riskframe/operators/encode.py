@@ -1,7 +1,7 @@
 """Encoding and scaling (EN1-EN5).
 
-* One-hot with drop-first: the vocabulary of each column is fitted with one
-  aggregation (sorted distinct values, capped by ``MAX_ONEHOT_WIDTH``), and
+* One-hot with drop-first: the vocabulary of each column is a distributed
+  ``distinct`` read back with a limit (capped by ``MAX_ONEHOT_WIDTH``), and
   the transform is one ``(c == v)`` comparison per kept value - a plain
   projection, no join. Unlike ML ``OneHotEncoder`` this keeps named 0/1
   columns, sorts categories, drops the FIRST one and maps NULL to all zeros.
@@ -29,21 +29,17 @@ class VocabularyTooWide(ValueError):
 
 def fit_vocabulary(df: DataFrame, cols: Sequence[str],
                    max_width: int = K.MAX_ONEHOT_WIDTH) -> dict[str, list]:
-    """Sorted distinct non-null values per column (one aggregation).
+    """Sorted distinct non-null values per column.
 
-    ``collect_set`` is capped per task at ``max_width + 1`` values so an
-    unexpectedly wide column fails fast instead of flooding the driver."""
-    cols = [c for c in cols if c in df.columns]
-    if not cols:
-        return {}
-    aggs = [F.array_sort(F.collect_set(col(c))).alias(c) for c in cols]
-    row = df.agg(*aggs).first()
+    Each column is a distributed ``distinct`` (partial aggregation) read
+    back with ``limit(max_width + 1)``: an unexpectedly wide column fails
+    fast instead of building huge sets in a task or on the driver."""
     vocab = {}
-    for c in cols:
-        values = list(row[c])
-        if len(values) > max_width:
-            raise VocabularyTooWide(f"{c}: {len(values)} categories > {max_width}")
-        vocab[c] = values
+    for c in [c for c in cols if c in df.columns]:
+        rows = df.select(col(c)).where(col(c).isNotNull()).distinct().limit(max_width + 1).collect()
+        if len(rows) > max_width:
+            raise VocabularyTooWide(f"{c}: more than {max_width} categories")
+        vocab[c] = sorted(r[0] for r in rows)
     return vocab
 
 

@@ -125,7 +125,7 @@ def dense_index(df: DataFrame, name: str = "_i") -> DataFrame:
     global window: per-partition counts (one small job) -> offsets
     (broadcast, one row per partition) -> id = offset + position."""
     base = reliable(df.withColumn("_mid", F.monotonically_increasing_id()))
-    part = (F.col("_mid") / F.lit(1 << 33)).cast("long")
+    part = F.shiftright(F.col("_mid"), 33)   # partition index of the id
     counts = base.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_c"),
                                                 F.min("_mid").alias("_first"))
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_c").over(

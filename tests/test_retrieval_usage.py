@@ -120,3 +120,28 @@ def test_stream_equals_batch_and_drops_late_rows(spark, tmp_dir):
     assert not any(k[0] == "2023-12-25" for k in got2)          # late row dropped by the watermark
     key = ("2024-01-03", "basic", "Low")
     assert got2[key] == want.get(key, 0) + 1                    # on-time row counted
+
+
+def test_score_stream_writes_responses_quarantine_and_log(spark, tmp_dir):
+    import json
+
+    from riskframe import constants as K
+    from riskframe.operators.models import BASIC_SERVE_SCORER
+    from riskframe.streaming import score_stream as SS
+
+    src = os.path.join(tmp_dir, "requests")
+    os.makedirs(src)
+    good = dict(row_id=1, age_group="50-54", sex="Male", height_cm=170, weight_kg=85, high_bp=True,
+                high_chol=True, smoker=True, phys_activity=False, fruits=False, veggies=True,
+                gen_health="average", diff_walk=True, education_level="upper secondary", income_level="25-35k")
+    bad = dict(good, row_id=2, age_group="999")
+    with open(os.path.join(src, "a.json"), "w") as f:
+        f.write(json.dumps(good) + "\n" + json.dumps(bad) + "\n")
+    stats = {c: (0.0, 1.0) for c in K.BASIC_SCALE_COLS}
+    log = os.path.join(tmp_dir, "log")
+    out = SS.run_available_now(spark, src, "basic", SS.basic_scorer(stats, BASIC_SERVE_SCORER), log_path=log)
+    resp = spark.read.parquet(os.path.join(out, "responses")).collect()
+    quar = spark.read.parquet(os.path.join(out, "quarantine")).collect()
+    assert [r.row_id for r in resp] == [1] and resp[0].risk_level in K.RISK_LEVELS
+    assert [r.row_id for r in quar] == [2] and quar[0].errors == ["age_group:enum"]
+    assert spark.read.parquet(log).filter("mode = 'basic'").count() == 1

@@ -93,7 +93,7 @@ _LONG = WS + ", lg AS (" + "\nUNION ALL ".join(
        if f in SCORER.features else "0.0e0") + " AS contribution FROM survey_raw"
     for i, f in enumerate(FEATURES)) + ")\n"
 _TOPK = _LONG + """, tk AS (SELECT row_id, idx, feature, contribution,
- row_number() OVER (PARTITION BY row_id ORDER BY abs(contribution) DESC, idx) AS rank FROM lg)
+ CAST(row_number() OVER (PARTITION BY row_id ORDER BY abs(contribution) DESC, idx) AS INTEGER) AS rank FROM lg)
 """
 
 
@@ -144,8 +144,8 @@ def explain_response(spark, sf):
     return rounded(_responses(spark, sf).drop("n_items"))
 
 
-@register("explain_chart", _RESP + """, ct AS (SELECT row_id, 9 - rank - (8 - (SELECT count(*) FROM rs r2
-   WHERE r2.row_id = rs.row_id)) AS position, feature || ' (' || value || ')' AS text, contribution,
+@register("explain_chart", _RESP + """, ct AS (SELECT row_id, CAST(9 - rank - (8 - (SELECT count(*) FROM rs r2
+   WHERE r2.row_id = rs.row_id)) AS INTEGER) AS position, feature || ' (' || value || ')' AS text, contribution,
  CASE WHEN starts_with(printf('%.1f', contribution * 100.0), '-') THEN '' ELSE '+' END
    || printf('%.1f', contribution * 100.0) || '%' AS percent_text,
  CASE WHEN contribution > 0 THEN 'increase' ELSE 'decrease' END AS direction FROM rs)

@@ -256,7 +256,7 @@ def _label_case(expr, labels):
 
 
 _EXPLAINED_SQL = RB + ", lg AS (" + _contrib_sql(BASIC_SERVE_SCORER, _BASIC_SCALED, K.BASIC_FEATURES) + """),
-tk AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY abs(contribution) DESC, idx) AS rank FROM lg)
+tk AS (SELECT *, CAST(row_number() OVER (PARTITION BY row_id ORDER BY abs(contribution) DESC, idx) AS INTEGER) AS rank FROM lg)
 SELECT tk.row_id, tk.rank, """ + _label_case("tk.feature", K.BASIC_FEATURE_LABELS) + """ AS feature,
  CASE tk.feature """ + " ".join(f"WHEN '{f}' THEN {e}" for f, e in _BASIC_DISPLAY.items()) + """ END AS value,
  (round(printf('%.4f', tk.contribution)::DOUBLE, 6) + 0.0) AS contribution

@@ -52,9 +52,13 @@ def roc_auc(df: DataFrame, label: str = K.TARGET, score: str = "probability",
     # quantile range boundaries of the distinct scores (<= buckets values)
     qs = [i / buckets for i in range(1, buckets)]
     bounds = per_score.agg(F.percentile_approx("_s", qs, 10 * buckets).alias("b")).first()["b"] or []
-    splits = [float("-inf")] + sorted({float(b) for b in bounds}) + [float("inf")]
-    bucketed = Bucketizer(splits=splits, inputCol="_s", outputCol="_b",
-                          handleInvalid="keep").transform(per_score)
+    inner_bounds = sorted({float(b) for b in bounds})
+    if inner_bounds:
+        splits = [float("-inf")] + inner_bounds + [float("inf")]
+        bucketed = Bucketizer(splits=splits, inputCol="_s", outputCol="_b",
+                              handleInvalid="keep").transform(per_score)
+    else:  # one range (a single bucket, or every score identical)
+        bucketed = per_score.withColumn("_b", F.lit(0.0))
     inner = W.partitionBy(*g, "_b").orderBy("_s").rowsBetween(W.unboundedPreceding, 0)
     win = bucketed.withColumn("_neg_upto", F.sum("_n").over(inner))
     # range totals come from the same windowed rows (no second scan); the

@@ -99,3 +99,15 @@ def embed_index(spark, sf):
     chunks = RT.chunk_markdown(view(spark, sf, "kb_docs"))
     emb = RT.hashing_embed(chunks, "text", "embedding", 256)
     return emb.select("doc_id", "chunk_index", "source", "heading", "embedding")
+
+
+@register("explain_forest")
+def explain_forest(spark, sf):
+    """EX1 + EX2 with a random forest (the generic path): every feature row
+    is expanded into p + 1 variants, scored by ONE transform, re-assembled
+    on the key, and the top 8 contributions per row are kept."""
+    from ..operators import explain as EX
+    df, feats = _advanced_features(spark, sf)
+    model = TR.fit(df, feats, "random_forest", K.FOREST_ADVANCED_LOCAL)
+    long = EX.ablation_model(model, df, feats, {f: 0.0 for f in feats}, key="id")
+    return rounded(EX.topk_from_long(long, key="id"))

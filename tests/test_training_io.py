@@ -102,3 +102,24 @@ def test_metrics_and_spec_sinks(spark, tmp_dir):
     df = spark.createDataFrame([(1, "x")], "a int, b string")
     IO.write_stage(df, os.path.join(tmp_dir, "s.csv"), fmt="csv")
     assert IO.read_stage(spark, os.path.join(tmp_dir, "s.csv"), fmt="csv").first().b == "x"
+
+
+def test_cli_train_and_infer(spark, tmp_dir, capsys):
+    from riskframe import cli
+    from riskframe.sources.fixtures import view
+    raw_path = os.path.join(tmp_dir, "raw")
+    view(spark, "/root/testdata/sf0.001", "clinical_raw").write.parquet(raw_path)
+    assert cli.main(["train", "--mode", "advanced", "--raw", raw_path, "--out", os.path.join(tmp_dir, "m")]) == 0
+    metrics = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert set(metrics) == {"accuracy", "roc_auc"}
+    # features stage for inference
+    from riskframe.operators import encode as EN
+    from riskframe.operators import prep as PR
+    feats, _, _, _ = EN.build_advanced(PR.clean_clinical(spark.read.parquet(raw_path)))
+    fpath = os.path.join(tmp_dir, "features")
+    IO.write_stage(feats, fpath)
+    out = os.path.join(tmp_dir, "pred")
+    assert cli.main(["infer", "--mode", "advanced", "--features", fpath, "--model",
+                     os.path.join(tmp_dir, "m"), "--out", out]) == 0
+    pred = spark.read.parquet(out)
+    assert pred.count() == feats.count() and {"id", "prediction", "probability"} <= set(pred.columns)

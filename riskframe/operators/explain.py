@@ -153,19 +153,6 @@ def chart_rows(responses: DataFrame, key: str = "row_id") -> DataFrame:
         F.when(F.col("contribution") > 0, F.lit("increase")).otherwise(F.lit("decrease")).alias("direction"))
 
 
-def chart_items(items: Column) -> Column:
-    """EX4: chart rows from a response array: reversed order, text
-    ``label (value)``, signed percent text, and the sign class."""
-    rev = F.reverse(items)
-    return F.transform(rev, lambda e, i: F.struct(
-        (i + 1).alias("position"),
-        F.concat(e["feature"], F.lit(" ("), e["value"], F.lit(")")).alias("text"),
-        e["contribution"].alias("contribution"),
-        py_signed_percent(e["contribution"], 1).alias("percent_text"),
-        F.when(e["contribution"] > 0, F.lit("increase")).otherwise(F.lit("decrease")).alias("direction"),
-    ))
-
-
 # --------------------------------------------------------------------------
 # generic path for fitted Spark ML models
 # --------------------------------------------------------------------------

@@ -99,25 +99,22 @@ def classification_report(df: DataFrame, label: str = K.TARGET,
     per = per.withColumn("f1_score", F.when(F.col("precision") + F.col("recall") > 0,
                                             2 * F.col("precision") * F.col("recall")
                                             / (F.col("precision") + F.col("recall"))).otherwise(0.0))
-    classes = per.select("label", "precision", "recall", "f1_score", "support")
-    # the averages: one aggregation over the (tiny) per-class table
+    row = F.struct("label", "precision", "recall", "f1_score", "support")
+    # per-class rows and the three summary rows from ONE aggregation over the
+    # (tiny) per-class table: one branch, one scan of the input
     tot = F.sum("support")
-    avg_rows = classes.agg(
-        F.array(
-            F.struct(F.lit("accuracy").alias("label"), F.lit(None).cast("double").alias("precision"),
-                     F.lit(None).cast("double").alias("recall"),
-                     (F.sum(F.col("support") * F.col("recall")) / tot).alias("f1_score"),
-                     tot.alias("support")),
-            F.struct(F.lit("macro avg").alias("label"), F.avg("precision").alias("precision"),
-                     F.avg("recall").alias("recall"), F.avg("f1_score").alias("f1_score"),
-                     tot.alias("support")),
-            F.struct(F.lit("weighted avg").alias("label"),
-                     (F.sum(F.col("precision") * F.col("support")) / tot).alias("precision"),
-                     (F.sum(F.col("recall") * F.col("support")) / tot).alias("recall"),
-                     (F.sum(F.col("f1_score") * F.col("support")) / tot).alias("f1_score"),
-                     tot.alias("support")),
-        ).alias("a")).select(F.explode("a").alias("r")).select("r.*")
-    return classes.unionByName(avg_rows)
+    nod = F.lit(None).cast("double")
+    summary = F.array(
+        F.struct(F.lit("accuracy").alias("label"), nod.alias("precision"), nod.alias("recall"),
+                 (F.sum(F.col("support") * F.col("recall")) / tot).alias("f1_score"), tot.alias("support")),
+        F.struct(F.lit("macro avg").alias("label"), F.avg("precision").alias("precision"),
+                 F.avg("recall").alias("recall"), F.avg("f1_score").alias("f1_score"), tot.alias("support")),
+        F.struct(F.lit("weighted avg").alias("label"),
+                 (F.sum(F.col("precision") * F.col("support")) / tot).alias("precision"),
+                 (F.sum(F.col("recall") * F.col("support")) / tot).alias("recall"),
+                 (F.sum(F.col("f1_score") * F.col("support")) / tot).alias("f1_score"), tot.alias("support")))
+    return (per.agg(F.concat(F.collect_list(row), summary).alias("a"))
+            .select(F.explode("a").alias("r")).select("r.*"))
 
 
 def class_distribution(df: DataFrame, label: str = K.TARGET) -> DataFrame:

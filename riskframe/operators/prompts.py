@@ -131,40 +131,48 @@ def system_prompt(mode: Column, summary: Column, prediction: Column, probability
 
 # ---------------------------------------------------------------- history
 
-def split_turns(conversations: DataFrame, roles: Sequence[str] = K.CHAT_ROLES) -> tuple[DataFrame, DataFrame]:
-    """Per conversation: the NEW message (latest user turn) and the earlier
-    history turns (user/assistant only). One partial aggregation finds the
-    latest user turn; no conversation is collected into one row."""
-    turns = conversations.filter(col("role").isin(*roles))
-    last_user = (turns.filter(col("role") == "user").groupBy("conv_id")
-                 .agg(F.max("turn").alias("_new_turn")))
-    # one row per conversation: broadcast when the count allows, so a huge
-    # conversation never lands in one shuffle partition of the join
-    joined = turns.join(broadcast_if_small(last_user), on="conv_id", how="left")
-    new_msg = joined.filter(col("turn") == col("_new_turn")).select("conv_id", "turn", "role", "text")
-    history = joined.filter(col("_new_turn").isNull() | (col("turn") < col("_new_turn"))).drop("_new_turn")
-    return new_msg, history
-
-
-def last_n(history: DataFrame, n: int = K.HISTORY_KEEP) -> DataFrame:
-    """RA12: newest ``n`` turns per conversation, with their order. The
-    ``row_number <= n`` filter lets Spark trim each partition to n rows per
-    conversation before the shuffle, so a huge conversation stays cheap."""
-    w = W.partitionBy("conv_id").orderBy(F.desc("turn"))
-    return history.withColumn("_r", F.row_number().over(w)).filter(col("_r") <= n).drop("_r")
-
-
-def messages(system: DataFrame, history: DataFrame, new_msg: DataFrame) -> DataFrame:
-    """RA13: the message list as rows ``(conv_id, position, role, content)``:
-    position 0 = system, then the kept history in turn order, then the new
-    user message."""
+def conversation_index(conversations: DataFrame) -> DataFrame:
+    """One row per conversation ``(conv_id, _new_turn)``: the latest user
+    turn (the new message), NULL when there is none. One partial
+    aggregation; also serves as the list of conversations."""
+    return conversations.groupBy("conv_id").agg(
+        F.max(F.when(col("role") == "user", col("turn"))).alias("_new_turn"))
+
+
+def recent_turns(conversations: DataFrame, n: int = K.HISTORY_KEEP, index: DataFrame | None = None,
+                 roles: Sequence[str] = K.CHAT_ROLES) -> DataFrame:
+    """The new message and the newest ``n`` earlier user/assistant turns per
+    conversation: ``(conv_id, turn, role, text, is_new)``.
+
+    The per-conversation index is broadcast after a size check (a huge
+    conversation never lands in one join partition) and ONE
+    ``row_number() <= n + 1`` window - trimmed per partition before the
+    shuffle by Spark's window group limit - keeps the rows."""
+    idx = index if index is not None else conversation_index(conversations)
+    turns = (conversations.filter(col("role").isin(*roles))
+             .join(broadcast_if_small(idx), on="conv_id", how="left")
+             .filter(col("_new_turn").isNull() | (col("turn") <= col("_new_turn"))))
+    is_new = F.coalesce(col("turn") == col("_new_turn"), F.lit(False))
+    rank = F.row_number().over(W.partitionBy("conv_id").orderBy(F.desc("turn")))
+    keep = col("_r") <= F.lit(n) + F.when(col("_new_turn").isNotNull(), 1).otherwise(0)
+    return (turns.withColumn("is_new", is_new).withColumn("_r", rank).filter(keep)
+            .select("conv_id", "turn", "role", "text", "is_new"))
+
+
+def split_turns(conversations: DataFrame, n: int = K.HISTORY_KEEP) -> tuple[DataFrame, DataFrame]:
+    """(new message, kept history) - RA12 as two views of ``recent_turns``."""
+    r = recent_turns(conversations, n)
+    return r.filter(col("is_new")).drop("is_new"), r.filter(~col("is_new")).drop("is_new")
+
+
+def messages(system: DataFrame, recent: DataFrame) -> DataFrame:
+    """RA13: rows ``(conv_id, position, role, content)``: position 0 = the
+    system prompt, then the kept history in turn order, then the new user
+    message (it has the largest turn, so it is numbered last)."""
     sys_rows = system.select("conv_id", F.lit(0).alias("position"), F.lit("system").alias("role"),
                              col("system_prompt").alias("content"))
     w = W.partitionBy("conv_id").orderBy("turn")
-    hist = history.select("conv_id", F.row_number().over(w).alias("position"), "role",
-                          col("text").alias("content"))
-    counts = history.groupBy("conv_id").agg(F.count(F.lit(1)).alias("_n"))
-    new = (new_msg.join(counts, on="conv_id", how="left")
-           .select("conv_id", (F.coalesce(col("_n"), F.lit(0)) + 1).cast("int").alias("position"),
-                   F.lit("user").alias("role"), col("text").alias("content")))
-    return sys_rows.unionByName(hist).unionByName(new)
+    rest = recent.select("conv_id", F.row_number().over(w).alias("position"),
+                         F.when(col("is_new"), F.lit("user")).otherwise(col("role")).alias("role"),
+                         col("text").alias("content"))
+    return sys_rows.unionByName(rest)

@@ -76,9 +76,9 @@ def test_context_and_history(spark):
     assert ctx[1] == PM.CONTEXT_HEADER + "\n[" + PM.CONTEXT_SOURCE + "H1]\nT1\n\n[" + PM.CONTEXT_SOURCE + "H2]\nT2\n"
     conv = spark.createDataFrame([(1, t, "user" if t % 2 == 0 else "assistant", f"m{t}") for t in range(8)]
                                  + [(1, 0, "system", "s")], "conv_id long, turn long, role string, text string")
-    new, hist = PM.split_turns(conv)
+    new, hist = PM.split_turns(conv, 4)
     assert [r.turn for r in new.collect()] == [6]
-    kept = PM.last_n(hist, 4).orderBy("turn").collect()
+    kept = hist.orderBy("turn").collect()
     assert [r.turn for r in kept] == [2, 3, 4, 5]
 
 

@@ -29,8 +29,10 @@ def fit(df: DataFrame, features: Sequence[str], model_type: str = "random_forest
     params = dict(params or {})
     balanced = params.get("class_weight") == "balanced"
     data = with_class_weight(df, label, "weight") if balanced else df
-    if model_type == "logistic_regression" and "n_rows" not in params:
-        params["n_rows"] = None
+    if model_type == "logistic_regression" and not params.get("n_rows"):
+        # scikit-learn's C scales a SUM of losses, Spark's regParam a MEAN:
+        # regParam = 1 / (C * n) needs the training row count
+        params["n_rows"] = data.count()
     est = build_model(model_type, params, label_col=label, weight_col="weight" if balanced else None,
                       seed=seed)
     return est.fit(spread(assemble(data, features)))

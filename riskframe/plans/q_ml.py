@@ -41,7 +41,7 @@ def train_forest(spark, sf):
 def train_logistic(spark, sf):
     """ML2: logistic regression on the basic features -> coefficients."""
     df, feats = _basic_features(spark, sf)
-    model = TR.fit(df, feats, "logistic_regression", {"C": 1.0, "n_rows": None})
+    model = TR.fit(df, feats, "logistic_regression", {"C": 1.0})
     coefs = model.coefficients.toArray().tolist()
     rows = [(f, float(c)) for f, c in zip(feats, coefs)] + [("(intercept)", float(model.intercept))]
     return rounded(spark.createDataFrame(rows, "feature string, coefficient double"))

@@ -123,3 +123,19 @@ def test_cli_train_and_infer(spark, tmp_dir, capsys):
                      os.path.join(tmp_dir, "m"), "--out", out]) == 0
     pred = spark.read.parquet(out)
     assert pred.count() == feats.count() and {"id", "prediction", "probability"} <= set(pred.columns)
+
+
+def test_top_n_and_importance_maps(spark):
+    imp = spark.createDataFrame([("a", 0.1), ("b", 0.5), ("c", 0.3)], "feature string, importance double")
+    assert [r.feature for r in TR.top_n(imp, 2).collect()] == ["b", "c"]
+    perm = spark.createDataFrame([("a", 0.01, 0.0)], "feature string, importance_mean double, importance_std double")
+    m = TR.importance_maps(imp, perm).first()
+    assert m.gini_importance == {"a": 0.1, "b": 0.5, "c": 0.3} and m.permutation_importance == {"a": 0.01}
+
+
+def test_logistic_regularisation_matches_c(spark):
+    rows = [(i, float(i % 10), int(i % 10 >= 5)) for i in range(400)]
+    df = spark.createDataFrame(rows, "row_id long, a double, target int")
+    model = TR.fit(df, ["a"], "logistic_regression", {"C": 1.0})
+    # regParam = 1 / (C * n): weak regularisation, a clearly positive slope
+    assert model.getRegParam() == 1.0 / 400 and model.coefficients[0] > 1.0

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.exprs import literal_map, risk_level
 from ..operators import encode as EN
-from ..operators import prep as PR
 from ..operators.models import BASIC_SERVE_SCORER
 from ..sources.fixtures import oracle_views, view
 from .q_explain import logit_sql
@@ -22,9 +21,10 @@ from .registry import register, rounded
 
 
 def risk_by_age_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = PR.clean_survey(view(spark, sf_dir, "survey_raw"))
-    # keep the unscaled age code next to the scaled model row
-    feats, _, _ = EN.build_basic(clean.withColumn("age_code", F.col("Age")))
+    raw = view(spark, sf_dir, "survey_raw")
+    # keep the unscaled age code next to the scaled model row; cleaning and
+    # scaler fit share one aggregation (prepare_basic)
+    feats, _, _ = EN.prepare_basic(raw.withColumn("age_code", F.col("Age").cast("int")))
     bands = literal_map([(code, key) for key, code in K.AGE_GROUP_CODES])
     p = BASIC_SERVE_SCORER.probability()
     rows = feats.select(risk_level(p).alias("risk_level"), bands[F.col("age_code")].alias("age_band"),

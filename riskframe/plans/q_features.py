@@ -82,7 +82,7 @@ def scale_transform(spark, sf):
     f"{_z(c, 'cs')} AS {c}" if c in K.BASIC_SCALE_COLS else c for c in K.BASIC_FEATURES)
     + ", target FROM cs")
 def features_basic(spark, sf):
-    out, _, feats = EN.build_basic(_clean_survey(spark, sf))
+    out, _, feats = EN.prepare_basic(view(spark, sf, "survey_raw"))
     assert feats == K.BASIC_FEATURES, feats
     return rounded(out)
 

@@ -175,8 +175,7 @@ _BASIC_SCALED = {c: (f"((({_BASIC_RAW[c]}) - m_{c}) / s_{c})" if c in K.BASIC_SC
 @register("serve_basic", RB + "SELECT row_id, " + _respond_sql(logit_sql(BASIC_SERVE_SCORER, _BASIC_SCALED))
           + " FROM ok")
 def serve_basic(spark, sf):
-    clean = PR.clean_survey(view(spark, sf, "survey_raw"))
-    stats = EN.fit_scaler(clean, K.BASIC_SCALE_COLS)
+    _, stats, _ = EN.prepare_basic(view(spark, sf, "survey_raw"))
     ok, _ = R.split_valid(_req_basic(spark, sf), R.BASIC_SCHEMA)
     return rounded(SV.respond(SV.to_model_space_basic(ok, stats), BASIC_SERVE_SCORER))
 
@@ -268,8 +267,7 @@ def serve_explained_basic(spark, sf):
     """ML7 + EX1-EX3 for requests: the top-8 contributions of every valid
     request in model space (baseline 0), with display labels and values."""
     from ..operators import explain as EX
-    clean = PR.clean_survey(view(spark, sf, "survey_raw"))
-    stats = EN.fit_scaler(clean, K.BASIC_SCALE_COLS)
+    _, stats, _ = EN.prepare_basic(view(spark, sf, "survey_raw"))
     ok, _ = R.split_valid(_req_basic(spark, sf), R.BASIC_SCHEMA)
     # display texts travel as one struct (request and feature names collide
     # case-insensitively: sex / Sex)

@@ -207,3 +207,85 @@ def prepare_basic(raw: DataFrame, key: str = "row_id"):
     out = scale(clean, stats)
     features = [c for c in out.columns if c not in (key, K.TARGET)]
     return out, stats, features
+
+
+def fit_vocabularies_one_pass(df: DataFrame, cols: Sequence[str],
+                              max_width: int = K.MAX_ONEHOT_WIDTH) -> dict[str, list]:
+    """Vocabularies of several string columns from ONE distributed
+    ``distinct`` over (column, value) pairs, read back with a bounded limit."""
+    cols = [c for c in cols if c in df.columns]
+    if not cols:
+        return {}
+    pairs = df.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("i"), col(c).cast("string").alias("v")) for i, c in enumerate(cols)])).alias("p"))
+    rows = (pairs.where(F.col("p.v").isNotNull()).select("p.i", "p.v").distinct()
+            .limit(len(cols) * (max_width + 1)).collect())
+    vocab: dict[str, list] = {c: [] for c in cols}
+    for r in rows:
+        vocab[cols[r["i"]]].append(r["v"])
+    for c, values in vocab.items():
+        if len(values) > max_width:
+            raise VocabularyTooWide(f"{c}: more than {max_width} categories")
+        vocab[c] = sorted(values)
+    return vocab
+
+
+def _combine_fill(n1: int, mean1, var1, k: int, value) -> tuple[float, float]:
+    """Mean and population std after adding ``k`` copies of ``value`` to a
+    sample (n1, mean1, var_pop1) - the pairwise (Chan) combination, exact in
+    real arithmetic and numerically stable."""
+    if n1 == 0:
+        return float(value), 0.0
+    if k == 0 or value is None:
+        return float(mean1), float(var1) ** 0.5
+    n = n1 + k
+    delta = float(value) - float(mean1)
+    mean = float(mean1) + delta * k / n
+    m2 = float(var1) * n1 + delta * delta * n1 * k / n
+    return mean, (m2 / n) ** 0.5
+
+
+def prepare_advanced(raw: DataFrame, key: str = "id"):
+    """Clean + EN4 (advanced) with every fit in TWO passes over the input.
+
+    Pass 1 (one aggregation): null counts, medians, modes, and count / mean
+    / population variance of the non-null numeric columns; the scaler
+    statistics after imputation follow exactly from those moments and the
+    fill values (no pass over imputed data). Pass 2: the vocabularies of
+    the categorical columns (constant fills applied) from one ``distinct``.
+    The transform is one projection. Returns
+    ``(features_df, scaler_stats, vocab, feature_list)``."""
+    from . import impute as MV
+    from .prep import (assert_no_nulls, binarize_target, bool_text_map, drop_columns)
+
+    df = drop_columns(raw, [c for c in K.ADVANCED_DROP_COLS if c != key])
+    df = bool_text_map(binarize_target(df, K.ADVANCED_TARGET_RAW, K.TARGET), K.ADVANCED_BOOLEAN_COLS)
+    checks = [c for c in df.columns if c != key]
+    policy = {c: p for c, p in MV.ADVANCED_POLICY.items() if c in df.columns}
+    numeric = [c for c in K.ADVANCED_NUMERIC_COLS if c in df.columns]
+    aggs = [F.count_if(MV._missing(df, c)).alias(f"n::{c}") for c in checks]
+    for c, how in policy.items():
+        if how == "median":
+            aggs.append(F.median(MV._clean(df, c).cast("double")).alias(f"f::{c}"))
+        elif how == "mode":
+            aggs.append(F.mode(MV._clean(df, c), True).alias(f"f::{c}"))
+    for c in numeric:
+        x = MV._clean(df, c).cast("double")
+        aggs += [F.count(x).alias(f"c::{c}"), F.avg(x).alias(f"m::{c}"), F.var_pop(x).alias(f"v::{c}")]
+    row = df.agg(*aggs).first().asDict()
+    nulls = {c: row[f"n::{c}"] for c in checks}
+    fill = {}
+    for c, how in policy.items():
+        if nulls.get(c, 0) > 0:
+            fill[c] = how[1] if isinstance(how, tuple) else row[f"f::{c}"]
+    assert_no_nulls(nulls, fill)
+    clean = MV.apply_fill(df, fill)
+    stats = {}
+    for c in numeric:
+        mean, std = _combine_fill(row[f"c::{c}"], row[f"m::{c}"], row[f"v::{c}"], nulls.get(c, 0), fill.get(c))
+        stats[c] = (mean, 1.0 if std == 0.0 else std)
+    reduced = drop_columns(clean, K.ADVANCED_LOW_IMPORTANCE_COLS)
+    vocab = fit_vocabularies_one_pass(reduced, K.ADVANCED_CATEGORICAL_COLS)
+    out = scale(onehot(reduced, vocab), stats)
+    features = [c for c in out.columns if c not in (key, K.TARGET)]
+    return out, stats, vocab, features

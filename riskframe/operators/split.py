@@ -47,7 +47,8 @@ def split_flag(df: DataFrame, key: str, test_size: float = K.TEST_SIZE, seed: in
 
 def split_flag_exact(df: DataFrame, key: str, label: str = K.TARGET, test_size: float = K.TEST_SIZE,
                      seed: int = K.RANDOM_STATE, flag: str = "is_test") -> DataFrame:
-    """SP1 (exact): exactly round(n_c * test_size) test rows per class.
+    """SP1 (exact): exactly round(n_c * test_size) test rows per class
+    (halves round up).
 
     Rows are ordered by (hash, key). Pass 1 counts rows per (class, hash
     bucket) - a small table. A running sum over that table (partitioned by

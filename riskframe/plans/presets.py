@@ -59,7 +59,12 @@ def train_job(spark: SparkSession, mode: str, raw: DataFrame, out_dir: str, env:
     """ML8: clean -> features -> split -> fit -> evaluate; writes the model,
     scaler, vocabulary and feature list; returns the metrics row."""
     p = preset(mode)
-    feats_df, artefacts, feats = p.features(p.clean(raw))
+    if mode == "basic":
+        feats_df, stats, feats = EN.prepare_basic(raw, key=p.key)
+        artefacts = {"scaler": stats}
+    else:
+        feats_df, stats, vocab, feats = EN.prepare_advanced(raw, key=p.key)
+        artefacts = {"scaler": stats, "vocabulary": vocab}
     params = p.forest_local if env == "local" else p.forest_prod
     model, metrics = TR.train_and_evaluate(feats_df, feats, "random_forest", params, key=p.key)
     IO.save_model(model, os.path.join(out_dir, "model"))

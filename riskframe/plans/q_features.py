@@ -95,7 +95,7 @@ _ADV_PLAIN = [c for c in CLEAN_CLINICAL_COLS if c not in
     f"{_z(c, 'cc')} AS {c}" if c in K.ADVANCED_NUMERIC_COLS else c for c in _ADV_PLAIN)
     + ", target, " + _dummies(K.ADVANCED_CATEGORICAL_COLS) + " FROM cc")
 def features_advanced(spark, sf):
-    out, _, _, feats = EN.build_advanced(_clean_clinical(spark, sf))
+    out, _, _, feats = EN.prepare_advanced(view(spark, sf, "clinical_raw"))
     assert feats == K.ADVANCED_FEATURES, feats
     return rounded(out)
 

@@ -19,13 +19,12 @@ from .registry import register, rounded
 
 
 def _advanced_features(spark, sf):
-    clean = PR.clean_clinical(view(spark, sf, "clinical_raw"))
-    out, _, _, feats = EN.build_advanced(clean)
+    out, _, _, feats = EN.prepare_advanced(view(spark, sf, "clinical_raw"))
     return out, feats
 
 
 def _basic_features(spark, sf):
-    out, _, feats = EN.build_basic(PR.clean_survey(view(spark, sf, "survey_raw")))
+    out, _, feats = EN.prepare_basic(view(spark, sf, "survey_raw"))
     return out, feats
 
 

@@ -201,8 +201,7 @@ RA = CC + ", " + WA[len("WITH "):] + f""", av AS (SELECT *, {_errors_sql(R.ADVAN
 
 @register("serve_advanced", RA + "SELECT row_id, " + _respond_sql(_ADV_SCORER_SQL) + " FROM aok")
 def serve_advanced(spark, sf):
-    clean = PR.clean_clinical(view(spark, sf, "clinical_raw"))
-    _, stats, vocab, feats = EN.build_advanced(clean)
+    _, stats, vocab, feats = EN.prepare_advanced(view(spark, sf, "clinical_raw"))
     ok, _ = R.split_valid(_req_advanced(spark, sf), R.ADVANCED_SCHEMA)
     rows = SV.to_model_space_advanced(ok, stats, vocab, feats)
     return rounded(SV.respond(rows, ADVANCED_SERVE_SCORER))

@@ -143,3 +143,23 @@ def test_prepare_basic_equals_clean_then_build(spark, null_bmi):
     ra = sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in a.collect())
     rb = sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in b.collect())
     assert ra == rb
+
+
+def test_prepare_advanced_equals_clean_then_build(spark):
+    raw = view(spark, SF_SMALL, "clinical_raw")
+    a, sa, va, fa = EN.prepare_advanced(raw)
+    b, sb, vb, fb = EN.build_advanced(PR.clean_clinical(raw))
+    assert fa == fb == K.ADVANCED_FEATURES and va == vb
+    for c in sa:
+        assert sa[c][0] == pytest.approx(sb[c][0], rel=1e-12) and sa[c][1] == pytest.approx(sb[c][1], rel=1e-12)
+    ra = sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in a.collect())
+    rb = sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in b.collect())
+    assert ra == rb
+
+
+def test_combine_fill_matches_direct():
+    import statistics
+    xs = [1.0, 4.0, 4.5, 10.0]
+    m, s = EN._combine_fill(len(xs), statistics.fmean(xs), statistics.pvariance(xs), 3, 2.5)
+    full = xs + [2.5] * 3
+    assert m == pytest.approx(statistics.fmean(full)) and s == pytest.approx(statistics.pstdev(full))

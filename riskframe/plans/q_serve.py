@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import rules as R
 from ..operators import encode as EN
-from ..operators import prep as PR
 from ..operators import serve as SV
 from ..operators.models import ADVANCED_SERVE_SCORER, BASIC_SERVE_SCORER
 from ..sources.fixtures import oracle_views, view

@@ -15,15 +15,26 @@ from .. import constants as K
 from ..functions.exprs import literal_map, py_round
 
 
-def log_day(ts: str = "ts"):
-    """UTC calendar day of a log timestamp, as ISO text (``YYYY-MM-DD``)."""
-    return F.date_format(F.col(ts), "yyyy-MM-dd")
+def utc_day(col, is_ntz: bool = True):
+    """UTC calendar day as ISO text (``YYYY-MM-DD``), independent of the
+    session time zone: a naive ``timestamp_ntz`` is UTC wall-clock time, a
+    ``timestamp`` is labelled by its UTC day (from epoch seconds)."""
+    if is_ntz:
+        return F.date_format(col, "yyyy-MM-dd")
+    days = F.floor(F.unix_seconds(col) / F.lit(86400)).cast("int")
+    return F.date_from_unix_date(days).cast("string")
+
+
+def log_day(log: DataFrame, ts: str = "ts"):
+    """UTC day of the log's timestamp column."""
+    from pyspark.sql.types import TimestampNTZType
+    return utc_day(F.col(ts), isinstance(log.schema[ts].dataType, TimestampNTZType))
 
 
 def usage_cube(log: DataFrame, ts: str = "ts") -> DataFrame:
     """Pre-aggregate: one row per (mode, risk_level, day) with count and the
     sum of probabilities. Partial aggregation happens before the shuffle."""
-    return (log.groupBy("mode", "risk_level", log_day(ts).alias("day"))
+    return (log.groupBy("mode", "risk_level", log_day(log, ts).alias("day"))
             .agg(F.count(F.lit(1)).alias("n"), F.sum("probability").alias("p_sum")))
 
 
@@ -46,7 +57,7 @@ def avg_probability(log: DataFrame, decimals: int = K.PROBABILITY_DECIMALS) -> D
 
 def count_by_day(log: DataFrame, ts: str = "ts") -> DataFrame:
     """US5: counts per UTC day, ascending."""
-    return (log.groupBy(log_day(ts).alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    return (log.groupBy(log_day(log, ts).alias("day")).agg(F.count(F.lit(1)).alias("n"))
             .orderBy("day"))
 
 

@@ -33,9 +33,20 @@ def log_from_events(spark: SparkSession, events: DataFrame) -> DataFrame:
     return spark.sql(PREDICTION_LOG, events=events)
 
 
+def utc_instant(df: DataFrame, ts: str = "ts"):
+    """The event time as an instant, independent of the session time zone:
+    a naive ``timestamp_ntz`` is read as UTC wall-clock time."""
+    from pyspark.sql.types import TimestampNTZType
+    c = F.col(ts)
+    if not isinstance(df.schema[ts].dataType, TimestampNTZType):
+        return c
+    sec = (F.second(c) + F.date_format(c, "SSSSSS").cast("int") / F.lit(1e6)).cast("decimal(8,6)")
+    return F.make_timestamp(F.year(c), F.month(c), F.dayofmonth(c), F.hour(c), F.minute(c), sec, F.lit("UTC"))
+
+
 def daily_counts_stream(log_stream: DataFrame, watermark: str = "1 day") -> DataFrame:
-    ts = F.col("ts").cast("timestamp")
-    return (log_stream.withColumn("ts", ts).withWatermark("ts", watermark)
+    """Windows are UTC days whatever the session time zone."""
+    return (log_stream.withColumn("ts", utc_instant(log_stream)).withWatermark("ts", watermark)
             .groupBy(F.window("ts", "1 day").alias("w"), "mode", "risk_level")
             .agg(F.count(F.lit(1)).alias("n")))
 
@@ -72,5 +83,6 @@ def read_latest(spark: SparkSession, out: str) -> DataFrame:
     rows = spark.read.parquet(out)
     latest = rows.groupBy("window_start", "mode", "risk_level").agg(
         F.max_by("n", "batch_id").alias("n"))
-    return latest.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "mode", "risk_level",
+    from ..operators.usage import utc_day
+    return latest.select(utc_day(F.col("window_start"), is_ntz=False).alias("day"), "mode", "risk_level",
                          F.col("n").cast("long").alias("n"))

@@ -145,3 +145,18 @@ def test_score_stream_writes_responses_quarantine_and_log(spark, tmp_dir):
     assert [r.row_id for r in resp] == [1] and resp[0].risk_level in K.RISK_LEVELS
     assert [r.row_id for r in quar] == [2] and quar[0].errors == ["age_group:enum"]
     assert spark.read.parquet(log).filter("mode = 'basic'").count() == 1
+
+
+def test_usage_days_do_not_depend_on_session_zone(spark):
+    from riskframe.sources.fixtures import view
+    from riskframe.streaming import usage_stream as ST2
+    log = view(spark, "/root/testdata/sf0.001", "prediction_log")
+    utc = sorted(tuple(r) for r in US.count_by_day(log).collect())
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        la = sorted(tuple(r) for r in US.count_by_day(log).collect())
+        inst = log.select(ST2.utc_instant(log).alias("t"))
+        la_ts = sorted(tuple(r) for r in inst.groupBy(US.utc_day(F.col("t"), is_ntz=False).alias("day")).count().collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert utc == la == la_ts

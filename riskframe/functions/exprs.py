@@ -78,8 +78,11 @@ def py_round(c: str | Column, digits: int) -> Column:
 
     Spark's ``bround`` rounds the shortest decimal text instead, so it
     disagrees near decimal ties; ``format_number`` uses the exact value."""
-    text = F.regexp_replace(F.format_number(col(c), digits), ",", "")
-    return F.when(col(c).isNull(), F.lit(None).cast("double")).otherwise(text.cast("double"))
+    x = col(c)
+    text = F.regexp_replace(F.format_number(x, digits), ",", "")
+    finite = ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
+    # NULL, NaN and infinities pass through unchanged (no text round trip)
+    return F.when(x.isNull(), F.lit(None).cast("double")).when(finite, text.cast("double")).otherwise(x)
 
 
 def py_fixed(c: str | Column, digits: int) -> Column:

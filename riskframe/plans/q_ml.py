@@ -78,8 +78,14 @@ def variant_experiment(spark, sf):
     clean = PR.clean_clinical(view(spark, sf, "clinical_raw"))
     full, f_full = EN.build_variant(clean)
     reduced, f_red = EN.build_variant(clean, K.ADVANCED_LOW_IMPORTANCE_COLS)
-    a = TR.evaluate_variant(full, f_full, "full", "random_forest", K.FOREST_ADVANCED_LOCAL)
-    b = TR.evaluate_variant(reduced, f_red, "reduced", "random_forest", K.FOREST_ADVANCED_LOCAL)
+    from concurrent.futures import ThreadPoolExecutor
+
+    jobs = [(full, f_full, "full"), (reduced, f_red, "reduced")]
+    # the two variants are independent distributed evaluations: run them as
+    # concurrent Spark jobs
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        a, b = pool.map(lambda j: TR.evaluate_variant(j[0], j[1], j[2], "random_forest",
+                                                      K.FOREST_ADVANCED_LOCAL), jobs)
     return rounded(a.unionByName(b))
 
 

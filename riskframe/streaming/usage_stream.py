@@ -53,7 +53,9 @@ def daily_counts_stream(log_stream: DataFrame, watermark: str = "1 day") -> Data
 
 def _writer(out: str):
     def write(batch: DataFrame, batch_id: int) -> None:
-        (batch.select(F.col("w.start").alias("window_start"), "mode", "risk_level", "n")
+        # updated groups only: at most days x modes x risk levels rows, so
+        # one file per batch (no swarm of empty shuffle-partition files)
+        (batch.select(F.col("w.start").alias("window_start"), "mode", "risk_level", "n").coalesce(1)
          .write.mode("overwrite").parquet(os.path.join(out, f"batch_id={batch_id}")))
     return write
 

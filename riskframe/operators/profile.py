@@ -63,21 +63,22 @@ def corr_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     pairwise-complete (``corr`` per pair, each unordered pair once). The
     diagonal is 1 (NaN for a constant column)."""
     cols = list(cols) if cols is not None else numeric_columns(df)
-    nulls = df.agg(*[F.count_if(col(c).isNull() | F.isnan(col(c).cast("double"))).alias(c)
-                     for c in cols]).first()
-    if all(nulls[c] == 0 for c in cols):
-        return _corr_dense(df, cols)
+    # one pass: null counts and population std (for the diagonal)
+    first = df.agg(*[F.count_if(col(c).isNull() | F.isnan(col(c).cast("double"))).alias(f"n::{c}")
+                     for c in cols],
+                   *[F.stddev_pop(col(c).cast("double")).alias(f"s::{c}") for c in cols]).first()
+    if all(first[f"n::{c}"] == 0 for c in cols):
+        return _corr_dense(df, cols, {c: first[f"s::{c}"] for c in cols})
     return _corr_pairwise(df, cols)
 
 
-def _corr_dense(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+def _corr_dense(df: DataFrame, cols: Sequence[str], sd: dict) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.stat import Correlation
 
     vec = VectorAssembler(inputCols=list(cols), outputCol="_v").transform(
         df.select(*[col(c).cast("double").alias(c) for c in cols]))
     m = Correlation.corr(vec, "_v", "pearson").first()[0].toArray()
-    sd = df.agg(*[F.stddev_pop(col(c).cast("double")).alias(c) for c in cols]).first()
     rows = []
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):

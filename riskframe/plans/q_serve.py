@@ -279,3 +279,50 @@ def serve_explained_basic(spark, sf):
     out = EX.response_rows(t, "row_id", "t", K.BASIC_FEATURE_LABELS,
                            {f: F.col("_disp")[f] for f in disp})
     return rounded(out.drop("n_items"))
+
+
+def _adv_display_sql() -> dict:
+    def yn(cond):
+        return f"CASE WHEN {cond} THEN '{K.YES_TEXT}' ELSE '{K.NO_TEXT}' END"
+    return {
+        "age": "CAST(age AS VARCHAR)", "chol": "CAST(chol AS VARCHAR) || ' mg/dl'",
+        "thalch": "CAST(thalch AS VARCHAR)", "oldpeak": "CAST(oldpeak AS VARCHAR)",
+        "ca": f"coalesce(CAST(ca AS VARCHAR), '{K.NO_RESULT_TEXT}')",
+        "fbs": yn("fbs"), "exang": yn("exang"), "sex_Male": yn("sex = 'Male'"),
+        "cp_atypical angina": yn("cp = 'atypical angina'"), "cp_non-anginal": yn("cp = 'non-anginal'"),
+        "cp_typical angina": yn("cp = 'typical angina'"), "thal_normal": yn("thal = 'normal'"),
+        "thal_reversable defect": yn("thal = 'reversable defect'"), "thal_unknown": yn("thal IS NULL"),
+    }
+
+
+_SA = ", ".join(f"avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END AS s_{c}"
+                for c in K.ADVANCED_NUMERIC_COLS)
+_ADV_SCALED_M = {c: (f"((({_ADV_RAW[c]}) - m_{c}) / s_{c})" if c in K.ADVANCED_NUMERIC_COLS else f"({_ADV_RAW[c]})")
+                 for c in K.ADVANCED_FEATURES}
+_EXPLAINED_ADV_SQL = (RA.rstrip() + f""",
+sa AS MATERIALIZED (SELECT {_SA} FROM cc),
+ok AS (SELECT aok.*, sa.* FROM aok CROSS JOIN sa),
+lg AS ({_contrib_sql(ADVANCED_SERVE_SCORER, _ADV_SCALED_M, K.ADVANCED_FEATURES)}),
+tk AS (SELECT *, CAST(row_number() OVER (PARTITION BY row_id ORDER BY abs(contribution) DESC, idx) AS INTEGER)
+   AS rank FROM lg)
+SELECT tk.row_id, tk.rank, {_label_case("tk.feature", K.ADVANCED_FEATURE_LABELS)} AS feature,
+ CASE tk.feature {" ".join(f"WHEN '{f}' THEN {e}" for f, e in _adv_display_sql().items())} END AS value,
+ (round(printf('%.4f', tk.contribution)::DOUBLE, 6) + 0.0) AS contribution
+FROM tk JOIN ok ON ok.row_id = tk.row_id WHERE tk.rank <= 8""")
+
+
+@register("serve_explained_advanced", _EXPLAINED_ADV_SQL)
+def serve_explained_advanced(spark, sf):
+    """ML7 + EX1-EX3 (advanced): top-8 contributions of every valid request
+    in model space with the advanced labels and display values (PR18, PR19)."""
+    from ..operators import explain as EX
+    _, stats, vocab, feats = EN.prepare_advanced(view(spark, sf, "clinical_raw"))
+    ok, _ = R.split_valid(_req_advanced(spark, sf), R.ADVANCED_SCHEMA)
+    disp = SV.advanced_display()
+    ok = ok.withColumn("_disp", F.struct(*[e.alias(f) for f, e in disp.items()]))
+    rows = SV.to_model_space_advanced(ok, stats, vocab, feats, keep=("row_id", "_disp"))
+    c = EX.contributions_linear(ADVANCED_SERVE_SCORER, feats, {f: 0.0 for f in feats})
+    t = EX.linear_terms(rows, ADVANCED_SERVE_SCORER, ["row_id", "_disp"]).select(
+        "row_id", "_disp", EX.top_k(c).alias("t"))
+    out = EX.response_rows(t, "row_id", "t", K.ADVANCED_FEATURE_LABELS, {f: F.col("_disp")[f] for f in disp})
+    return rounded(out.drop("n_items"))

@@ -31,16 +31,21 @@ def fit_vocabulary(df: DataFrame, cols: Sequence[str],
                    max_width: int = K.MAX_ONEHOT_WIDTH) -> dict[str, list]:
     """Sorted distinct non-null values per column.
 
-    Each column is a distributed ``distinct`` (partial aggregation) read
-    back with ``limit(max_width + 1)``: an unexpectedly wide column fails
-    fast instead of building huge sets in a task or on the driver."""
-    vocab = {}
-    for c in [c for c in cols if c in df.columns]:
+    A distributed ``distinct`` (partial aggregation) read back with a
+    bounded ``limit``: an unexpectedly wide column fails fast instead of
+    building huge sets in a task or on the driver. String columns share ONE
+    job (``fit_vocabularies_one_pass``); other types keep their own typed job."""
+    from pyspark.sql.types import StringType
+
+    cols = [c for c in cols if c in df.columns]
+    text = [c for c in cols if isinstance(df.schema[c].dataType, StringType)]
+    vocab = fit_vocabularies_one_pass(df, text, max_width) if text else {}
+    for c in [c for c in cols if c not in vocab]:
         rows = df.select(col(c)).where(col(c).isNotNull()).distinct().limit(max_width + 1).collect()
         if len(rows) > max_width:
             raise VocabularyTooWide(f"{c}: more than {max_width} categories")
         vocab[c] = sorted(r[0] for r in rows)
-    return vocab
+    return {c: vocab[c] for c in cols}
 
 
 def dummy_names(vocab: Mapping[str, Sequence], drop_first: bool = True) -> list[str]:

@@ -45,3 +45,17 @@ def test_predict_then_usage_summary(spark, tmp_dir):
     s = US.summary(IO.read_prediction_log(spark, log_path)).first()
     assert s.total_predictions >= 1 and s.by_mode == {"basic": 1}
     assert sum(s.by_risk_level.values()) == 1 and len(s.by_day) == 1
+
+
+def test_patient_summaries_and_system_prompt(spark):
+    from riskframe.operators import prompts as PM
+
+    from .test_metrics_explain import _basic_example
+    basic = _basic_example(spark).select(PM.summary_basic().alias("s")).first().s
+    assert len(basic.split("\n")) == 11 and "170.0cm / 85.0kg" in basic
+    adv = spark.createDataFrame([ADVANCED_EXAMPLE], IO.ADVANCED_REQUEST_SCHEMA)
+    summary = adv.select(PM.summary_advanced().alias("s")).first().s
+    assert len(summary.split("\n")) == 7 and "245.0 mg/dl" in summary
+    prompt = adv.select(PM.system_prompt(F.lit("advanced"), PM.summary_advanced(), F.lit(1), F.lit(0.7733),
+                                         F.lit("High"), F.lit("")).alias("p")).first().p
+    assert "77.3%" in prompt and summary in prompt and "Cao" in prompt

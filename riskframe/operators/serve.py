@@ -172,3 +172,19 @@ def display_long(req: DataFrame, display: Mapping[str, Column], key: str = "row_
     arr = F.array(*[F.struct(F.lit(f).alias("feature"), v.cast("string").alias("value"))
                     for f, v in display.items()])
     return req.select(col(key), F.explode(arr).alias("e")).select(col(key), "e.feature", "e.value")
+
+
+def respond_model(model, model_rows: DataFrame, features: Sequence[str],
+                  keep: Sequence[str] = ("row_id",)) -> DataFrame:
+    """ML7 with any fitted Spark ML classifier: one ``transform``; serving
+    rule p >= 0.5 (unlike batch argmax), probability rounded to 4, risk
+    level from the unrounded probability."""
+    from pyspark.ml.functions import vector_to_array
+
+    from .models import assemble
+
+    scored = model.transform(assemble(model_rows, features, model.getFeaturesCol()))
+    p = vector_to_array(F.col(model.getProbabilityCol()))[1]
+    return scored.select(*[col(k) for k in keep], serve_decision(p).alias("prediction"),
+                         py_round(p, K.PROBABILITY_DECIMALS).alias("probability"),
+                         risk_level(p).alias("risk_level"))

@@ -116,3 +116,15 @@ def explain_forest(spark, sf):
     model = TR.fit(df, feats, "random_forest", K.FOREST_ADVANCED_LOCAL)
     long = EX.ablation_model(model, df, feats, {f: 0.0 for f in feats}, key="id")
     return rounded(EX.topk_from_long(long, key="id"))
+
+
+@register("serve_forest_advanced")
+def serve_forest_advanced(spark, sf):
+    """ML7 with the trained forest: every valid advanced request -> model
+    row (stored vocabulary and scaler) -> serving response."""
+    from ..functions import rules as R
+    from ..operators import serve as SV
+    df, stats, vocab, feats = EN.prepare_advanced(view(spark, sf, "clinical_raw"))
+    model = TR.fit(df, feats, "random_forest", K.FOREST_ADVANCED_LOCAL)
+    ok, _ = R.split_valid(view(spark, sf, "requests_advanced"), R.ADVANCED_SCHEMA)
+    return rounded(SV.respond_model(model, SV.to_model_space_advanced(ok, stats, vocab, feats), feats))

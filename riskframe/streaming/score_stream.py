@@ -74,3 +74,11 @@ def run_available_now(spark: SparkSession, source: str, mode: str, score: Callab
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     return out
+
+
+def advanced_model_scorer(model, stats: Mapping[str, tuple[float, float]], vocab: Mapping[str, Sequence],
+                          features: Sequence[str]) -> Callable[[DataFrame], DataFrame]:
+    """Accepted advanced requests -> responses from a fitted Spark ML model."""
+    def run(ok: DataFrame) -> DataFrame:
+        return SV.respond_model(model, SV.to_model_space_advanced(ok, stats, vocab, features), features)
+    return run

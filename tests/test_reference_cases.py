@@ -59,3 +59,25 @@ def test_patient_summaries_and_system_prompt(spark):
     prompt = adv.select(PM.system_prompt(F.lit("advanced"), PM.summary_advanced(), F.lit(1), F.lit(0.7733),
                                          F.lit("High"), F.lit("")).alias("p")).first().p
     assert "77.3%" in prompt and summary in prompt and "Cao" in prompt
+
+
+def test_forest_serving_on_a_request_stream(spark, tmp_dir):
+    import json
+
+    from riskframe.streaming import score_stream as SS
+    feats_df, stats, vocab, feats = EN.prepare_advanced(view(spark, SF_SMALL, "clinical_raw"))
+    model = TR.fit(feats_df, feats, "random_forest", {"n_estimators": 20, "max_depth": 4})
+    src = os.path.join(tmp_dir, "req")
+    os.makedirs(src)
+    keys = [f.name for f in IO.ADVANCED_REQUEST_SCHEMA]
+    good = dict(zip(keys, ADVANCED_EXAMPLE))
+    bad = dict(good, row_id=2, age=130)
+    missing = {k: v for k, v in dict(good, row_id=3).items() if k not in ("ca", "thal")}
+    with open(os.path.join(src, "r.json"), "w") as f:
+        f.write("\n".join(json.dumps(x) for x in (good, bad, missing)) + "\n")
+    out = SS.run_available_now(spark, src, "advanced", SS.advanced_model_scorer(model, stats, vocab, feats))
+    resp = {r.row_id: r for r in spark.read.parquet(os.path.join(out, "responses")).collect()}
+    assert set(resp) == {1, 3}                                  # optional ca/thal accepted
+    assert all(r.prediction == int(r.probability >= 0.5) or abs(r.probability - 0.5) < 1e-4 for r in resp.values())
+    quar = spark.read.parquet(os.path.join(out, "quarantine")).collect()
+    assert [(q.row_id, q.errors) for q in quar] == [(2, ["age:range"])]

@@ -160,3 +160,14 @@ def test_usage_days_do_not_depend_on_session_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert utc == la == la_ts
+
+
+def test_partition_topk_exact_with_ties():
+    import numpy as np
+    rng = np.random.default_rng(3)
+    s = rng.integers(0, 4, size=(200, 5)).astype(float)       # heavy ties
+    ids = rng.permutation(1000)[:200]
+    r, q = RT._top_rows(s, ids, 3)
+    for j in range(5):
+        want = sorted(range(200), key=lambda i: (-s[i, j], ids[i]))[:3]
+        assert list(r[q == j]) == want

@@ -188,3 +188,29 @@ def respond_model(model, model_rows: DataFrame, features: Sequence[str],
     return scored.select(*[col(k) for k in keep], serve_decision(p).alias("prediction"),
                          py_round(p, K.PROBABILITY_DECIMALS).alias("probability"),
                          risk_level(p).alias("risk_level"))
+
+
+def explain_requests_model(model, requests: DataFrame, model_rows: DataFrame, features: Sequence[str],
+                           labels, display: Mapping[str, Column], key: str = "row_id",
+                           k: int = K.TOP_CONTRIBUTORS) -> DataFrame:
+    """ML7 + EX1-EX3 with a fitted Spark ML model: top-k contributions of
+    every request as ``(key, rank, feature (label), value, contribution)``.
+
+    Ablation runs through ONE model transform over the expanded rows; the
+    display texts are packed into one struct per request and joined back
+    on the key after the top-k (k rows per request)."""
+    from .explain import ablation_model, topk_from_long
+
+    long = ablation_model(model, model_rows, features, {f: 0.0 for f in features}, key=key)
+    top = topk_from_long(long, key=key, k=k)
+    disp = requests.select(col(key), F.struct(*[e.cast("string").alias(f) for f, e in display.items()])
+                           .alias("_disp"))
+    label_map = literal_map(list(labels.items()) if isinstance(labels, Mapping) else labels)
+    value = None
+    for f in display:
+        value = (F.when(F.col("feature") == f, F.col("_disp")[f]) if value is None
+                 else value.when(F.col("feature") == f, F.col("_disp")[f]))
+    return (top.join(disp, on=key, how="left")
+            .select(col(key), "rank", F.coalesce(label_map[F.col("feature")], F.col("feature")).alias("feature"),
+                    F.coalesce(value, F.lit("")).alias("value"),
+                    py_round(F.col("contribution"), K.PROBABILITY_DECIMALS).alias("contribution")))

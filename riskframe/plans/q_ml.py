@@ -128,3 +128,17 @@ def serve_forest_advanced(spark, sf):
     model = TR.fit(df, feats, "random_forest", K.FOREST_ADVANCED_LOCAL)
     ok, _ = R.split_valid(view(spark, sf, "requests_advanced"), R.ADVANCED_SCHEMA)
     return rounded(SV.respond_model(model, SV.to_model_space_advanced(ok, stats, vocab, feats), feats))
+
+
+@register("serve_forest_explained")
+def serve_forest_explained(spark, sf):
+    """ML7 + EX1-EX3 with the trained forest: top-8 labelled contributions
+    (with display values) for every valid advanced request."""
+    from ..functions import rules as R
+    from ..operators import serve as SV
+    df, stats, vocab, feats = EN.prepare_advanced(view(spark, sf, "clinical_raw"))
+    model = TR.fit(df, feats, "random_forest", K.FOREST_ADVANCED_LOCAL)
+    ok, _ = R.split_valid(view(spark, sf, "requests_advanced"), R.ADVANCED_SCHEMA)
+    rows = SV.to_model_space_advanced(ok, stats, vocab, feats)
+    return rounded(SV.explain_requests_model(model, ok, rows, feats, K.ADVANCED_FEATURE_LABELS,
+                                             SV.advanced_display()))

@@ -81,3 +81,20 @@ def test_forest_serving_on_a_request_stream(spark, tmp_dir):
     assert all(r.prediction == int(r.probability >= 0.5) or abs(r.probability - 0.5) < 1e-4 for r in resp.values())
     quar = spark.read.parquet(os.path.join(out, "quarantine")).collect()
     assert [(q.row_id, q.errors) for q in quar] == [(2, ["age:range"])]
+
+
+def test_forest_explained_response_labels_and_values(spark):
+    feats_df, stats, vocab, feats = EN.prepare_advanced(view(spark, SF_SMALL, "clinical_raw"))
+    model = TR.fit(feats_df, feats, "random_forest", {"n_estimators": 20, "max_depth": 4})
+    req = spark.createDataFrame([ADVANCED_EXAMPLE], IO.ADVANCED_REQUEST_SCHEMA)
+    rows = SV.to_model_space_advanced(req, stats, vocab, feats)
+    out = SV.explain_requests_model(model, req, rows, feats, K.ADVANCED_FEATURE_LABELS,
+                                    SV.advanced_display()).orderBy("rank").collect()
+    assert [r.rank for r in out] == list(range(1, 9))
+    labels = dict(K.ADVANCED_FEATURE_LABELS)
+    assert all(r.feature in labels.values() for r in out)
+    by_label = {r.feature: r.value for r in out}
+    if labels["chol"] in by_label:
+        assert by_label[labels["chol"]] == "245.0 mg/dl"
+    mags = [abs(r.contribution) for r in out]
+    assert mags == sorted(mags, reverse=True)

@@ -163,3 +163,26 @@ def test_combine_fill_matches_direct():
     m, s = EN._combine_fill(len(xs), statistics.fmean(xs), statistics.pvariance(xs), 3, 2.5)
     full = xs + [2.5] * 3
     assert m == pytest.approx(statistics.fmean(full)) and s == pytest.approx(statistics.pstdev(full))
+
+
+def test_clinical_nulls_outside_the_policy_fail(spark):
+    raw = view(spark, SF_SMALL, "clinical_raw").withColumn(
+        "age", F.when(F.col("id") == 5, F.lit(None)).otherwise(F.col("age")))
+    with pytest.raises(PR.NullsRemainError):
+        PR.clean_clinical(raw)
+    with pytest.raises(PR.NullsRemainError):
+        EN.prepare_advanced(raw)
+
+
+def test_python_strip_whitespace_set(spark):
+    from riskframe.functions.exprs import py_strip
+    text = "　\x1c\t ## Head  \x85\n"
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(py_strip("t").alias("s")).first().s == text.strip()
+
+
+def test_scaler_fit_on_train_only(spark):
+    df = spark.createDataFrame([(i, float(i), int(i % 2)) for i in range(10)], "row_id long, BMI double, target int")
+    train = df.filter("row_id < 5")
+    _, stats, _ = EN.build_basic(df, fit_on=train)
+    assert stats["BMI"][0] == 2.0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.exprs import argmax_decision, risk_level, serve_decision
+from ..functions.exprs import argmax_decision, py_round, risk_level, serve_decision
 from ..operators import metrics as ME
 from ..operators import prep as PR
 from ..operators.models import SURVEY_TEST_SCORER
@@ -43,13 +43,13 @@ def risk_bucket(spark, sf):
 @register("decision_rules", WSS + """
 SELECT row_id, CASE WHEN probability >= 0.5 THEN 1 ELSE 0 END AS serve_prediction,
  CASE WHEN probability > 0.5 THEN 1 ELSE 0 END AS batch_prediction,
- round(round_even(probability, 4), 6) AS display_probability FROM scored_survey""")
+ round(printf('%.4f', probability)::DOUBLE, 6) AS display_probability FROM scored_survey""")
 def decision_rules(spark, sf):
     s = scored_survey(spark, sf)
     return rounded(s.select(
         "row_id", serve_decision("probability").alias("serve_prediction"),
         argmax_decision("probability").alias("batch_prediction"),
-        F.bround("probability", K.PROBABILITY_DECIMALS).alias("display_probability")))
+        py_round("probability", K.PROBABILITY_DECIMALS).alias("display_probability")))
 
 
 @register("accuracy", WSS + f"""

@@ -64,6 +64,7 @@ def roc_auc(df: DataFrame, label: str = K.TARGET, score: str = "probability",
     # range totals come from the same windowed rows (no second scan); the
     # offsets table has at most groups x buckets rows
     totals = win.groupBy(*g, "_b").agg(F.max("_neg_upto").alias("_bn"))
+    # over the range totals: at most ``buckets`` rows per group
     outer = W.partitionBy(*g).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.withColumn("_off", F.coalesce(F.sum("_bn").over(outer), F.lit(0))).drop("_bn")
     joined = win.join(broadcast_if_small(offsets), on=g + ["_b"], how="left")
@@ -121,6 +122,7 @@ def class_distribution(df: DataFrame, label: str = K.TARGET) -> DataFrame:
     """ME5: ``value_counts(normalize=True)``: share per class, descending;
     NULL labels excluded."""
     counts = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    # a window over the per-class counts (one row per class), not over data
     everything = W.partitionBy()
     return (counts.withColumn("share", F.col("n") / F.sum("n").over(everything))
             .orderBy(F.desc("n"), label))

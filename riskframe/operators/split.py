@@ -96,6 +96,7 @@ def class_weights(df: DataFrame, label: str = K.TARGET) -> DataFrame:
     from pyspark.sql import Window as W
 
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_class"))
+    # a window over the per-class counts (one row per class), not over data
     everything = W.partitionBy()
     return (counts.withColumn("weight", F.sum("n_class").over(everything)
                               / (F.count(F.lit(1)).over(everything) * F.col("n_class"))))

@@ -130,6 +130,7 @@ def dense_index(df: DataFrame, name: str = "_i") -> DataFrame:
     part = F.shiftright(F.col("_mid"), 33)   # partition index of the id
     counts = base.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_c"),
                                                 F.min("_mid").alias("_first"))
+    # prefix sum over the per-partition counts (one row per partition)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_c").over(
         W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     joined = base.join(broadcast_if_small(offsets.select("_p", "_off", "_first")),

@@ -112,15 +112,25 @@ def read_requests(spark: SparkSession, path: str, schema: StructType) -> DataFra
 LOG_COLUMNS = ["mode", "prediction", "probability", "risk_level"]
 
 
-def append_prediction_log(responses: DataFrame, path: str, mode: str | None = None) -> bool:
-    """IO9: append the five aggregate fields (never the request payload) with
-    the UTC time, partitioned by day for pruning. A failure is logged and
-    reported, never raised: logging must not fail scoring."""
+def append_prediction_log(responses: DataFrame, path: str, mode: str | None = None,
+                          batch_key: str | None = None) -> bool:
+    """IO9: add the five aggregate fields (never the request payload) with
+    the UTC time, partitioned by (day, batch) for pruning.
+
+    Every write carries a batch key and uses dynamic partition overwrite, so
+    re-running the same batch (a task, job or stream micro-batch replayed
+    after a failure) replaces its own rows instead of duplicating them. A
+    failure is logged and reported, never raised: logging must not fail
+    scoring."""
+    import uuid
     try:
         df = responses if mode is None else responses.withColumn("mode", F.lit(mode))
         ts = F.current_timestamp()
-        (df.select(*LOG_COLUMNS, ts.alias("ts"), F.to_date(ts).cast("string").alias("day"))
-         .write.mode("append").partitionBy("day").parquet(path))
+        day = F.date_from_unix_date(F.floor(F.unix_seconds(ts) / F.lit(86400)).cast("int")).cast("string")
+        (df.select(*LOG_COLUMNS, ts.alias("ts"), day.alias("day"),
+                   F.lit(batch_key or uuid.uuid4().hex).alias("batch"))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("day", "batch").parquet(path))
         return True
     except Exception as e:  # noqa: BLE001 - by contract
         log.warning("prediction log append failed: %s", e)
@@ -133,7 +143,7 @@ def read_prediction_log(spark: SparkSession, path: str) -> DataFrame:
         return spark.read.parquet(path)
     except Exception:  # noqa: BLE001 - absent log = no usage yet
         return spark.createDataFrame([], "mode string, prediction int, probability double, "
-                                         "risk_level string, ts timestamp, day string")
+                                         "risk_level string, ts timestamp, day string, batch string")
 
 
 # ---------------------------------------------------------------- IO11

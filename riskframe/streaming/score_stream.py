@@ -7,8 +7,9 @@ a linear scorer or any fitted Spark ML model) and written by
 
 * ``responses/batch_id=<id>`` - accepted requests with their response;
 * ``quarantine/batch_id=<id>`` - rejected requests with error codes;
-* the prediction log - appended in its own ``try``: a failing log write is
-  reported and never fails the scoring batch.
+* the prediction log - appended in its own ``try`` under a per-batch key
+  (dynamic partition overwrite), so a replay never duplicates log rows; a
+  failing log write is reported and never fails the scoring batch.
 
 Per-batch folders are overwritten on replay, so a restarted query rewrites
 the same files instead of duplicating them.
@@ -43,7 +44,8 @@ def advanced_scorer(stats: Mapping[str, tuple[float, float]], vocab: Mapping[str
     return run
 
 
-def _batch_writer(out: str, schema_rules, score: Callable[[DataFrame], DataFrame], mode: str, log_path: str | None):
+def _batch_writer(out: str, schema_rules, score: Callable[[DataFrame], DataFrame], mode: str, log_path: str | None,
+                  stream_key: str = "stream"):
     def write(batch: DataFrame, batch_id: int) -> None:
         v = R.validate(batch, schema_rules)
         ok = v.filter(F.size(R.ERRORS) == 0).drop(R.ERRORS)
@@ -55,7 +57,7 @@ def _batch_writer(out: str, schema_rules, score: Callable[[DataFrame], DataFrame
         if log_path:
             IO.append_prediction_log(
                 batch.sparkSession.read.parquet(os.path.join(out, "responses", f"batch_id={batch_id}")),
-                log_path, mode=mode)
+                log_path, mode=mode, batch_key=f"{stream_key}-{batch_id}")
     return write
 
 
@@ -70,7 +72,11 @@ def run_available_now(spark: SparkSession, source: str, mode: str, score: Callab
     rules = R.BASIC_SCHEMA if mode == "basic" else R.ADVANCED_SCHEMA
     lines = spark.readStream.text(source)
     requests = IO.parse_requests(lines, schema)
-    q = (requests.writeStream.foreachBatch(_batch_writer(out, rules, score, mode, log_path))
+    # the key is stable across restarts of the same checkpoint: a replayed
+    # batch overwrites its own log partition
+    import hashlib
+    stream_key = f"{mode}-{hashlib.sha1(checkpoint.encode()).hexdigest()[:12]}"
+    q = (requests.writeStream.foreachBatch(_batch_writer(out, rules, score, mode, log_path, stream_key))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     return out

@@ -139,3 +139,12 @@ def test_logistic_regularisation_matches_c(spark):
     model = TR.fit(df, ["a"], "logistic_regression", {"C": 1.0})
     # regParam = 1 / (C * n): weak regularisation, a clearly positive slope
     assert model.getRegParam() == 1.0 / 400 and model.coefficients[0] > 1.0
+
+
+def test_log_append_is_idempotent_per_batch(spark, tmp_dir):
+    resp = spark.createDataFrame([(1, 0.7, "High"), (0, 0.1, "Low")], "prediction int, probability double, risk_level string")
+    path = os.path.join(tmp_dir, "log")
+    assert IO.append_prediction_log(resp, path, mode="basic", batch_key="s-1")
+    assert IO.append_prediction_log(resp, path, mode="basic", batch_key="s-1")   # replay
+    assert IO.append_prediction_log(resp, path, mode="basic", batch_key="s-2")
+    assert IO.read_prediction_log(spark, path).count() == 4

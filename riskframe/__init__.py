@@ -7,4 +7,12 @@ Every operator is a ``DataFrame -> DataFrame`` function (usable with
 literals or through a size-checked broadcast.
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions that run in Python workers travel with their code, so executors
+# need no copy of this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

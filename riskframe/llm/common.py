@@ -39,6 +39,26 @@ def ascii_lower(text: Column) -> Column:
         F.translate(text, UPPER, LOWER))
 
 
+def window_hashes(hashes: Column, length: int) -> Column:
+    """Hash of every run of ``length`` elements of an array of word hashes, by
+    doubling: the hash of 2k elements joins those of its halves. (``slice``
+    inside a lambda would copy the whole array for every window.)"""
+
+    def join(left: Column, right: Column, shift: int) -> Column:
+        return F.zip_with(left, F.slice(right, shift + 1, F.greatest(F.size(right), F.lit(1))), lambda a, b: F.xxhash64(a, b))
+
+    def grow(power: Column, k: int, done: Column | None, covered: int) -> Column:
+        if length & k:
+            done, covered = (power, k) if done is None else (join(done, power, covered), covered + k)
+        if covered == length:
+            return F.slice(done, 1, F.greatest(F.size(done) - (length - 1), F.lit(0)))
+        if done is None or done is power:
+            return let(join(power, power, k), lambda p: grow(p, 2 * k, done, covered))
+        return let(F.struct(join(power, power, k).alias("p"), done.alias("d")), lambda x: grow(x["p"], 2 * k, x["d"], covered))
+
+    return let(hashes, lambda h: grow(h, 1, None, 0))
+
+
 def unit_hash(*cols: Column) -> Column:
     """A uniform double in (0, 1) from a 64-bit hash: 52 bits, centred."""
     return (F.shiftrightunsigned(F.xxhash64(*cols), 12).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))

@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NON_SPACE, broadcast_checked, let, space_words, stored
+from .common import NON_SPACE, broadcast_checked, let, space_words, stored, window_hashes
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -67,8 +67,7 @@ def repeat_words(words: Column) -> Column:
             F.lit(0).cast("long"))
 
     def of_words(ws: Column) -> Column:
-        windows = F.transform(F.sequence(F.lit(1), F.size(ws) - (WINDOW - 1)),
-                              lambda i: F.xxhash64(F.slice(ws, i, WINDOW)))
+        windows = window_hashes(F.transform(ws, lambda w: F.xxhash64(w)), WINDOW)
         return F.when(F.size(ws) > WINDOW, let(windows, of_windows)).otherwise(F.lit(0).cast("long"))
 
     return let(words, of_words)

@@ -2,9 +2,9 @@
 
 The word windows of the benchmark items (10 words; shorter items are one
 window) form a hash set that is broadcast after its rows were counted; beyond
-the bound the same join shuffles. Every document is scanned once: its window
-hashes are generated and probed in the same stage, a hit is verified by a
-second, independent 64-bit hash of the window, and only hits are shuffled.
+the bound the same join shuffles. Every document's window hashes are generated
+and probed in one stage, and only hits are shuffled. A second scan counts the
+words and verifies each hit by comparing the words themselves.
 
 ``scan`` reports per document; ``clean`` removes hit spans or whole documents.
 
@@ -20,56 +20,74 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, broadcast_checked, let, stored
+from .common import ascii_lower, broadcast_checked, let, stored, window_hashes
 
 WINDOW = 10
-MAX_BROADCAST_WINDOWS = 1_000_000
+MAX_BROADCAST_WINDOWS = 200_000
+MAX_BROADCAST_HITS = 20_000    # documents with candidates
 #: Separators of lower-cased and of raw text (raw text still has A-Z).
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 RAW_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+RAW_WORD = r"[0-9A-Za-z\x80-\x{10FFFF}]"
 
 
 def words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), GAP + "+"), "")
 
 
-def _windows(ws: Column, length: int) -> Column:
-    """Array of (pos, len, h1, h2), one per window of ``length`` words."""
-    at = lambda i: let(F.slice(ws, i, length), lambda w: F.struct(
-        (i - 1).alias("pos"), F.lit(length).alias("len"), F.xxhash64(w).alias("h1"), F.xxhash64(F.lit(17), w).alias("h2")))
-    return F.when(F.size(ws) >= length, F.transform(F.sequence(F.lit(1), F.size(ws) - (length - 1)), at)).otherwise(
-        F.array().cast("array<struct<pos:int,len:int,h1:bigint,h2:bigint>>"))
+HIT = "array<struct<pos:int,len:int,gram:string,items:array<string>>>"
 
 
-def item_windows(bench: DataFrame, window: int = WINDOW) -> DataFrame:
-    """len, h1, h2, items (ids as text) of every distinct benchmark window."""
-    items = bench.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w"))
-    short = F.array(F.struct(F.lit(0).alias("pos"), F.size("w").alias("len"), F.xxhash64("w").alias("h1"),
-                             F.xxhash64(F.lit(17), F.col("w")).alias("h2")))
-    rows = items.filter(F.size("w") > 0).select(
-        "item", F.explode(F.when(F.size("w") < window, short).otherwise(_windows(F.col("w"), window))).alias("x"))
-    return rows.groupBy(F.col("x.len").alias("_len"), F.col("x.h1").alias("_h1"), F.col("x.h2").alias("_h2")).agg(
-        F.collect_set("item").alias("items"))
+def _windows(ws: Column, lengths: list[int]) -> Column:
+    """Array of (pos, len, h) of all windows of the given lengths."""
+
+    def of_length(hashes: Column, n: int) -> Column:
+        return F.transform(window_hashes(hashes, n), lambda h, i: F.struct(i.alias("pos"), F.lit(n).alias("len"), h.alias("h")))
+
+    return F.when(F.size(ws) >= min(lengths), let(
+        F.transform(ws, lambda w: F.xxhash64(w)), lambda hashes: F.concat(*[of_length(hashes, n) for n in lengths]))).otherwise(
+        F.array().cast("array<struct<pos:int,len:int,h:bigint>>"))
+
+
+def _gram(ws: Column, pos: Column, length: Column) -> Column:
+    return F.array_join(F.slice(ws, pos + 1, length), " ")
 
 
-def hits(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, text_hash, spans (array of (pos, len) in words) and items of
-    the documents with at least one occurring window."""
+def item_windows(bench: DataFrame, window: int = WINDOW) -> DataFrame:
+    """_len, _h, gram (the words) and items (ids as text) of every distinct benchmark window."""
+    items = bench.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w"))
+    n = F.size("w")
+    windows = _windows(F.col("w"), [window])
+    for short in range(1, window):
+        windows = F.when(n == short, _windows(F.col("w"), [short])).otherwise(windows)
+    rows = items.filter(n > 0).select("item", "w", F.explode(windows).alias("x"))
+    return rows.groupBy(F.col("x.len").alias("_len"), F.col("x.h").alias("_h"),
+                        _gram(F.col("w"), F.col("x.pos"), F.col("x.len")).alias("gram")).agg(F.collect_set("item").alias("items"))
+
+
+def candidates(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Stored _found_id, _found_hash and _found (array of pos, len, gram,
+    items) of the documents in which a window's hash occurs."""
     table = stored(item_windows(bench, window), "bench-windows")
     lengths = sorted(r[0] for r in table.select("_len").distinct().collect())  # at most ``window`` numbers
-    if not lengths:
-        return docs.limit(0).select("doc_id", F.xxhash64("text").alias("text_hash"),
-                                    F.array().cast("array<struct<pos:int,len:int>>").alias("spans"),
-                                    F.array().cast("array<string>").alias("items"))
     scanned = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), let(
-        words(F.col("text")), lambda ws: F.concat(*[_windows(ws, n) for n in lengths])).alias("x"))
+        words(F.col("text")), lambda ws: _windows(ws, lengths or [window])).alias("x"))
     probes = scanned.select("doc_id", "text_hash", F.explode("x").alias("x"))
     found = probes.join(broadcast_checked(table, MAX_BROADCAST_WINDOWS),
-                        (F.col("x.h1") == F.col("_h1")) & (F.col("x.h2") == F.col("_h2")) & (F.col("x.len") == F.col("_len")))
-    return found.groupBy("doc_id", "text_hash").agg(
-        F.sort_array(F.collect_set(F.struct(F.col("x.pos").alias("pos"), F.col("x.len").alias("len")))).alias("spans"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+                        (F.col("x.h") == F.col("_h")) & (F.col("x.len") == F.col("_len")))
+    return stored(found.groupBy(F.col("doc_id").alias("_found_id"), F.col("text_hash").alias("_found_hash")).agg(
+        F.sort_array(F.collect_set(F.struct("x.pos", "x.len", "gram", "items"))).alias("_found")), "bench-hits")
+
+
+def _verified(docs: DataFrame, bench: DataFrame, cols: list[Column], window: int) -> DataFrame:
+    """``cols`` of every row, its ``_words``, and ``_hits``: the candidates
+    whose words are those of the benchmark."""
+    found = broadcast_checked(candidates(docs, bench, window), MAX_BROADCAST_HITS)
+    rows = docs.select(*cols, F.xxhash64("text").alias("_hash"), words(F.col("text")).alias("_words"))
+    rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_found_id")) & (F.col("_hash") == F.col("_found_hash")), "left")
+    hits = F.when(F.col("_found").isNull(), F.array().cast(HIT)).otherwise(
+        F.filter("_found", lambda s: _gram(F.col("_words"), s["pos"], s["len"]) == s["gram"]))
+    return rows.withColumn("_hits", hits).drop("_found", "_found_id", "_found_hash", "_hash")
 
 
 def covered(spans: Column) -> Column:
@@ -82,33 +100,25 @@ def covered(spans: Column) -> Column:
                        lambda acc: acc["n"])
 
 
-def _with_hits(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
-    found = found.withColumnsRenamed({"doc_id": "_found_id", "text_hash": "_found_hash", "spans": "_spans", "items": "_items"})
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_found_id")) & (F.col("_hash") == F.col("_found_hash")), how)
-
-
 def scan(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, items (array), spans of every document row."""
-    base = docs.select("doc_id", F.xxhash64("text").alias("_hash"),
-                       F.coalesce(F.regexp_count("text", F.lit(RAW_WORD + "+")), F.lit(0)).cast("long").alias("n_words"))
-    none = F.array().cast("array<struct<pos:int,len:int>>")
-    return _with_hits(base, hits(docs, bench, window), "left").select(
-        "doc_id", "n_words", covered(F.coalesce("_spans", none)).alias("n_hit"),
-        F.coalesce("_items", F.array().cast("array<string>")).alias("items"), F.coalesce("_spans", none).alias("spans"))
+    rows = _verified(docs, bench, [F.col("doc_id")], window)
+    return rows.select(
+        "doc_id", F.size("_words").cast("long").alias("n_words"), covered(F.col("_hits")).alias("n_hit"),
+        F.sort_array(F.array_distinct(F.flatten(F.col("_hits.items")))).alias("items"),
+        F.transform("_hits", lambda s: F.struct(s["pos"].alias("pos"), s["len"].alias("len"))).alias("spans"))
 
 
 def clean(docs: DataFrame, bench: DataFrame, remove: str = "documents", window: int = WINDOW) -> DataFrame:
     """``documents``: drop documents with a hit. ``spans``: cut the hit words,
     with the separators before them, out of the text and keep the rest."""
     cols = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.select(*cols, F.xxhash64("text").alias("_hash"))
-    found = hits(docs, bench, window)
+    rows = _verified(docs, bench, cols, window)
     if remove == "documents":
-        return _with_hits(keyed, found, "left_anti").select(*cols)
+        return rows.filter(F.size("_hits") == 0).select(*cols)
     # pieces: each word with the separators before it, and the last separators
     pieces = F.regexp_extract_all("text", F.lit(f"{RAW_GAP}*{RAW_WORD}+|{RAW_GAP}+$"), F.lit(0))
-    hit = lambda i: F.exists("_spans", lambda s: (s["pos"] <= i) & (i < s["pos"] + s["len"]))
+    hit = lambda i: F.exists("_hits", lambda s: (s["pos"] <= i) & (i < s["pos"] + s["len"]))
     cut = let(pieces, lambda ps: F.concat_ws("", F.filter(ps, lambda p, i: ~hit(i))))
-    out = [F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut).alias("text") if c == "text" else F.col(f"`{c}`")
-           for c in docs.columns]
-    return _with_hits(keyed, found, "left").select(*out)
+    return rows.select(*[F.when(F.size("_hits") == 0, F.col("text")).otherwise(cut).alias("text") if c == "text"
+                         else F.col(f"`{c}`") for c in docs.columns])

@@ -34,7 +34,7 @@ from .common import broadcast_checked, shared_path, stored
 
 END = 0
 BLOCK = 4096
-SEGMENT = 1 << 23          # ids after which a segment ends (with its document)
+SEGMENT = 1 << 22          # ids after which a segment ends (with its document)
 MAX_BROADCAST_SEGMENTS = 1_000_000
 MAGIC = b"CMR1"
 
@@ -46,8 +46,9 @@ class Encoder:
     does not hold, go to the library whole."""
 
     RUNS = re.compile(r"\s \s|\s $")
+    SPACE = re.compile(r"\s")
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -67,8 +68,9 @@ class Encoder:
 
     def learn(self, pieces: list[str]) -> None:
         """Encode the new ``pieces``, each standing for itself after a space."""
-        plain = [p for p in pieces if p and not re.search(r"\s", p)]
-        odd = [p for p in pieces if not p or re.search(r"\s", p)]
+        space = self.SPACE.search
+        plain = [p for p in pieces if p and not space(p)]
+        odd = [p for p in pieces if not p or space(p)]
         parts, lengths = [], []
         if plain:
             # one call for all: a piece starts at each id that begins with a space

@@ -166,7 +166,6 @@ RELEVANCE_THRESHOLD = 0.5
 ZERO_NORM_DENOMINATOR = 1e-10
 HISTORY_KEEP = 12
 CHUNK_SPLIT_PATTERN = r"\n(?=## )"
-CHUNK_HEADING_PATTERN = r"^## (.+)"
 TITLE_PREFIX = "# "
 
 # Characters Python's str.strip() removes (str.isspace): as a set, and as a

@@ -61,6 +61,8 @@ def error_codes(schema: Sequence[Field]) -> Column:
                 bad = bad | (x < F.lit(f.ge))
             if f.le is not None:
                 bad = bad | (x > F.lit(f.le))
+            # NaN is larger than any number to Spark: no range holds it
+            bad = bad | F.coalesce(F.isnan(x.cast("double")), F.lit(False))
             checks.append(F.when(x.isNotNull() & bad, F.lit(f"{f.name}:range")))
         if f.min_length is not None:
             checks.append(F.when(x.isNotNull() & (F.length(x) < f.min_length),
@@ -69,8 +71,12 @@ def error_codes(schema: Sequence[Field]) -> Column:
 
 
 def validate(df: DataFrame, schema: Sequence[Field]) -> DataFrame:
-    """Apply defaults and attach ``errors`` (empty = valid)."""
-    return with_defaults(df, schema).withColumn(ERRORS, error_codes(schema))
+    """Apply defaults and attach ``errors`` (empty = valid). Type errors that
+    parsing found (column ``type_errors``) count as errors."""
+    errors = error_codes(schema)
+    if "type_errors" in df.columns:
+        return with_defaults(df, schema).withColumn(ERRORS, F.concat("type_errors", errors)).drop("type_errors")
+    return with_defaults(df, schema).withColumn(ERRORS, errors)
 
 
 def split_valid(df: DataFrame, schema: Sequence[Field]) -> tuple[DataFrame, DataFrame]:

@@ -41,12 +41,13 @@ def _clean(df: DataFrame, c: str):
 
 def null_profile(df: DataFrame, cols: Iterable[str] | None = None) -> DataFrame:
     """MV1 + MV2: ``(column_name, null_count, null_pct)`` for every column,
-    from one aggregation, unpivoted with a single explode."""
+    from one aggregation, unpivoted with a single explode. The percentage of
+    an empty table is NULL."""
     cols = list(cols) if cols is not None else df.columns
     n = F.count(F.lit(1))
     aggs = [F.struct(F.lit(c).alias("column_name"),
                      F.count_if(_missing(df, c)).alias("null_count"),
-                     (F.count_if(_missing(df, c)) * 100.0 / n).alias("null_pct"))
+                     F.try_divide(F.count_if(_missing(df, c)) * 100.0, n).alias("null_pct"))
             for c in cols]
     return (df.agg(F.array(*aggs).alias("p")).select(F.explode("p").alias("r"))
             .select("r.column_name", "r.null_count",

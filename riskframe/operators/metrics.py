@@ -70,8 +70,8 @@ def roc_auc(df: DataFrame, label: str = K.TARGET, score: str = "probability",
     joined = win.join(broadcast_if_small(offsets), on=g + ["_b"], how="left")
     below = F.col("_off") + F.col("_neg_upto") - F.col("_n")
     return joined.groupBy(*g).agg(
-        (F.sum(F.col("_p") * (below + F.col("_n") * 0.5))
-         / (F.sum("_p").cast("double") * F.sum("_n"))).alias("roc_auc"))
+        F.try_divide(F.sum(F.col("_p") * (below + F.col("_n") * 0.5)),
+                     F.sum("_p").cast("double") * F.sum("_n")).alias("roc_auc"))
 
 
 def confusion(df: DataFrame, label: str = K.TARGET, prediction: str = "prediction",

@@ -23,26 +23,17 @@ CONTEXT_HEADER = "\n=== REFERENCE NOTES (related to the current question) ==="
 CONTEXT_SOURCE = "Source: "
 MODE_TEXT = [("basic", "Quick screening - self assessment"), ("advanced", "Advanced - with test results")]
 PREDICTION_TEXT = [(1, "AT RISK of heart disease"), (0, "NOT at risk of heart disease")]
-SYSTEM_TEMPLATE = """You are a heart-health assistant for a risk screening application.
-The user has just received the model result below. Explain it and give general lifestyle
-advice that builds on the risk factors the user reported.
+SYSTEM_TEMPLATE = """Screening companion, {mode_label}.
 
-=== PATIENT ({mode_label}) ===
+Answers given by the user:
 {patient_summary}
 
-=== MODEL RESULT ===
-- Prediction: {prediction_label}
-- Probability: {probability}
-- Risk level: {risk_level_label}
+Score: {prediction_label}, {probability} ({risk_level_label}).
 {context_block}
-=== RULES ===
-1. Never diagnose: this is a statistical screening result, not a medical finding.
-2. Never prescribe or dose medication.
-3. For acute symptoms (severe chest pain, breathlessness, fainting), tell the user to call
-   emergency services or go to a hospital at once.
-4. When the risk level is high, recommend a medical check-up first.
-5. Keep lifestyle advice general and in line with public-health guidance.
-6. If reference notes are given above, prefer them and restate them in your own words.
+How to answer: say in plain words which answers raised or lowered the score, then suggest one
+small next step. A score is an estimate from a model and no finding; leave findings, drugs and
+doses to a clinician. Name urgent care first if the user describes symptoms that cannot wait.
+Use the notes above where they fit the question, and say so when they do not.
 """
 
 YES, NO = "yes", "no"
@@ -63,17 +54,17 @@ def _sex(c="sex") -> Column:
 def summary_basic() -> Column:
     """RA10 (basic): 11 lines over a basic request row."""
     lines = [
-        F.concat(F.lit("- Age group: "), _s("age_group"), F.lit(", sex: "), _sex()),
-        F.concat(F.lit("- Height / weight: "), _s("height_cm"), F.lit("cm / "), _s("weight_kg"), F.lit("kg")),
-        F.concat(F.lit("- High blood pressure (diagnosed): "), _yn("high_bp")),
-        F.concat(F.lit("- High cholesterol (diagnosed): "), _yn("high_chol")),
-        F.concat(F.lit("- Diabetes: "), F.coalesce(col("diabetes"), F.lit(K.DIABETES_CODES[0][0]))),
-        F.concat(F.lit("- Past stroke: "), _yn("stroke")),
-        F.concat(F.lit("- Smoker: "), _yn("smoker")),
-        F.concat(F.lit("- Regular physical activity: "), _yn("phys_activity")),
-        F.concat(F.lit("- Daily fruit / vegetables: "), _yn("fruits"), F.lit("/"), _yn("veggies")),
-        F.concat(F.lit("- Self-rated general health: "), _s("gen_health")),
-        F.concat(F.lit("- Difficulty walking or climbing stairs: "), _yn("diff_walk")),
+        F.concat(F.lit("age band = "), _s("age_group"), F.lit("; sex = "), _sex()),
+        F.concat(F.lit("body = "), _s("height_cm"), F.lit("cm / "), _s("weight_kg"), F.lit("kg")),
+        F.concat(F.lit("blood pressure raised = "), _yn("high_bp")),
+        F.concat(F.lit("cholesterol raised = "), _yn("high_chol")),
+        F.concat(F.lit("diabetes = "), F.coalesce(col("diabetes"), F.lit(K.DIABETES_CODES[0][0]))),
+        F.concat(F.lit("stroke = "), _yn("stroke")),
+        F.concat(F.lit("smoking = "), _yn("smoker")),
+        F.concat(F.lit("active = "), _yn("phys_activity")),
+        F.concat(F.lit("fruit/greens = "), _yn("fruits"), F.lit("/"), _yn("veggies")),
+        F.concat(F.lit("own view of health = "), _s("gen_health")),
+        F.concat(F.lit("trouble with stairs = "), _yn("diff_walk")),
     ]
     return F.concat_ws("\n", *lines)
 
@@ -81,13 +72,13 @@ def summary_basic() -> Column:
 def summary_advanced() -> Column:
     """RA10 (advanced): 7 lines over an advanced request row."""
     lines = [
-        F.concat(F.lit("- Age: "), _s("age"), F.lit(", sex: "), _sex()),
-        F.concat(F.lit("- Chest pain type: "), _s("cp")),
-        F.concat(F.lit("- Serum cholesterol: "), _s("chol"), F.lit(" mg/dl")),
-        F.concat(F.lit("- Fasting blood sugar > 120 mg/dl: "), _yn("fbs")),
-        F.concat(F.lit("- Maximum heart rate: "), _s("thalch")),
-        F.concat(F.lit("- Exercise-induced angina: "), _yn("exang")),
-        F.concat(F.lit("- ST depression (oldpeak): "), _s("oldpeak")),
+        F.concat(F.lit("age = "), _s("age"), F.lit("; sex = "), _sex()),
+        F.concat(F.lit("chest pain = "), _s("cp")),
+        F.concat(F.lit("cholesterol = "), _s("chol"), F.lit(" mg/dl")),
+        F.concat(F.lit("sugar over limit = "), _yn("fbs")),
+        F.concat(F.lit("peak pulse = "), _s("thalch")),
+        F.concat(F.lit("angina on effort = "), _yn("exang")),
+        F.concat(F.lit("oldpeak = "), _s("oldpeak")),
     ]
     return F.concat_ws("\n", *lines)
 
@@ -140,22 +131,25 @@ def conversation_index(conversations: DataFrame) -> DataFrame:
 
 
 def recent_turns(conversations: DataFrame, n: int = K.HISTORY_KEEP, index: DataFrame | None = None,
-                 roles: Sequence[str] = K.CHAT_ROLES) -> DataFrame:
+                 roles: Sequence[str] = K.CHAT_ROLES, upto_new: bool = True) -> DataFrame:
     """The new message and the newest ``n`` earlier user/assistant turns per
     conversation: ``(conv_id, turn, role, text, is_new)``.
 
-    The per-conversation index is broadcast after a size check (a huge
-    conversation never lands in one join partition) and ONE
-    ``row_number() <= n + 1`` window - trimmed per partition before the
-    shuffle by Spark's window group limit - keeps the rows."""
+    With ``upto_new`` (the default) a prompt ends with the newest user
+    message, so turns after it are not part of the prompt; without, they
+    count as history. The per-conversation index is broadcast after a size
+    check and ONE ``row_number()`` window keeps the rows; its literal bound
+    lets Spark trim each partition before the shuffle (window group limit)."""
     idx = index if index is not None else conversation_index(conversations)
     turns = (conversations.filter(col("role").isin(*roles))
              .join(broadcast_if_small(idx), on="conv_id", how="left")
-             .filter(col("_new_turn").isNull() | (col("turn") <= col("_new_turn"))))
+             .filter(F.lit(not upto_new) | col("_new_turn").isNull() | (col("turn") <= col("_new_turn"))))
     is_new = F.coalesce(col("turn") == col("_new_turn"), F.lit(False))
     rank = F.row_number().over(W.partitionBy("conv_id").orderBy(F.desc("turn")))
     keep = col("_r") <= F.lit(n) + F.when(col("_new_turn").isNotNull(), 1).otherwise(0)
-    return (turns.withColumn("is_new", is_new).withColumn("_r", rank).filter(keep)
+    if not upto_new:     # the new message may have any rank
+        rank = F.row_number().over(W.partitionBy("conv_id").orderBy(F.desc("is_new"), F.desc("turn")))
+    return (turns.withColumn("is_new", is_new).withColumn("_r", rank).filter(col("_r") <= n + 1).filter(keep)
             .select("conv_id", "turn", "role", "text", "is_new"))
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..sources.fixtures import oracle_views
-from ..sources.tables import read_table
+from ..sources.tables import read_table, table_path
 from ..streaming import usage_stream as US
 from .registry import register
 
@@ -13,5 +13,6 @@ SELECT strftime(ts, '%Y-%m-%d') AS day, mode, risk_level, count(*)::BIGINT AS n
 FROM prediction_log GROUP BY 1, 2, 3""")
 def usage_stream(spark, sf):
     schema = read_table(spark, sf, "events").schema
-    out = US.run_available_now(spark, sf, schema, glob="events.parquet")
+    # a pattern, so that the table may be one file or a folder of part files
+    out = US.run_available_now(spark, table_path(sf, "[e]vents"), schema)
     return US.read_latest(spark, out)

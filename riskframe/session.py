@@ -11,10 +11,6 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-# Rows below this count may be broadcast by the explicit size checks in
-# ``riskframe.functions.sizing``; Spark's own threshold stays as configured.
-DEFAULT_BROADCAST_ROWS = 1_000_000
-
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
                   app_name: str = "riskframe") -> SparkSession:
@@ -51,6 +47,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         # only in local tests: nothing configured, use a scratch folder
         conf_dir = tempfile.mkdtemp(prefix="riskframe-ckpt-")
     sc.setCheckpointDir(conf_dir)

@@ -95,12 +95,30 @@ CHAT_MESSAGE_SCHEMA = ArrayType(StructType([StructField("role", StringType()),
                                             StructField("content", StringType())]))
 
 
+def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The Parquet table at ``path``, or an empty one if the path does not
+    exist. Every other failure (access, damage, schema) is raised."""
+    from pyspark.errors import AnalysisException
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def parse_requests(lines: DataFrame, schema: StructType, column: str = "value") -> DataFrame:
     """IO8: JSON text (one object per line, batch or stream) -> typed rows.
     PERMISSIVE: a malformed record becomes all-NULL fields, which validation
-    then rejects (``field:missing``); the raw text is kept for quarantine."""
+    then rejects (``field:missing``); the raw text is kept for quarantine. A
+    value that is there but not of its field's type is listed in
+    ``type_errors`` (``field:type``) and so never replaced by a default."""
+    as_text = StructType([StructField(f.name, StringType()) for f in schema])
     parsed = F.from_json(F.col(column), schema, {"mode": "PERMISSIVE"})
-    return lines.select(parsed.alias("r"), F.col(column).alias("raw")).select("r.*", "raw")
+    texts = F.from_json(F.col(column), as_text, {"mode": "PERMISSIVE"})
+    wrong = [F.when(F.col(f"t.`{f.name}`").isNotNull() & F.col(f"r.`{f.name}`").isNull(), F.lit(f"{f.name}:type")) for f in schema]
+    return lines.select(parsed.alias("r"), texts.alias("t"), F.col(column).alias("raw")).select(
+        "r.*", "raw", F.array_compact(F.array(*wrong)).alias("type_errors"))
 
 
 def read_requests(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -138,12 +156,9 @@ def append_prediction_log(responses: DataFrame, path: str, mode: str | None = No
 
 
 def read_prediction_log(spark: SparkSession, path: str) -> DataFrame:
-    """IO10: the log (an absent log reads as empty)."""
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - absent log = no usage yet
-        return spark.createDataFrame([], "mode string, prediction int, probability double, "
-                                         "risk_level string, ts timestamp, day string, batch string")
+    """IO10: the log (an absent log reads as empty; a damaged one raises)."""
+    return read_or_empty(spark, path, "mode string, prediction int, probability double, "
+                                      "risk_level string, ts timestamp, day string, batch string")
 
 
 # ---------------------------------------------------------------- IO11

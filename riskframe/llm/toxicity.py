@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PER_CLASS = 2_000
+PER_CLASS = 1_200
 MAX_TRAIN_CHARS = 50_000
 LANDMARKS, NEIGHBOURS = 48, 8
 ORDER, SPAN, DECAY = 3, 6, 0.7
@@ -53,7 +53,8 @@ TOP_WEIGHTS = np.array([1.0, 0.1, 0.05])   # of a text's best margins
 TOP = len(TOP_WEIGHTS)
 PURITY = 6                   # times the clean texts' share that the toxic ones' must be
 LEAST_SHARE = 0.02           # of the toxic texts that a landmark must reach
-CANDIDATES = 600             # units looked at as landmarks
+BATCH = 4_000                # units compared at once (bounds the memory)
+CANDIDATES = 300             # units looked at as landmarks
 CACHE = 500_000
 SINGLES = re.compile(r"(?<!\S)(?:[^\W\d_]\W* +){2,}[^\W\d_](?=\W*(?:\s|$))")
 SUBSTITUTES = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "$": "s", "@": "a"})
@@ -119,6 +120,10 @@ class Similarities:
 
     def __call__(self, units: list[bytes]) -> np.ndarray:
         """(units, landmarks), values under ``NEAR`` set to 0."""
+        parts = [self._some(units[i:i + BATCH]) for i in range(0, len(units), BATCH)]
+        return np.concatenate(parts) if parts else np.zeros((0, self.m), np.float32)
+
+    def _some(self, units: list[bytes]) -> np.ndarray:
         out = np.zeros((len(units), self.m), np.float32)
         by_length: dict[int, list[tuple[int, bytes]]] = {}
         for i, u in enumerate(units):
@@ -234,7 +239,8 @@ def train(rows: list[tuple[str, int]], landmarks: int = LANDMARKS, neighbours: i
     """Fit landmarks, support vector machine and scores on labelled texts."""
     if len({y for _, y in rows}) < 2:
         return no_model()
-    split = [(sentences(t), y) for t, y in rows]
+    once: dict[str, str] = {}       # each distinct word is held once
+    split = [([[once.setdefault(w, w) for w in s] for s in sentences(t)], y) for t, y in rows]
     code: dict[str, bytes] = {}
     for ss, _ in split:
         for w in chain.from_iterable(ss):
@@ -256,7 +262,8 @@ def train(rows: list[tuple[str, int]], landmarks: int = LANDMARKS, neighbours: i
         clean = [units[i] for i in order if good[units[i]] > bad[units[i]] and units[i] not in marks]
         marks += clean[:max(1, neighbours // 4)]
     similar = Similarities(marks)
-    vector = {u: v for u, v in zip(units, similar(units)) if v.any()}
+    vector = {units[i + k]: v.copy() for i in range(0, len(units), BATCH)
+              for k, v in enumerate(similar(units[i:i + BATCH])) if v.any()}
     own = [np.array([vector[u] for u in sorted(us) if u in vector], float).reshape(-1, len(marks)) for us in owned]
     gram = similar(marks).astype(float)
     gram = np.maximum(gram, gram.T)
@@ -293,9 +300,7 @@ def _landmarks(split, owned, code, toxic, most: int) -> list[bytes]:
     row = {u: i for i, u in enumerate(units)}
     reach = np.zeros((len(owned), len(candidates)), bool)
     similar = Similarities(candidates)
-    close = np.zeros((len(units), len(candidates)), bool)
-    for i in range(0, len(units), 5_000):
-        close[i:i + 5_000] = similar(units[i:i + 5_000]) >= ALIKE
+    close = np.concatenate([similar(units[i:i + BATCH]) >= ALIKE for i in range(0, len(units), BATCH)])
     for d, us in enumerate(owned):
         if us:
             reach[d] = close[[row[u] for u in us]].any(0)

@@ -173,6 +173,14 @@ def test_jaccard_tiles(make, monkeypatch):
     test_jaccard_chains_and_passages(make)
 
 
+@pytest.mark.parametrize("rounds", [1, 2])
+def test_jaccard_tiles_after_rounds(make, monkeypatch, rounds):
+    """Members of a key's largest component skip each other and miss no one else."""
+    monkeypatch.setattr(jaccard, "STAR_ROUNDS", rounds)
+    monkeypatch.setattr(jaccard, "TILE", 3)
+    test_jaccard_chains_and_passages(make)
+
+
 def test_keep_first(make):
     t = "a b c d e f g h i j"
     df = make([(5, t), (3, t), (3, t), (4, t + " k"), (9, "other words only in this one"), (10, None), (11, None)], extra=True)

@@ -147,6 +147,40 @@ def test_line_recall(spark):
     assert sum(len(x) - 1 for x in wanted.values()) <= 0.01 * len(wanted)
 
 
+def char_set(line):
+    """Plain character shingles of the whole line."""
+    s = " ".join(line.split())
+    return frozenset(s[i:i + lines.WIDTH] for i in range(max(1, len(s) - lines.WIDTH + 1)))
+
+
+def check_lines(make, texts):
+    """Classes of the lines (one document each) against all pairs."""
+    roots = brute_components([char_set(x) for x in texts])
+    own, labels = lines.line_components(make(list(enumerate(texts))))
+    comp = {r["node"]: r["component"] for r in labels.collect()}
+    got = {r["doc_id"]: comp.get(r["node"], r["node"]) for r in own.collect()}
+    found = {}
+    for i, root in enumerate(roots):
+        found.setdefault(got[i], set()).add(root)
+    assert all(len(x) == 1 for x in found.values())
+    return len(set(roots)), len(found)
+
+
+def test_line_long_words(make):
+    """Every character counts, also past the twelfth of a word."""
+    rng = random.Random(4)
+    tail = lambda n, of="0123456789abcdef": "".join(rng.choice(of) for _ in range(n))
+    cjk = "".join(chr(0x4E00 + 7 * i) for i in range(300))
+    texts = [f"https://www.example.org/{tail(40)}" for _ in range(40)] + [f"2024-01-02T10-{tail(30)}" for _ in range(20)]
+    texts += ["Rechtsschutzversicherungsbeitrag Krankenversicherungsbeleg", "Rechtsschutzversicherungsvertrag Krankenversicherungsantrag"]
+    texts += [cjk[:12] + tail(60, cjk) for _ in range(20)]
+    near = tail(90, cjk)
+    texts += [near[:k] + near[k + 1:] for k in (0, 3, 40, 88)]
+    texts += [f"https://www.example.org/item/{n}" for n in (1, 7, 123456789012)]
+    true, got = check_lines(make, texts)
+    assert true == got and true > 80
+
+
 def test_line_near_copies(make):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9)))

@@ -81,3 +81,30 @@ def broadcast_checked(small: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast a *stored* table if its counted rows stay within
     ``max_rows``; else return it plain and let Spark shuffle."""
     return F.broadcast(small) if small.count() <= max_rows else small
+
+
+def tile_meetings(rows: DataFrame, key: str, members: Column) -> DataFrame:
+    """Rows (``key``, node, n, ...) once for every pair of tiles they take part
+    in, with ``own``, ``own_tile`` and the pair: band, i, up, j. Sizes ``n`` in
+    ratio 3/4 or more are in equal or neighbouring bands, and a tile holds about
+    ``members`` rows (a column of ``band``); tile i of ``band`` meets tile j of
+    ``band + up``."""
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3)) + 1e-9).cast("int")
+    rows = stored(rows.withColumn("band", band), "tiles")
+    tiles = rows.groupBy(key, "band").count().select(key, "band", F.ceil(F.col("count") / members).cast("int").alias("tiles"))
+    up = tiles.select(key, (F.col("band") - 1).alias("band"), F.col("tiles").alias("tiles_up"))
+    down = tiles.select(key, (F.col("band") + 1).alias("band"), F.col("tiles").alias("tiles_down"))
+    tiles = tiles.join(up, [key, "band"], "left").join(down, [key, "band"], "left")
+    rows = rows.join(tiles, [key, "band"]).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    empty = F.array().cast("array<struct<band:int,i:int,up:int,j:int>>")
+    tile = F.col("tile")
+
+    def each(count: str, band: Column, up: int, make) -> Column:
+        return F.when(F.col(count) > 0, F.transform(F.sequence(F.lit(0), F.col(count) - 1), lambda t: F.struct(
+            band.alias("band"), make(t)[0].alias("i"), F.lit(up).alias("up"), make(t)[1].alias("j")))).otherwise(empty)
+
+    meet = F.concat(each("tiles", F.col("band"), 0, lambda t: (F.least(t, tile), F.greatest(t, tile))),
+                    each("tiles_up", F.col("band"), 1, lambda t: (tile, t)),
+                    each("tiles_down", F.col("band") - 1, 1, lambda t: (t, tile)))
+    return rows.withColumn("m", F.explode(meet)).withColumnsRenamed({"band": "own", "tile": "own_tile"}).select(
+        "*", "m.*").drop("m", "tiles", "tiles_up", "tiles_down")

@@ -181,6 +181,20 @@ def test_line_long_words(make):
     assert true == got and true > 80
 
 
+def test_line_shared_passage(make):
+    """Pairs that link are found where all lines share one passage."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9)))
+    texts = []
+    for total, shared in ((30, 23), (40, 31)):
+        passage = " ".join(word() for _ in range(shared))
+        for _ in range(100):
+            own = [word() for _ in range(total - shared)]
+            texts += [passage + " " + " ".join(own), passage + " " + " ".join([*own[:-1], word()])]
+    true, got = check_lines(make, texts)
+    assert true > 150 and got - true <= 2, (true, got)
+
+
 def test_line_near_copies(make):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -59,6 +60,14 @@ def window_hashes(hashes: Column, length: int) -> Column:
     return let(hashes, lambda h: grow(h, 1, None, 0))
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """``name``, with underscores at its end until no column has it."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def unit_hash(*cols: Column) -> Column:
     """A uniform double in (0, 1) from a 64-bit hash: 52 bits, centred."""
     return (F.shiftrightunsigned(F.xxhash64(*cols), 12).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
@@ -83,6 +92,20 @@ def broadcast_checked(small: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(small) if small.count() <= max_rows else small
 
 
+def text_pieces(text: str | None, size: int = 1 << 20):
+    """UTF-8 pieces of about ``size`` bytes of a text, each ending at white
+    space (or at the end), so that no word is cut."""
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    at = 0
+    while at < len(raw):
+        end = at + size
+        if end < len(raw):
+            space = re.compile(rb"[ \t-\r]").search(raw, end)
+            end = space.end() if space else len(raw)
+        yield raw[at:end]
+        at = end
+
+
 def tile_meetings(rows: DataFrame, key: str, members: Column) -> DataFrame:
     """Rows (``key``, node, n, ...) once for every pair of tiles they take part
     in, with ``own``, ``own_tile`` and the pair: band, i, up, j. Sizes ``n`` in

@@ -16,8 +16,10 @@ documents.
    that never misses a document. The highest level that holds bounds the
    frequency, with the exact length that bounds the term's share of the score;
    the weighted sum over the terms bounds the document's score from above.
-3. The documents with the ten highest bounds of each item are scored exactly from
-   their whole texts; the tenth best score is the item's threshold.
+3. The documents with the ``FIRST`` highest bounds of each item are scored
+   exactly from their whole texts; the tenth best score is the item's
+   threshold. Items with fewer than ten scores above 0 so far (of rare terms,
+   where false presences come first) go on with eight times as many.
 4. All documents whose bound reaches the threshold are scored exactly. The
    others are provably below the ten best, so the ranking is exact.
 
@@ -51,9 +53,10 @@ from pyspark.sql.window import Window
 from .common import stored, text_pieces
 
 TOP = 10
+FIRST, MORE, TRIES = 20, 8, 3  # documents scored for the threshold, and how often with more
 LEVELS = np.array([1, 2, 3, 4, 5, 6, 8, 10, 12, 16, 20, 24, 32, 48, 64, 96, 128, 192, 256, 512, 1024, 4096, 16384])
 BITS_A_KEY = 16               # bits of a signature per (term, level)
-HASHES = 2
+HASHES = 4
 LEAST_BITS, MOST_BITS = 256, 1 << 20   # beyond: fuller signatures, looser bounds, same results
 BLOCK_FLAGS = 1 << 24         # documents x bits of a block
 BLOCK_DOCS = 4096
@@ -96,7 +99,8 @@ def _mix(h: np.ndarray) -> np.ndarray:
 def positions(hashes: np.ndarray, level: int, bits: int) -> np.ndarray:
     """Signature bits of (term, level): one row per hash function."""
     key = _mix(hashes + np.uint64((level + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
-    return np.stack([(key >> np.uint64(32 * i)) & np.uint64(bits - 1) for i in range(HASHES)]).astype(np.int64)
+    step = (key >> np.uint64(32)) | np.uint64(1)
+    return np.stack([(key + np.uint64(i) * step) & np.uint64(bits - 1) for i in range(HASHES)]).astype(np.int64)
 
 
 def signature_bits(tf: np.ndarray) -> int:
@@ -242,11 +246,13 @@ def _of_each_text(hashes: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return keep
 
 
-def candidates(index: DataFrame, q: Queries, thresholds: dict[int, int] | None = None) -> DataFrame:
-    """item (number), doc_id, text_hash, bound: without thresholds the ``TOP``
-    highest bounds of every item in each task, with them all documents that
-    reach the item's."""
+def candidates(index: DataFrame, q: Queries, thresholds: dict[int, int] | None = None, most: int = FIRST,
+               only: list[int] | None = None) -> DataFrame:
+    """item (number), doc_id, text_hash, bound: without thresholds the ``most``
+    highest bounds of every item (of ``only`` these items) in each task, with
+    them all documents that reach the item's."""
     least = None if thresholds is None else np.array([max(1, thresholds.get(i, 1)) for i in range(len(q.ids))], np.int64)
+    others = [] if only is None else sorted(set(range(len(q.ids))) - set(only))
     names, kind = ["item", "doc_id", "text_hash", "bound"], index.schema["ids"].dataType.elementType.simpleString()
 
     def run(batches):
@@ -254,10 +260,10 @@ def candidates(index: DataFrame, q: Queries, thresholds: dict[int, int] | None =
             return pa.RecordBatch.from_arrays([pa.array(items, pa.int32()), ids, pa.array(hashes), pa.array(values)], names)
 
         def best(table):
-            """The ``TOP`` highest bounds of every item."""
+            """The ``most`` highest bounds of every item."""
             at = np.lexsort((-table["bound"].to_numpy(), table["item"].to_numpy()))
             items = table["item"].to_numpy()[at]
-            return table.take(pa.array(at[np.arange(len(at)) - np.searchsorted(items, items, "left") < TOP]))
+            return table.take(pa.array(at[np.arange(len(at)) - np.searchsorted(items, items, "left") < most]))
 
         held = None
         for bits, ids, hashes, lengths, packed in _blocks(batches):
@@ -269,7 +275,8 @@ def candidates(index: DataFrame, q: Queries, thresholds: dict[int, int] | None =
                     i, a = item[s:s + 100_000], at[s:s + 100_000]
                     yield made(i.astype(np.int32), ids.take(pa.array(keep[a])), hashes[keep[a]], bound[i, a])
                 continue
-            few = np.argpartition(-bound, min(TOP, bound.shape[1]) - 1, axis=1)[:, :TOP] if bound.shape[1] > TOP else np.tile(
+            bound[others] = 0
+            few = np.argpartition(-bound, most - 1, axis=1)[:, :most] if bound.shape[1] > most else np.tile(
                 np.arange(bound.shape[1]), (len(bound), 1))
             item, at = np.repeat(np.arange(len(bound)), few.shape[1]), few.ravel()
             some = bound[item, at] > 0
@@ -283,10 +290,10 @@ def candidates(index: DataFrame, q: Queries, thresholds: dict[int, int] | None =
         run, f"item int, doc_id {kind}, text_hash bigint, bound bigint")
 
 
-def _ranked(rows: DataFrame, value: str) -> DataFrame:
-    """The ``TOP`` rows of every item by falling ``value``, with their rank."""
+def _ranked(rows: DataFrame, value: str, most: int = TOP) -> DataFrame:
+    """The ``most`` rows of every item by falling ``value``, with their rank."""
     order = Window.partitionBy("item").orderBy(F.desc(value), F.asc_nulls_last("doc_id"), "text_hash")
-    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= TOP)
+    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
 
 
 def rescored(docs: DataFrame, chosen: DataFrame, q: Queries) -> DataFrame:
@@ -337,11 +344,16 @@ def _search_block(docs: DataFrame, index: DataFrame, q: Queries) -> DataFrame:
     total = index.agg(F.sum(F.size("ids").cast("long")), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, v: a + v))).first()
     # at most one row per term of the query block
     q.weigh({r["term"]: r["df"] for r in df.collect()}, total[0] or 0, total[1] or 1)
-    first = _ranked(candidates(index, q), "bound")
-    scored = _ranked(rescored(docs, first.select("item", "doc_id", "text_hash"), q), "score")
-    # one row per item; without TOP documents so far, any score counts
-    reached = {r["item"]: r["least"] for r in scored.groupBy("item").agg(
-        F.count("*").alias("c"), F.min("score").alias("least")).filter(F.col("c") == TOP).collect()}
+    reached, most, missing = {}, FIRST, list(range(len(q.ids)))
+    for _ in range(TRIES):
+        first = _ranked(candidates(index, q, None, most, missing), "bound", most)
+        scored = _ranked(rescored(docs, first.select("item", "doc_id", "text_hash"), q), "score")
+        # one row per item; without TOP documents so far, any score counts
+        reached |= {r["item"]: r["least"] for r in scored.groupBy("item").agg(
+            F.count("*").alias("c"), F.min("score").alias("least")).filter(F.col("c") == TOP).collect()}
+        most, missing = most * MORE, [i for i in missing if i not in reached]
+        if not missing:
+            break
     left = candidates(index, q, reached)
     found = _ranked(rescored(docs, left.select("item", "doc_id", "text_hash"), q), "score")
     names = q.ids

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.exprs import col
+from . import orderstats as OS
 
 
 class VocabularyTooWide(ValueError):
@@ -181,37 +182,61 @@ def prepare_basic(raw: DataFrame, key: str = "row_id"):
     same pass. The cleaned table differs from the raw one only where values
     were imputed, so these statistics are final unless a scaled column had
     nulls - only then is that column refitted after imputation. Common case:
-    two scans of the input (fit, transform) instead of three.
+    two scans of the input (fit, transform) instead of three. NaN counts as
+    missing, also in coded columns.
 
     Returns ``(features_df, scaler_stats, feature_list)``."""
+    out, stats, _, features = fit_basic(raw, key)
+    return out, stats, features
+
+
+def fit_basic(raw: DataFrame, key: str = "row_id"):
+    """``prepare_basic`` with the fitted fills: ``(features_df, scaler_stats,
+    fill, feature_list)``; ``apply_basic`` needs the middle two."""
     from . import impute as MV
-    from .prep import assert_no_nulls, cast_types, convert_target
+    from .prep import assert_no_nulls
 
     ints = set(K.BASIC_BINARY_COLS + K.BASIC_ORDINAL_COLS)
     value_cols = [c for c in raw.columns if c not in (key, K.BASIC_TARGET_RAW)]
     scale_cols = [c for c in K.BASIC_SCALE_COLS if c in raw.columns]
     aggs = [F.count_if(MV._missing(raw, c)).alias(f"n::{c}") for c in [K.BASIC_TARGET_RAW] + value_cols]
     for c in scale_cols:
-        x = (col(c).cast("int") if c in ints else col(c)).cast("double")
+        x = OS.present(raw, c)
+        x = (x.cast("int") if c in ints else x).cast("double")
         aggs += [F.avg(x).alias(f"m::{c}"), F.stddev_pop(x).alias(f"s::{c}")]
     row = raw.agg(*aggs).first().asDict()
     counts = {c: row[f"n::{c}"] for c in [K.BASIC_TARGET_RAW] + value_cols}
     need = [c for c in value_cols if counts[c] > 0]
-    fill = MV.fit_policy(raw, MV.type_policy(raw, need))["fill"] if need else {}
+    fill = MV.fit_policy(raw, MV.type_policy(raw, need), nulls=counts)["fill"] if need else {}
     assert_no_nulls(counts, fill)
-    clean = cast_types(convert_target(MV.apply_fill(raw, fill), K.BASIC_TARGET_RAW, K.TARGET),
-                       [c for c in ints if c in raw.columns],
-                       [c for c in K.BASIC_NUMERIC_COLS if c in raw.columns])
     stats = {}
     for c in scale_cols:
         s = row[f"s::{c}"]
         stats[c] = (row[f"m::{c}"], 1.0 if (s is None or s == 0.0) else s)
     refit = [c for c in scale_cols if counts[c] > 0]
     if refit:
-        stats.update(fit_scaler(clean, refit))
-    out = scale(clean, stats)
+        stats.update(fit_scaler(clean_basic(raw, fill), refit))
+    out = scale(clean_basic(raw, fill), stats)
     features = [c for c in out.columns if c not in (key, K.TARGET)]
-    return out, stats, features
+    return out, stats, fill, features
+
+
+def clean_basic(raw: DataFrame, fill: Mapping[str, object]) -> DataFrame:
+    """Fills, target and types of the survey table, as fitted."""
+    from . import impute as MV
+    from .prep import cast_types, convert_target
+
+    filled = MV.apply_fill(raw, fill)
+    if K.BASIC_TARGET_RAW in raw.columns:
+        filled = convert_target(filled, K.BASIC_TARGET_RAW, K.TARGET)
+    return cast_types(filled, [c for c in K.BASIC_BINARY_COLS + K.BASIC_ORDINAL_COLS if c in raw.columns],
+                      [c for c in K.BASIC_NUMERIC_COLS if c in raw.columns])
+
+
+def apply_basic(raw: DataFrame, stats: Mapping, fill: Mapping[str, object]) -> DataFrame:
+    """EN4 (basic) with stored artefacts: one projection, nothing is fitted.
+    The target may be absent."""
+    return scale(clean_basic(raw, fill), stats)
 
 
 def fit_vocabularies_one_pass(df: DataFrame, cols: Sequence[str],
@@ -251,46 +276,67 @@ def _combine_fill(n1: int, mean1, var1, k: int, value) -> tuple[float, float]:
 
 
 def prepare_advanced(raw: DataFrame, key: str = "id"):
-    """Clean + EN4 (advanced) with every fit in TWO passes over the input.
-
-    Pass 1 (one aggregation): null counts, medians, modes, and count / mean
-    / population variance of the non-null numeric columns; the scaler
-    statistics after imputation follow exactly from those moments and the
-    fill values (no pass over imputed data). Pass 2: the vocabularies of
-    the categorical columns (constant fills applied) from one ``distinct``.
-    The transform is one projection. Returns
-    ``(features_df, scaler_stats, vocab, feature_list)``."""
-    from . import impute as MV
-    from .prep import (assert_no_nulls, binarize_target, bool_text_map, drop_columns)
+    """Clean + EN4 (advanced); every fit reads back one value per column.
+
+    One aggregation gives null counts and count / mean / population variance of
+    the non-null numeric columns; the scaler statistics after imputation
+    follow exactly from those moments and the fill values (no pass over imputed
+    data). Medians and modes are fitted for the columns that have nulls
+    (``orderstats``), the vocabularies of the categorical columns (constant
+    fills applied) come from one ``distinct``. The transform is one
+    projection. Returns ``(features_df, scaler_stats, vocab, feature_list)``."""
+    out, stats, vocab, _, features = fit_advanced(raw, key)
+    return out, stats, vocab, features
+
+
+def _mapped_advanced(raw: DataFrame, key: str) -> DataFrame:
+    from .prep import binarize_target, bool_text_map, drop_columns
 
     df = drop_columns(raw, [c for c in K.ADVANCED_DROP_COLS if c != key])
-    df = bool_text_map(binarize_target(df, K.ADVANCED_TARGET_RAW, K.TARGET), K.ADVANCED_BOOLEAN_COLS)
+    if K.ADVANCED_TARGET_RAW in df.columns:
+        df = binarize_target(df, K.ADVANCED_TARGET_RAW, K.TARGET)
+    return bool_text_map(df, K.ADVANCED_BOOLEAN_COLS)
+
+
+def fit_advanced(raw: DataFrame, key: str = "id"):
+    """``prepare_advanced`` with the fitted fills: ``(features_df,
+    scaler_stats, vocab, fill, feature_list)``."""
+    from . import impute as MV
+    from .prep import assert_no_nulls
+
+    df = _mapped_advanced(raw, key)
     checks = [c for c in df.columns if c != key]
     policy = {c: p for c, p in MV.ADVANCED_POLICY.items() if c in df.columns}
     numeric = [c for c in K.ADVANCED_NUMERIC_COLS if c in df.columns]
     aggs = [F.count_if(MV._missing(df, c)).alias(f"n::{c}") for c in checks]
-    for c, how in policy.items():
-        if how == "median":
-            aggs.append(F.median(MV._clean(df, c).cast("double")).alias(f"f::{c}"))
-        elif how == "mode":
-            aggs.append(F.mode(MV._clean(df, c), True).alias(f"f::{c}"))
     for c in numeric:
-        x = MV._clean(df, c).cast("double")
+        x = OS.present(df, c).cast("double")
         aggs += [F.count(x).alias(f"c::{c}"), F.avg(x).alias(f"m::{c}"), F.var_pop(x).alias(f"v::{c}")]
     row = df.agg(*aggs).first().asDict()
     nulls = {c: row[f"n::{c}"] for c in checks}
-    fill = {}
-    for c, how in policy.items():
-        if nulls.get(c, 0) > 0:
-            fill[c] = how[1] if isinstance(how, tuple) else row[f"f::{c}"]
+    need = {c: how for c, how in policy.items() if nulls.get(c, 0) > 0}
+    fill = MV.fit_policy(df, need, nulls=nulls)["fill"]
     assert_no_nulls(nulls, fill)
-    clean = MV.apply_fill(df, fill)
     stats = {}
     for c in numeric:
         mean, std = _combine_fill(row[f"c::{c}"], row[f"m::{c}"], row[f"v::{c}"], nulls.get(c, 0), fill.get(c))
         stats[c] = (mean, 1.0 if std == 0.0 else std)
-    reduced = drop_columns(clean, K.ADVANCED_LOW_IMPORTANCE_COLS)
+    from .prep import drop_columns
+
+    reduced = drop_columns(MV.apply_fill(df, fill), K.ADVANCED_LOW_IMPORTANCE_COLS)
     vocab = fit_vocabularies_one_pass(reduced, K.ADVANCED_CATEGORICAL_COLS)
     out = scale(onehot(reduced, vocab), stats)
     features = [c for c in out.columns if c not in (key, K.TARGET)]
-    return out, stats, vocab, features
+    return out, stats, vocab, fill, features
+
+
+def apply_advanced(raw: DataFrame, stats: Mapping, vocab: Mapping[str, Sequence], fill: Mapping[str, object],
+                   key: str = "id") -> DataFrame:
+    """EN4 (advanced) with stored artefacts: one projection, nothing is
+    fitted. The target may be absent; a null in a column without a stored
+    fill stays null."""
+    from . import impute as MV
+    from .prep import drop_columns
+
+    reduced = drop_columns(MV.apply_fill(_mapped_advanced(raw, key), fill), K.ADVANCED_LOW_IMPORTANCE_COLS)
+    return scale(onehot(reduced, vocab), stats)

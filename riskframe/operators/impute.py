@@ -1,15 +1,11 @@
 """Missing-value profile and imputation (MV1-MV8).
 
-Fitting is ONE global aggregation (null counts, medians and modes for all
-requested columns together); its single result row is the fitted state,
-read back to the driver as literals (one value per column, like any fitted
-scaler). Transforming is then a pure projection, map-only.
-
-Medians are exact (``percentile`` with linear interpolation: the mean of the
-two middle values for an even count, as pandas). Its aggregation buffer
-holds the distinct values of a column, which is right for clinical-style
-measurements; pass ``approx=True`` for continuous columns with billions of
-distinct values. Modes break ties towards the smallest value.
+Fitting reads back one value per column, like any fitted scaler: null counts
+from one aggregation, exact medians (linear interpolation: the mean of the
+two middle values for an even count, as pandas) by narrowing and modes from
+value counts (``orderstats``; no buffer of values at any cardinality).
+Transforming is then a pure projection, map-only. Modes break ties towards
+the smallest value.
 """
 
 from __future__ import annotations
@@ -22,6 +18,7 @@ from pyspark.sql.types import DoubleType, FloatType, NumericType, StringType
 
 from .. import constants as K
 from ..functions.exprs import col
+from . import orderstats as OS
 
 
 def _is_float(df: DataFrame, c: str) -> bool:
@@ -34,11 +31,6 @@ def _missing(df: DataFrame, c: str):
     return (x.isNull() | F.isnan(x)) if _is_float(df, c) else x.isNull()
 
 
-def _clean(df: DataFrame, c: str):
-    x = col(c)
-    return F.when(~F.isnan(x), x) if _is_float(df, c) else x
-
-
 def null_profile(df: DataFrame, cols: Iterable[str] | None = None) -> DataFrame:
     """MV1 + MV2: ``(column_name, null_count, null_pct)`` for every column,
     from one aggregation, unpivoted with a single explode. The percentage of
@@ -54,44 +46,27 @@ def null_profile(df: DataFrame, cols: Iterable[str] | None = None) -> DataFrame:
                     F.col("r.null_pct").cast("double").alias("null_pct")))
 
 
-def _median(df: DataFrame, c: str, approx: bool):
-    x = _clean(df, c).cast("double")
-    return F.percentile_approx(x, 0.5, 100_000) if approx else F.median(x)
-
-
 def fit_policy(df: DataFrame, policy: Mapping[str, object], check_cols: Iterable[str] = (),
-               approx: bool = False) -> dict:
-    """Fit an imputation policy in one pass.
+               nulls: Mapping[str, int] | None = None) -> dict:
+    """Fit an imputation policy.
 
     ``policy`` maps column -> ``"median"`` | ``"mode"`` | ``("const", value)``.
     Columns absent from ``df`` are skipped (the "existing columns only"
     rule). Returns ``{"fill": {col: value}, "nulls": {col: count}}`` where
-    ``nulls`` covers the policy columns and ``check_cols``.
+    ``nulls`` covers the policy columns and ``check_cols``; pass known counts
+    to save their aggregation. Statistics are fitted for every policy column,
+    with or without nulls.
     """
     present = [c for c in policy if c in df.columns]
-    checks = [c for c in dict.fromkeys(list(present) + [c for c in check_cols if c in df.columns])]
-    aggs = []
-    for c in checks:
-        aggs.append(F.count_if(_missing(df, c)).alias(f"nulls::{c}"))
-    for c in present:
-        how = policy[c]
-        if how == "median":
-            aggs.append(_median(df, c, approx).alias(f"fill::{c}"))
-        elif how == "mode":
-            aggs.append(F.mode(_clean(df, c), True).alias(f"fill::{c}"))
-    if not aggs:
+    checks = list(dict.fromkeys(present + [c for c in check_cols if c in df.columns]))
+    if not checks:
         return {"fill": {}, "nulls": {}}
-    row = df.agg(*aggs).first().asDict()
-    fill, nulls = {}, {}
-    for c in checks:
-        nulls[c] = int(row[f"nulls::{c}"])
-    for c in present:
-        how = policy[c]
-        if isinstance(how, tuple) and how[0] == "const":
-            fill[c] = how[1]
-        else:
-            fill[c] = row[f"fill::{c}"]
-    return {"fill": fill, "nulls": nulls}
+    if nulls is None:
+        nulls = df.agg(*[F.count_if(_missing(df, c)).alias(c) for c in checks]).first().asDict()
+    fill: dict[str, object] = {c: how[1] for c, how in policy.items() if c in present and isinstance(how, tuple)}
+    fill.update(OS.medians(df, [c for c in present if policy[c] == "median"]))
+    fill.update(OS.modes(df, [c for c in present if policy[c] == "mode"]))
+    return {"fill": {c: fill[c] for c in present}, "nulls": {c: int(nulls[c]) for c in checks}}
 
 
 def apply_fill(df: DataFrame, fill: Mapping[str, object]) -> DataFrame:
@@ -113,9 +88,9 @@ def apply_fill(df: DataFrame, fill: Mapping[str, object]) -> DataFrame:
     return df.select(*out)
 
 
-def impute(df: DataFrame, policy: Mapping[str, object], approx: bool = False) -> DataFrame:
+def impute(df: DataFrame, policy: Mapping[str, object], nulls: Mapping[str, int] | None = None) -> DataFrame:
     """Fit + apply in one call (MV3-MV6, MV8)."""
-    return apply_fill(df, fit_policy(df, policy, approx=approx)["fill"])
+    return apply_fill(df, fit_policy(df, policy, nulls=nulls)["fill"])
 
 
 def type_policy(df: DataFrame, cols: Iterable[str] | None = None) -> dict:
@@ -133,14 +108,14 @@ ADVANCED_POLICY: dict[str, object] = {
 }
 
 
-def impute_by_type(df: DataFrame, exclude: Iterable[str] = (), approx: bool = False) -> DataFrame:
+def impute_by_type(df: DataFrame, exclude: Iterable[str] = ()) -> DataFrame:
     """MV7: impute every column that has nulls (numeric median, else mode).
 
-    Two small passes: null counts for all columns, then statistics only for
-    the columns that need them (none -> the input is returned unchanged)."""
+    Null counts for all columns first, then statistics only for the columns
+    that need them (none -> the input is returned unchanged)."""
     cols = [c for c in df.columns if c not in set(exclude)]
     counts = df.agg(*[F.count_if(_missing(df, c)).alias(c) for c in cols]).first().asDict()
     need = [c for c in cols if counts[c] > 0]
     if not need:
         return df
-    return impute(df, type_policy(df, need), approx=approx)
+    return impute(df, type_policy(df, need), nulls=counts)

@@ -1,15 +1,13 @@
 """Evaluation metrics (ME1-ME5), exact and distributed.
 
 * ROC-AUC is exact (ties count half) and needs a running count of negatives
-  below every score. A window over all rows would put everything in one
-  task, so: (1) pre-aggregate per distinct score (map-side partial
-  aggregation), (2) cut the distinct scores into quantile ranges
-  (``Bucketizer`` on approximate quantiles - only the boundaries are
-  collected), (3) running sums inside each (group, range), (4) range totals
-  -> offsets from a table of at most groups x buckets rows. The per-score
-  table is checkpointed once, so the input is scanned once. Everything is
-  keyed by optional ``group_cols`` (fold, feature, repeat) so many AUCs come
-  out of one job.
+  below every score. The input is pre-aggregated per distinct score (map-side)
+  into a table that is written once. Groups of a bounded number of distinct
+  scores take one window each. Larger ones are cut into ranges of their own
+  scores (from the least to the greatest), ranges that still hold too many
+  once more, by their own extents; running sums are taken inside the ranges and
+  offsets from the range totals. Everything is keyed by optional ``group_cols``
+  (fold, feature, repeat) so many AUCs of very unequal size come out of one job.
 * The classification report is built from the confusion cells (at most
   classes^2 rows) - no second pass over the data.
 """
@@ -34,43 +32,56 @@ def accuracy(df: DataFrame, label: str = K.TARGET, prediction: str = "prediction
         F.count(F.lit(1)).alias("n"))
 
 
-def roc_auc(df: DataFrame, label: str = K.TARGET, score: str = "probability",
-            group_cols: Sequence[str] = (), buckets: int = 256) -> DataFrame:
-    """ME2: exact ROC-AUC per group (NULL when a group lacks a class)."""
-    from pyspark.ml.feature import Bucketizer
+RANGES = 1024              # ranges of a group, and of a range that is cut again
+DIRECT_ROWS = 1_000_000    # distinct scores of a group (or range) that one task sorts
 
-    g = list(group_cols)
-    pos = F.when(F.col(label) == 1, 1).otherwise(0)
+
+def _cut(rows: DataFrame, keys: list[str], name: str, ranges: int, most: int) -> DataFrame:
+    """``rows`` with a range number ``name`` per key: 0 where a key has at most
+    ``most`` rows, else one of ``ranges`` equal steps between its extents."""
+    ext = rows.groupBy(*keys).agg(F.min("_s").alias("_lo"), F.max("_s").alias("_hi"), F.count(F.lit(1)).alias("_c"))
+    at = F.floor((F.col("_s") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.lit(ranges)).cast("int")
+    cut = (F.col("_c") > most) & (F.col("_hi") > F.col("_lo"))
+    return rows.join(broadcast_if_small(ext), on=keys).withColumn(
+        name, F.when(cut, F.least(at, F.lit(ranges - 1))).otherwise(F.lit(0))).drop("_lo", "_hi", "_c")
+
+
+def roc_auc(df: DataFrame, label: str = K.TARGET, score: str = "probability",
+            group_cols: Sequence[str] = (), buckets: int | None = None, weight: str | None = None) -> DataFrame:
+    """ME2: exact ROC-AUC per group (NULL when a group lacks a class).
+    ``weight`` names a count of equal rows per row; ``buckets`` forces that many
+    ranges per group (by default groups are cut only beyond ``DIRECT_ROWS``)."""
     from ..session import materialize
 
-    per_score = (df.select(*g, F.col(score).cast("double").alias("_s"), pos.alias("_pos"))
-                 .groupBy(*g, "_s")
-                 .agg(F.sum("_pos").alias("_p"), F.sum(1 - F.col("_pos")).alias("_n")))
-    # used three times (range bounds, running sums, range totals): computed
-    # once from the input and read back from the shared checkpoint folder
+    g = list(group_cols)
+    w = F.lit(1) if weight is None else F.col(weight)
+    pos, neg = F.when(F.col(label) == 1, w).otherwise(0), F.when(F.col(label) == 1, 0).otherwise(w)
+    per_score = (df.select(*g, F.col(score).cast("double").alias("_s"), pos.alias("_pos"), neg.alias("_neg"))
+                 .groupBy(*g, "_s").agg(F.sum("_pos").alias("_p"), F.sum("_neg").alias("_n")))
+    # read more than once below: computed once and read back from the shared folder
     per_score = materialize(per_score)
-    # quantile range boundaries of the distinct scores (<= buckets values)
-    qs = [i / buckets for i in range(1, buckets)]
-    bounds = per_score.agg(F.percentile_approx("_s", qs, 10 * buckets).alias("b")).first()["b"] or []
-    inner_bounds = sorted({float(b) for b in bounds})
-    if inner_bounds:
-        splits = [float("-inf")] + inner_bounds + [float("inf")]
-        bucketed = Bucketizer(splits=splits, inputCol="_s", outputCol="_b",
-                              handleInvalid="keep").transform(per_score)
-    else:  # one range (a single bucket, or every score identical)
-        bucketed = per_score.withColumn("_b", F.lit(0.0))
-    inner = W.partitionBy(*g, "_b").orderBy("_s").rowsBetween(W.unboundedPreceding, 0)
-    win = bucketed.withColumn("_neg_upto", F.sum("_n").over(inner))
-    # range totals come from the same windowed rows (no second scan); the
-    # offsets table has at most groups x buckets rows
-    totals = win.groupBy(*g, "_b").agg(F.max("_neg_upto").alias("_bn"))
-    # over the range totals: at most ``buckets`` rows per group
-    outer = W.partitionBy(*g).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.withColumn("_off", F.coalesce(F.sum("_bn").over(outer), F.lit(0))).drop("_bn")
-    joined = win.join(broadcast_if_small(offsets), on=g + ["_b"], how="left")
-    below = F.col("_off") + F.col("_neg_upto") - F.col("_n")
-    return joined.groupBy(*g).agg(
-        F.try_divide(F.sum(F.col("_p") * (below + F.col("_n") * 0.5)),
+    largest = per_score.groupBy(*g).count().agg(F.max("count")).first()[0] or 0
+    if buckets is None and largest <= DIRECT_ROWS:
+        upto = F.sum("_n").over(W.partitionBy(*g).orderBy("_s").rowsBetween(W.unboundedPreceding, 0))
+        return _area(per_score.withColumn("_below", upto - F.col("_n")), g)
+    k = [*g, "_g"]
+    most, ranges = (DIRECT_ROWS, RANGES) if buckets is None else (0, buckets)
+    rows = _cut(per_score.withColumn("_g", F.lit(0)), k, "_b", ranges, most)
+    rows = _cut(rows, [*k, "_b"], "_b2", ranges, most)
+    parts = [*k, "_b", "_b2"]
+    win = rows.withColumn("_upto", F.sum("_n").over(W.partitionBy(*parts).orderBy("_s").rowsBetween(W.unboundedPreceding, 0)))
+    totals = win.groupBy(*parts).agg(F.max("_upto").alias("_all"))
+    # over the range totals: at most RANGES squared rows per group
+    outer = W.partitionBy(*k).orderBy("_b", "_b2").rowsBetween(W.unboundedPreceding, -1)
+    offsets = totals.withColumn("_off", F.coalesce(F.sum("_all").over(outer), F.lit(0))).drop("_all")
+    joined = win.join(offsets, on=parts)
+    return _area(joined.withColumn("_below", F.col("_off") + F.col("_upto") - F.col("_n")), g)
+
+
+def _area(rows: DataFrame, group_cols: Sequence[str]) -> DataFrame:
+    """AUC from per-score counts and the negatives ``_below`` each score."""
+    return rows.groupBy(*group_cols).agg(
+        F.try_divide(F.sum(F.col("_p") * (F.col("_below") + F.col("_n") * 0.5)),
                      F.sum("_p").cast("double") * F.sum("_n")).alias("roc_auc"))
 
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,7 +21,7 @@ from ..functions.exprs import col
 from ..functions.sizing import broadcast_if_small
 from . import metrics as ME
 from .models import assemble, build_model
-from .split import fold_column, split_flag, with_class_weight
+from .split import HASH_PRIME, dense_rank, fold_exact, split_flag_exact, with_class_weight
 
 
 def fit(df: DataFrame, features: Sequence[str], model_type: str = "random_forest",
@@ -58,12 +60,12 @@ def predict(model, df: DataFrame, features: Sequence[str], keep: Sequence[str] =
 def cv_scores(df: DataFrame, features: Sequence[str], model_type: str = "random_forest",
               params: Mapping[str, object] | None = None, k: int = K.CV_FOLDS, key: str = "row_id",
               label: str = K.TARGET, seed: int = K.RANDOM_STATE, parallelism: int = 4) -> DataFrame:
-    """ML4: k-fold ROC-AUC ``(fold, roc_auc)``; folds from a keyed hash.
+    """ML4: stratified k-fold ROC-AUC ``(fold, roc_auc)``.
     k distributed fits; all held-out predictions are scored in one grouped
-    AUC job."""
+    AUC job. The folded table is written once, not recomputed by every fit."""
     from concurrent.futures import ThreadPoolExecutor
 
-    data = df.withColumn("_fold", fold_column(key, k, seed))
+    data = reliable(fold_exact(df, key, label, k, seed, "_fold"))
 
     def one(f):
         model = fit(data.filter(F.col("_fold") != f), features, model_type, params, label, seed)
@@ -122,66 +124,114 @@ def reliable(df: DataFrame) -> DataFrame:
     return materialize(df)
 
 
-def dense_index(df: DataFrame, name: str = "_i") -> DataFrame:
-    """Consecutive ids 0..n-1 in the current partition order, without a
-    global window: per-partition counts (one small job) -> offsets
-    (broadcast, one row per partition) -> id = offset + position."""
-    base = reliable(df.withColumn("_mid", F.monotonically_increasing_id()))
-    part = F.shiftright(F.col("_mid"), 33)   # partition index of the id
-    counts = base.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_c"),
-                                                F.min("_mid").alias("_first"))
-    # prefix sum over the per-partition counts (one row per partition)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_c").over(
-        W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    joined = base.join(broadcast_if_small(offsets.select("_p", "_off", "_first")),
-                       part == F.col("_p"))
-    return joined.withColumn(name, F.col("_off") + F.col("_mid") - F.col("_first")).drop(
-        "_mid", "_p", "_off", "_first")
+ROUNDS = 24        # of the swap-or-not shuffle
+
+
+def _constants(seed: int, step: int) -> tuple[int, int]:
+    return (seed * 31337 + step * 7919 + 1) % HASH_PRIME, (seed * 69621 + step * 104729 + 13) % HASH_PRIME
+
+
+def _residue(x, a, b):
+    """Integer mixing modulo a prime, of whole numbers or columns."""
+    y = (x % HASH_PRIME * 48271 + a) % HASH_PRIME
+    return (y * y % HASH_PRIME + x % HASH_PRIME * 16807 + b) % HASH_PRIME
+
+
+def _residue_sql(x: str, a: int, b: int) -> str:
+    y = f"(({x}) % {HASH_PRIME} * 48271 + {a}) % {HASH_PRIME}"
+    return f"((({y}) * ({y}) % {HASH_PRIME} + ({x}) % {HASH_PRIME} * 16807 + {b}) % {HASH_PRIME})"
+
+
+def permuted(df: DataFrame, n: int, repeats: int, seed: int = K.RANDOM_STATE, idx: str = "_i",
+             repeat: str = "repeat", name: str = "donor") -> DataFrame:
+    """SP4: a seeded bijection of [0, n) for every repeat, as a column.
+
+    Swap-or-not: in each round x is paired with (k - x) mod n, and one bit
+    that both of a pair share decides whether they change places. Every round
+    is its own inverse, so the result is a permutation for any n, without a sort,
+    a shuffle or cycle walking; whole numbers only, so any SQL engine repeats it.
+    The rounds run over Arrow batches (as one expression each row would walk
+    an interpreted loop, some hundred times slower)."""
+    keys = np.array([[_residue(i, *_constants(seed, 2 * r)) % n for r in range(ROUNDS)] for i in range(repeats)], np.int64)
+    constants = [_constants(seed, 2 * r + 1) for r in range(ROUNDS)]
+
+    def swap(index, times):
+        x, times = index.to_numpy(np.int64), times.to_numpy(np.int64)
+        for r, (a, b) in enumerate(constants):
+            y = (keys[times, r] + n - x) % n
+            bit = (_residue(np.maximum(x, y) + times * 1_000_003, a, b) >> 15) & 1
+            x = np.where(bit == 1, y, x)
+        return pd.Series(x)
+
+    return df.withColumn(name, F.pandas_udf(swap, "long", F.PandasUDFType.SCALAR)(col(idx), col(repeat)))
+
+
+def permuted_sql(source: str, n: str, seed: int = K.RANDOM_STATE, prefix: str = "pm") -> str:
+    """``permuted`` as a chain of common table expressions over ``source``
+    (columns i and repeat); the last one is ``{prefix}{ROUNDS}`` with x as donor."""
+    parts = [f"{prefix}0 AS (SELECT *, i AS x FROM {source})"]
+    for r in range(ROUNDS):
+        y = f"({_residue_sql('repeat', *_constants(seed, 2 * r))} % {n} + {n} - x) % {n}"
+        bit = f"(({_residue_sql('greatest(x, y) + repeat * 1000003', *_constants(seed, 2 * r + 1))}) >> 15) & 1"
+        parts.append(f"{prefix}{r + 1} AS (SELECT * EXCLUDE (x, y), CASE WHEN {bit} = 1 THEN y ELSE x END AS x "
+                     f"FROM (SELECT *, {y} AS y FROM {prefix}{r}))")
+    return ",\n".join(parts)
 
 
 def permutation_donors(indexed: DataFrame, repeats: int, seed: int = K.RANDOM_STATE,
-                       idx: str = "_i") -> DataFrame:
-    """Exact uniform random permutations of [0, n), one per repeat, as rows
-    ``(repeat, _tgt, donor)``: rows are sorted by (repeat, seeded hash) -
-    a range-partitioned distributed sort - and a row's sorted position
-    within its repeat is its target. Repeats have n rows each, so position =
-    global rank - repeat * n."""
-    n = indexed.count()
-    reps = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))
-    keyed = (indexed.select(col(idx).alias("donor")).select("donor", reps.alias("repeat"))
-             .withColumn("_h", F.xxhash64(F.lit(seed), F.col("repeat"), F.col("donor"))))
-    ordered = keyed.orderBy("repeat", "_h", "donor")
-    ranked = dense_index(ordered, "_g")
-    return ranked.select("repeat", (F.col("_g") - F.col("repeat") * F.lit(n)).alias("_tgt"), "donor")
+                       idx: str = "_i", n: int | None = None) -> DataFrame:
+    """Rows ``(repeat, _tgt, donor)``: one permutation of [0, n) per repeat."""
+    n = indexed.count() if n is None else n
+    each = indexed.select(col(idx).alias("_tgt")).withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    return permuted(each, n, repeats, seed, "_tgt").select("repeat", "_tgt", "donor")
 
 
 def permutation_importance(model, test: DataFrame, features: Sequence[str], label: str = K.TARGET,
-                           repeats: int = K.PERMUTATION_REPEATS, seed: int = K.RANDOM_STATE) -> DataFrame:
+                           repeats: int = K.PERMUTATION_REPEATS, seed: int = K.RANDOM_STATE,
+                           key: str = "row_id", known_n: int | None = None) -> DataFrame:
     """ME7: ROC-AUC drop when one feature is replaced by its values under a
     random permutation; ``(feature, importance_mean, importance_std)``
-    (population std), descending.
-
-    All repeats x features are built as rows (two equi-joins on the dense
-    index plus one narrow explode), scored by ONE ``model.transform`` and
-    evaluated by ONE grouped AUC job. Only the permuted column varies."""
-    idx = dense_index(test.select(*[col(f) for f in features], col(label)))
-    donors = permutation_donors(idx, repeats, seed)
-    donor_vals = idx.select(F.col("_i").alias("donor"), *[col(f).alias(f"_d_{j}") for j, f in enumerate(features)])
-    perm = (donors.join(donor_vals, on="donor")
-            .join(idx.withColumnRenamed("_i", "_tgt"), on="_tgt"))
-    variants = F.explode(F.array(*[
-        F.struct(F.lit(j).alias("_j"), *[(F.col(f"_d_{j}") if g == f else col(g)).alias(g) for g in features])
-        for j, f in enumerate(features)]))
-    rows = perm.select("repeat", col(label), variants.alias("_v")).select("repeat", label, "_v.*")
-    scored = predict(model, rows, features, keep=["repeat", "_j", label])
-    aucs = ME.roc_auc(scored, label, "probability", group_cols=["repeat", "_j"])
-    base = ME.roc_auc(predict(model, idx, features, keep=[label]), label, "probability")
-    drops = _one_row_join(aucs, base.withColumnRenamed("roc_auc", "_base"))
+    (population std), descending. ``model`` is a fitted Spark ML classifier or a
+    ``LinearScorer``.
+
+    Rows get dense numbers from their keys, a repeat's donors follow from the
+    numbers alone, and one equi-join brings the donors' values. The variants of
+    a row are scored where they are made (a linear scorer without unpacking
+    the row), and ONE grouped AUC job evaluates all."""
+    from .models import LinearScorer
+
+    idx = spread(reliable(dense_rank(test.select(*dict.fromkeys([key, *features, label])), key, seed)))
+    n = idx.count() if known_n is None else known_n
+    if n == 0:
+        return test.sparkSession.createDataFrame([], "feature string, importance_mean double, importance_std double")
+    each = idx.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    donors = idx.select(col("_i").alias("donor"), *[col(f).alias(f"_d_{j}") for j, f in enumerate(features)])
+    perm = permuted(each, n, repeats, seed).join(broadcast_if_small(donors), "donor")
+    if isinstance(model, LinearScorer):
+        used = [(j, f) for j, f in enumerate(features) if f in model.features]
+        scores = F.explode(F.array(*[F.struct(F.lit(j).alias("_j"), model.logit({f: F.col(f"_d_{j}")}).alias("_score"))
+                                     for j, f in used]))
+        scored = perm.select("repeat", col(label), scores.alias("_v")).select("repeat", label, "_v.*")
+        base = idx.select(col(label), model.logit().alias("_score"))
+    else:
+        used = list(enumerate(features))
+        variants = F.explode(F.array(*[
+            F.struct(F.lit(j).alias("_j"), *[(F.col(f"_d_{j}") if g == f else col(g)).alias(g) for g in features])
+            for j, f in used]))
+        rows = perm.select("repeat", col(label), variants.alias("_v")).select("repeat", label, "_v.*")
+        scored = predict(model, rows, features, keep=["repeat", "_j", label]).withColumnRenamed("probability", "_score")
+        base = predict(model, idx, features, keep=[label]).withColumnRenamed("probability", "_score")
+    aucs = ME.roc_auc(scored, label, "_score", group_cols=["repeat", "_j"])
+    drops = _one_row_join(aucs, ME.roc_auc(base, label, "_score").withColumnRenamed("roc_auc", "_base"))
     names = F.create_map(*[x for j, f in enumerate(features) for x in (F.lit(j), F.lit(f))])
-    return (drops.groupBy("_j").agg(F.avg(F.col("_base") - F.col("roc_auc")).alias("importance_mean"),
-                                    F.stddev_pop(F.col("_base") - F.col("roc_auc")).alias("importance_std"))
-            .select(names[F.col("_j")].alias("feature"), "importance_mean", "importance_std")
-            .orderBy(F.desc("importance_mean"), "feature"))
+    drop = F.col("_base") - F.col("roc_auc")
+    found = drops.groupBy("_j").agg(F.avg(drop).alias("importance_mean"), F.stddev_pop(drop).alias("importance_std")).select(
+        names[F.col("_j")].alias("feature"), "importance_mean", "importance_std")
+    unused = [f for j, f in enumerate(features) if (j, f) not in used]
+    if unused:       # a feature that the scorer does not read changes nothing
+        found = found.unionByName(test.sparkSession.createDataFrame(
+            [(f, 0.0, 0.0) for f in unused], "feature string, importance_mean double, importance_std double"))
+    return found.orderBy(F.desc("importance_mean"), "feature")
 
 
 # --------------------------------------------------------------------------
@@ -195,17 +245,15 @@ def evaluate_variant(df: DataFrame, features: Sequence[str], label_name: str,
     """ME10: split, k-fold CV on the train part, fit, test accuracy and AUC
     -> one row ``(variant, n_features, cv_auc_mean, cv_auc_std,
     test_accuracy, test_auc)``."""
-    flagged = split_flag(df, key, test_size, seed)
+    flagged = reliable(split_flag_exact(df, key, K.TARGET, test_size, seed))
     train = flagged.filter(~F.col("is_test"))
     test = flagged.filter(F.col("is_test"))
     cv = cv_summary(cv_scores(train, features, model_type, params, k, key, K.TARGET, seed)).first()
     model = fit(train, features, model_type, params, K.TARGET, seed)
-    scored = predict(model, test, features, keep=[K.TARGET])
-    acc = ME.accuracy(scored).first()["accuracy"]
-    auc = ME.roc_auc(scored).first()["roc_auc"]
+    row = test_metrics(predict(model, test, features, keep=[K.TARGET])).first()
     spark = df.sparkSession
     return spark.createDataFrame(
-        [(label_name, len(features), cv["cv_auc_mean"], cv["cv_auc_std"], acc, auc)],
+        [(label_name, len(features), cv["cv_auc_mean"], cv["cv_auc_std"], row["accuracy"], row["roc_auc"])],
         "variant string, n_features int, cv_auc_mean double, cv_auc_std double, "
         "test_accuracy double, test_auc double")
 
@@ -215,10 +263,18 @@ def train_and_evaluate(df: DataFrame, features: Sequence[str], model_type: str =
                        seed: int = K.RANDOM_STATE):
     """ML8 core / ME12: split -> fit on train -> {accuracy, roc_auc} on test.
     Returns ``(model, metrics_df)``."""
-    flagged = split_flag(df, key, K.TEST_SIZE, seed)
+    flagged = reliable(split_flag_exact(df, key, K.TARGET, K.TEST_SIZE, seed))
     model = fit(flagged.filter(~F.col("is_test")), features, model_type, params, K.TARGET, seed)
-    scored = predict(model, flagged.filter(F.col("is_test")), features, keep=[K.TARGET])
-    acc = ME.accuracy(scored).select("accuracy")
-    auc = ME.roc_auc(scored)
-    metrics = _one_row_join(acc, auc)
-    return model, metrics
+    return model, test_metrics(predict(model, flagged.filter(F.col("is_test")), features, keep=[K.TARGET]))
+
+
+def test_metrics(scored: DataFrame, label: str = K.TARGET) -> DataFrame:
+    """One row ``(accuracy, roc_auc)``: the test part is scored once, both
+    figures come from its counts per (score, prediction, label)."""
+    cells = reliable(scored.groupBy("probability", "prediction", label).agg(F.count(F.lit(1)).alias("_w")))
+    right = F.sum(F.when(F.col(label) == F.col("prediction"), F.col("_w")).otherwise(0))
+    acc = cells.agg(F.try_divide(right.cast("double"), F.sum("_w")).alias("accuracy"))
+    return _one_row_join(acc, ME.roc_auc(cells, label, weight="_w"))
+
+
+test_metrics.__test__ = False     # not a test case

@@ -101,11 +101,11 @@ def importance_job(spark: SparkSession, features_df: DataFrame, features: list[s
                    params: dict, out_path: str, repeats: int = K.PERMUTATION_REPEATS) -> DataFrame:
     """ME6-ME9 + IO6: impurity and permutation importance on the test part;
     writes both maps as one JSON record; returns the permutation table."""
-    from ..operators.split import split_flag
-    flagged = split_flag(features_df, key)
+    from ..operators.split import split_flag_exact
+    flagged = TR.reliable(split_flag_exact(features_df, key))
     model = TR.fit(flagged.filter(~F.col("is_test")), features, "random_forest", params)
     gini = TR.feature_importances(spark, model, features)
-    perm = TR.permutation_importance(model, flagged.filter(F.col("is_test")), features, repeats=repeats)
+    perm = TR.permutation_importance(model, flagged.filter(F.col("is_test")), features, repeats=repeats, key=key)
     maps = TR.importance_maps(gini, perm).first()
     IO.write_metrics(spark, {"gini_importance": dict(maps["gini_importance"]),
                              "permutation_importance": dict(maps["permutation_importance"])}, out_path)

@@ -123,22 +123,28 @@ def features_reduced(spark, sf):
     return rounded(out)
 
 
-@register("split_stratified", WS + """
-SELECT row_id, CAST(HeartDiseaseorAttack AS INTEGER) AS target,
- ((row_id + 1) * 610639) % 1000003 % 100 < 20 AS is_test FROM survey_raw""")
-def split_stratified(spark, sf):
-    df = view(spark, sf, "survey_raw").select(
+_RANKED = WS + """, s AS (SELECT row_id, CAST(HeartDiseaseorAttack AS INTEGER) AS target, {h} AS h FROM survey_raw),
+r AS (SELECT row_id, target, row_number() OVER (PARTITION BY target ORDER BY h, row_id) - 1 AS rk,
+ count(*) OVER (PARTITION BY target) AS n FROM s)
+"""
+
+
+def _labelled(spark, sf):
+    return view(spark, sf, "survey_raw").select(
         "row_id", F.col(K.BASIC_TARGET_RAW).cast("int").alias(K.TARGET))
-    return SP.split_flag(df, "row_id", K.TEST_SIZE, method="arith")
 
 
-@register("folds_stratified", WS + """
-SELECT row_id, CAST(HeartDiseaseorAttack AS INTEGER) AS target,
- CAST(((row_id + 1) * 324517) % 1000003 % 5 AS INTEGER) AS fold FROM survey_raw""")
+@register("split_stratified", _RANKED.format(h=SP.key_hash_sql("row_id")) + f"""
+SELECT row_id, target, rk < round(n * {K.TEST_SIZE}) AS is_test FROM r""")
+def split_stratified(spark, sf):
+    return SP.split_flag_exact(_labelled(spark, sf), "row_id")
+
+
+@register("folds_stratified", _RANKED.format(h=SP.key_hash_sql("row_id", K.RANDOM_STATE + 1)) + "SELECT row_id, target, CAST("
+          + " + ".join(f"CASE WHEN rk >= ({2 * j} * n + {K.CV_FOLDS}) // {2 * K.CV_FOLDS} THEN 1 ELSE 0 END"
+                       for j in range(1, K.CV_FOLDS)) + " AS INTEGER) AS fold FROM r")
 def folds_stratified(spark, sf):
-    df = view(spark, sf, "survey_raw").select(
-        "row_id", F.col(K.BASIC_TARGET_RAW).cast("int").alias(K.TARGET))
-    return df.withColumn("fold", SP.fold_column("row_id", K.CV_FOLDS, method="arith"))
+    return SP.fold_exact(_labelled(spark, sf), "row_id")
 
 
 @register("class_weights", WS + """, c AS (SELECT CAST(HeartDiseaseorAttack AS INTEGER) AS target,

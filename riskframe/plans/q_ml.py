@@ -13,8 +13,10 @@ from .. import constants as K
 from ..operators import encode as EN
 from ..operators import prep as PR
 from ..operators import retrieval as RT
+from ..operators import split as SP
 from ..operators import training as TR
-from ..sources.fixtures import view
+from ..operators.models import SURVEY_TEST_SCORER
+from ..sources.fixtures import oracle_views, view
 from .registry import register, rounded
 
 
@@ -61,15 +63,54 @@ def gini_importance(spark, sf):
     return rounded(TR.feature_importances(spark, model, feats))
 
 
-@register("permutation_importance")
+def _logit_sql(replace: str | None = None) -> str:
+    """The test scorer's logit in its own order, one feature from the donor."""
+    z = f"{SURVEY_TEST_SCORER.intercept!r}::DOUBLE"
+    for name, w, c in SURVEY_TEST_SCORER.terms:
+        x = f"{'d' if name == replace else 't'}.{name}::DOUBLE"
+        x = x if c is None else f"({x} - {c!r}::DOUBLE)"
+        z = f"({z} {'-' if w < 0 else '+'} {abs(w)!r}::DOUBLE * {x})"
+    return z
+
+
+_FEATURES = SURVEY_TEST_SCORER.features
+PERMUTATION_SQL = oracle_views("survey_raw") + f""", s AS (SELECT *, CAST(HeartDiseaseorAttack AS INTEGER) AS target,
+ {SP.key_hash_sql("row_id")} AS h FROM survey_raw),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY h, row_id) - 1 AS rk,
+ count(*) OVER (PARTITION BY target) AS n_class FROM s),
+test AS (SELECT *, row_number() OVER (ORDER BY h, row_id) - 1 AS i FROM ranked WHERE rk < round(n_class * {K.TEST_SIZE})),
+size AS (SELECT count(*)::BIGINT AS n FROM test),
+each AS (SELECT i, rep.repeat, n FROM test, size, (SELECT unnest(range({K.PERMUTATION_REPEATS})) AS repeat) rep),
+{TR.permuted_sql("each", "n")},
+cells AS (SELECT repeat, t.target AS t, unnest([{", ".join(f"struct_pack(f := '{f}', s := {_logit_sql(f)})" for f in _FEATURES)}]) AS v
+ FROM (SELECT i AS target_i, repeat, x FROM pm{TR.ROUNDS}) m JOIN test t ON t.i = m.target_i JOIN test d ON d.i = m.x),
+sums AS (SELECT repeat, v.f AS feature, v.s AS s, sum(t) AS p, sum(1 - t) AS n FROM cells GROUP BY ALL),
+upto AS (SELECT *, sum(n) OVER (PARTITION BY repeat, feature ORDER BY s) AS neg FROM sums),
+aucs AS (SELECT repeat, feature, sum(p * (neg - n + n * 0.5)) / (sum(p)::DOUBLE * sum(n)) AS auc FROM upto GROUP BY ALL),
+base_sums AS (SELECT {_logit_sql()} AS s, sum(target) AS p, sum(1 - target) AS n FROM test t GROUP BY 1),
+base AS (SELECT sum(p * (neg - n + n * 0.5)) / (sum(p)::DOUBLE * sum(n)) AS auc0 FROM (
+ SELECT *, sum(n) OVER (ORDER BY s) AS neg FROM base_sums))
+SELECT feature, round(avg(auc0 - auc), 6) + 0.0 AS importance_mean, round(stddev_pop(auc0 - auc), 6) + 0.0 AS importance_std
+FROM aucs, base GROUP BY feature"""
+
+
+@register("permutation_importance", PERMUTATION_SQL)
 def permutation_importance(spark, sf):
-    """ME7: AUC drop over 30 repeats on the test part (advanced forest)."""
-    from ..operators.split import split_flag
+    """SP1 + SP4 + ME7: AUC drop over 30 repeats on the stratified test part
+    of the survey (linear test scorer)."""
+    rows = PR.convert_target(view(spark, sf, "survey_raw"), K.BASIC_TARGET_RAW, K.TARGET)
+    test = SP.split_flag_exact(rows, "row_id").filter("is_test")
+    return rounded(TR.permutation_importance(SURVEY_TEST_SCORER, test, _FEATURES, repeats=K.PERMUTATION_REPEATS))
+
+
+@register("permutation_importance_forest")
+def permutation_importance_forest(spark, sf):
+    """ME7 with the advanced forest."""
     df, feats = _advanced_features(spark, sf)
-    flagged = split_flag(df, "id")
+    flagged = TR.reliable(SP.split_flag_exact(df, "id"))
     model = TR.fit(flagged.filter(~F.col("is_test")), feats, "random_forest", K.FOREST_ADVANCED_LOCAL)
     test = flagged.filter(F.col("is_test"))
-    return rounded(TR.permutation_importance(model, test, feats, repeats=K.PERMUTATION_REPEATS))
+    return rounded(TR.permutation_importance(model, test, feats, repeats=K.PERMUTATION_REPEATS, key="id"))
 
 
 @register("variant_experiment")

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskframe import constants as K
+from riskframe.operators import split as SP
 from riskframe.operators import training as TR
 from riskframe.operators.models import build_model
 from riskframe.plans import presets as P
@@ -24,7 +25,7 @@ def test_registry(spark):
 
 def test_dense_index_and_permutations(spark):
     df = spark.range(0, 500, 1, 7).withColumnRenamed("id", "k")
-    idx = TR.dense_index(df)
+    idx = SP.dense_rank(df, "k")
     ids = sorted(r._i for r in idx.collect())
     assert ids == list(range(500))
     donors = TR.permutation_donors(idx, repeats=3, seed=1)

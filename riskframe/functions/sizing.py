@@ -25,3 +25,12 @@ def broadcast_if_small(df: DataFrame, max_rows: int = K.MAX_BROADCAST_ROWS,
         return F.broadcast(df)
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where each row costs much (tree learners, row
+    explanations) and a small table is stored as a few files. Repartitions only
+    when there are fewer partitions than the cluster can run at once; large
+    inputs keep their partitioning and pay no shuffle."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(par) if df.rdd.getNumPartitions() < par else df

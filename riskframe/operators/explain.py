@@ -4,11 +4,12 @@ Contribution of feature j for a row x: ``p(x) - p(x with x_j = baseline_j)``
 (baseline = 0 in the scaled model space, i.e. the column mean for scaled
 columns and 0 for binaries and dummies).
 
-* Linear scorers: closed form. Every ablated logit is the SAME ordered sum
-  with one term replaced, so a feature whose value already equals its
-  baseline gets exactly 0. All p+1 scores, the top-k sort and the response
-  array are built inside the row: map-only, no explode before the top-k, no
-  shuffle.
+* Linear scorers: closed form. The terms of a row are one array of (value,
+  baseline) pairs; running sums from the left and from the right give every
+  logit with one term replaced, so a row costs as many steps as it has terms
+  and the generated code does not grow with them. A feature whose value already
+  equals its baseline gets exactly 0. Scores, top-k sort and response array are
+  built inside the row: map-only, no explode before the top-k, no shuffle.
 * Any Spark ML model: rows are expanded to p+1 variants by one narrow
   ``explode`` after a hash repartition on the key, scored by ONE
   ``model.transform``, and re-assembled with a window on the key that
@@ -25,51 +26,57 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.exprs import col, literal_map, py_round, py_signed_percent
+from ..functions.sizing import spread
 from .models import LinearScorer
 
-_CONTRIB = "array<struct<idx:int,feature:string,contribution:double>>"
+MAGNITUDE = 1e12     # contributions that agree to twelve decimals rank as equal, in feature order
 
 
-def linear_terms(df: DataFrame, scorer: LinearScorer, keep: Sequence[str]) -> DataFrame:
-    """Project each scorer term once (``_t0.._tn``) next to ``keep``."""
-    return df.select(*[col(c) for c in keep],
-                     *[scorer.term(n, abs(w), c).alias(f"_t{i}") for i, (n, w, c) in enumerate(scorer.terms)])
+def linear_terms(df: DataFrame, scorer: LinearScorer, keep: Sequence[str],
+                 baseline: Mapping[str, float]) -> DataFrame:
+    """``keep`` and the row's leave-one-out state: ``_terms`` (signed value and
+    baseline of every term), ``_left`` (sums up to each term) and ``_right``
+    (sums from each term on)."""
+    def signed(name: str, w: float, c: float | None, value: Column | None = None) -> Column:
+        t = scorer.term(name, abs(w), c, value)
+        return (-t if w < 0 else t).cast("double")
 
+    def running(values: Column, start: float) -> Column:
+        return F.aggregate(values, F.array(F.lit(start)), lambda acc, v: F.concat(
+            acc, F.array(F.element_at(acc, -1) + v)))
 
-def _sum_terms(scorer: LinearScorer, replaced: int | None = None, value: Column | None = None) -> Column:
-    """The logit as the same left-to-right sum over the projected terms,
-    optionally with term ``replaced`` swapped for ``value``."""
-    z = F.lit(scorer.intercept)
-    for i, (_, w, _) in enumerate(scorer.terms):
-        t = value if i == replaced else F.col(f"_t{i}")
-        z = z - t if w < 0 else z + t
-    return z
+    terms = F.array(*[F.struct(signed(n, w, c).alias("v"),
+                               signed(n, w, c, F.lit(float(baseline.get(n, 0.0)))).alias("b")) for n, w, c in scorer.terms])
+    kept = [col(c) for c in keep]
+    # one projection per step: each array is computed once per row
+    rows = spread(df).select(*kept, terms.alias("_terms"))
+    rows = rows.select(*kept, "_terms", F.col("_terms.v").alias("_v"))
+    return rows.select(*kept, "_terms", running(F.col("_v"), scorer.intercept).alias("_left"),
+                       F.reverse(running(F.reverse("_v"), 0.0)).alias("_right"))
 
 
-def contributions_linear(scorer: LinearScorer, features: Sequence[str],
-                         baseline: Mapping[str, float]) -> Column:
+def contributions_linear(scorer: LinearScorer, features: Sequence[str]) -> Column:
     """EX1 (closed form) as ``array<struct<neg_abs, idx, feature,
-    contribution>>`` in
-    feature order; needs the ``_t*`` columns of ``linear_terms``. Features
-    the scorer ignores contribute exactly 0."""
+    contribution>>`` in feature order, from the columns of ``linear_terms``.
+    Features the scorer ignores contribute exactly 0; rounding differences
+    between sums of another grouping do not order features."""
     from ..functions.exprs import sigmoid
 
-    p = sigmoid(_sum_terms(scorer))
-    index = {n: i for i, (n, _, _) in enumerate(scorer.terms)}
-    items = []
-    for i, f in enumerate(features):
-        if f in index:
-            j = index[f]
-            _, w, c = scorer.terms[j]
-            b = scorer.term(f, abs(w), c, F.lit(float(baseline.get(f, 0.0))))
-            contrib = p - sigmoid(_sum_terms(scorer, j, b))
-        else:
-            contrib = F.lit(0.0)
-        c = contrib.cast("double")
-        # led by (-|c|, idx) so the native array sort ranks by magnitude
-        items.append(F.struct((-F.abs(c)).alias("neg_abs"), F.lit(i).alias("idx"),
-                              F.lit(f).alias("feature"), c.alias("contribution")))
-    return F.array(*items)
+    at = {n: j for j, (n, _, _) in enumerate(scorer.terms)}
+    named = F.array(*[F.struct(F.lit(i).alias("idx"), F.lit(f).alias("feature"), F.lit(at.get(f)).cast("int").alias("j"))
+                      for i, f in enumerate(features)])
+
+    def item(m: Column) -> Column:
+        t, j = F.get("_terms", m["j"]), m["j"]
+        without = (F.get("_left", j) + t["b"]) + F.get("_right", j + 1)
+        change = sigmoid(F.element_at("_left", -1)) - sigmoid(without)
+        return F.struct(m["idx"].alias("idx"), m["feature"].alias("feature"),
+                        F.when(j.isNull() | (t["v"] == t["b"]), F.lit(0.0)).otherwise(change).alias("contribution"))
+
+    # led by (-|c|, idx) so the native array sort ranks by magnitude
+    return F.transform(F.transform(named, item), lambda e: F.struct(
+        (-F.floor(F.abs(e["contribution"]) * F.lit(MAGNITUDE) + F.lit(0.5))).alias("neg_abs"), e["idx"].alias("idx"), e["feature"].alias("feature"),
+        e["contribution"].alias("contribution")))
 
 
 def top_k(contribs: Column, k: int = K.TOP_CONTRIBUTORS) -> Column:
@@ -81,25 +88,31 @@ def top_k(contribs: Column, k: int = K.TOP_CONTRIBUTORS) -> Column:
 
 def explode_ranked(df: DataFrame, key: str, arr: str, rank: str = "rank") -> DataFrame:
     """Array of structs -> rows ``(key, rank (1-based), struct fields...)``."""
-    return (df.select(col(key), F.posexplode(arr).alias("_pos", "_e"))
+    return (df.select(col(key), F.posexplode_outer(arr).alias("_pos", "_e"))
             .select(col(key), (F.col("_pos") + 1).alias(rank), "_e.*"))
 
 
 def ablation_linear(df: DataFrame, scorer: LinearScorer, features: Sequence[str],
                     baseline: Mapping[str, float], key: str = "row_id") -> DataFrame:
     """EX1 long form ``(key, feature, contribution)``."""
-    wide = linear_terms(df, scorer, [key]).select(
-        col(key), contributions_linear(scorer, features, baseline).alias("c"))
-    return (wide.select(col(key), F.explode("c").alias("e"))
+    wide = linear_terms(df, scorer, [key], baseline).select(
+        col(key), contributions_linear(scorer, features).alias("c"))
+    return (wide.select(col(key), F.explode_outer("c").alias("e"))
             .select(col(key), "e.feature", "e.contribution"))
 
 
+def topk_array(df: DataFrame, scorer: LinearScorer, features: Sequence[str], baseline: Mapping[str, float],
+               keep: Sequence[str], k: int = K.TOP_CONTRIBUTORS) -> DataFrame:
+    """``keep`` and the row's top-k array ``t``."""
+    return linear_terms(df, scorer, keep, baseline).select(
+        *[col(c) for c in keep], top_k(contributions_linear(scorer, features), k).alias("t"))
+
+
 def topk_linear(df: DataFrame, scorer: LinearScorer, features: Sequence[str],
                 baseline: Mapping[str, float], key: str = "row_id",
                 k: int = K.TOP_CONTRIBUTORS) -> DataFrame:
     """EX2 ``(key, rank, feature, contribution)``; map-only."""
-    c = contributions_linear(scorer, features, baseline)
-    wide = linear_terms(df, scorer, [key]).select(col(key), top_k(c, k).alias("t"))
+    wide = topk_array(df, scorer, features, baseline, [key], k)
     return explode_ranked(wide, key, "t").drop("idx", "neg_abs")
 
 
@@ -130,7 +143,7 @@ def response_rows(df: DataFrame, key: str, topk_col: str, labels, display: Mappi
     explode the top-k first, then plain column expressions per row (label
     from a literal map, display text from a CASE over the feature name)."""
     label_map = literal_map(list(labels.items()) if isinstance(labels, Mapping) else labels)
-    x = df.select("*", F.posexplode(topk_col).alias("_pos", "_e"))
+    x = df.select("*", F.posexplode_outer(topk_col).alias("_pos", "_e"))
     feat = F.col("_e.feature")
     value = None
     for f, expr in display.items():

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.exprs import col
-from ..functions.sizing import broadcast_if_small
+from ..functions.sizing import broadcast_if_small, spread
 from . import metrics as ME
 from .models import assemble, build_model
 from .split import HASH_PRIME, dense_rank, fold_exact, split_flag_exact, with_class_weight
@@ -40,17 +40,6 @@ def fit(df: DataFrame, features: Sequence[str], model_type: str = "random_forest
     return est.fit(spread(assemble(data, features)))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Tree learners run one task per input partition per pass; a small
-    table stored as one file would train on one core. Repartition only when
-    there are fewer partitions than the cluster can run at once (large
-    inputs keep their partitioning and pay no shuffle)."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
-        return df.repartition(par)
-    return df
-
-
 def predict(model, df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """ML5: keep columns + ``prediction`` (argmax) + ``probability``."""
     from .models import score

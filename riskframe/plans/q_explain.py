@@ -53,10 +53,7 @@ def survey_display() -> dict:
 
 def _topk_array(spark, sf):
     clean = _clean(spark, sf)
-    base = survey_baseline(clean)
-    c = EX.contributions_linear(SCORER, FEATURES, base)
-    terms = EX.linear_terms(clean, SCORER, ["row_id"] + FEATURES)
-    return terms.select("row_id", *FEATURES, EX.top_k(c).alias("t"))
+    return EX.topk_array(clean, SCORER, FEATURES, survey_baseline(clean), ["row_id"] + FEATURES)
 
 
 def _responses(spark, sf):
@@ -84,16 +81,37 @@ def _prob(z: str) -> str:
     return f"1.0e0 / (1.0e0 + exp(-({z})))"
 
 
+def left_out_sql(scorer: LinearScorer, values: dict, feature: str, base: str) -> str:
+    """Contribution of one feature: the sums left of its term and right of it,
+    with the baseline in between; 0 where the value is the baseline."""
+    def term(j: int, x: str | None = None) -> str:
+        name, w, c = scorer.terms[j]
+        x = x or values.get(name, name)
+        t = f"{_num(abs(w))}*" + (f"(({x}) - {_num(c)})" if c is not None else f"({x})")
+        return f"(-({t}))" if w < 0 else f"({t})"
+
+    at = scorer.features.index(feature)
+    left, right = _num(scorer.intercept), "0.0e0"
+    for j in range(at):
+        left = f"({left} + {term(j)})"
+    for j in range(len(scorer.terms) - 1, at, -1):
+        right = f"({right} + {term(j)})"
+    whole = left
+    for j in range(at, len(scorer.terms)):
+        whole = f"({whole} + {term(j)})"
+    return (f"CASE WHEN {term(at)} = {term(at, base)} THEN 0.0e0 ELSE {_prob(whole)} - "
+            f"{_prob(f'(({left} + {term(at, base)}) + {right})')} END")
+
+
 WS = oracle_views("survey_raw")
 _BASE = {f: (f"(SELECT avg({f}) FROM survey_raw)" if f in K.BASIC_SCALE_COLS else "0.0e0")
          for f in FEATURES}
 _LONG = WS + ", lg AS (" + "\nUNION ALL ".join(
     f"SELECT row_id, {i} AS idx, '{f}' AS feature, "
-    + (f"{_prob(logit_sql(SCORER))} - {_prob(logit_sql(SCORER, {f: _BASE[f]}))}"
-       if f in SCORER.features else "0.0e0") + " AS contribution FROM survey_raw"
+    + (left_out_sql(SCORER, {}, f, _BASE[f]) if f in SCORER.features else "0.0e0") + " AS contribution FROM survey_raw"
     for i, f in enumerate(FEATURES)) + ")\n"
 _TOPK = _LONG + """, tk AS (SELECT row_id, idx, feature, contribution,
- CAST(row_number() OVER (PARTITION BY row_id ORDER BY abs(contribution) DESC, idx) AS INTEGER) AS rank FROM lg)
+ CAST(row_number() OVER (PARTITION BY row_id ORDER BY floor(abs(contribution) * 1e12 + 0.5) DESC, idx) AS INTEGER) AS rank FROM lg)
 """
 
 

@@ -234,18 +234,11 @@ def display_values(spark, sf):
 
 def _contrib_sql(scorer, scaled: dict, features) -> str:
     """Oracle long table (row_id, idx, feature, contribution) in model space."""
-    from .q_explain import logit_sql as lsql
-    p = f"(1.0e0 / (1.0e0 + exp(-({lsql(scorer, scaled)}))))"
-    parts = []
-    for i, f in enumerate(features):
-        if f in scorer.features:
-            repl = dict(scaled)
-            repl[f] = "0.0e0"
-            c = f"{p} - (1.0e0 / (1.0e0 + exp(-({lsql(scorer, repl)}))))"
-        else:
-            c = "0.0e0"
-        parts.append(f"SELECT row_id, {i} AS idx, '{f}' AS feature, {c} AS contribution FROM ok")
-    return "\nUNION ALL ".join(parts)
+    from .q_explain import left_out_sql
+    return "\nUNION ALL ".join(
+        f"SELECT row_id, {i} AS idx, '{f}' AS feature, "
+        + (left_out_sql(scorer, scaled, f, "0.0e0") if f in scorer.features else "0.0e0") + " AS contribution FROM ok"
+        for i, f in enumerate(features))
 
 
 def _label_case(expr, labels):
@@ -253,7 +246,7 @@ def _label_case(expr, labels):
 
 
 _EXPLAINED_SQL = RB + ", lg AS (" + _contrib_sql(BASIC_SERVE_SCORER, _BASIC_SCALED, K.BASIC_FEATURES) + """),
-tk AS (SELECT *, CAST(row_number() OVER (PARTITION BY row_id ORDER BY abs(contribution) DESC, idx) AS INTEGER) AS rank FROM lg)
+tk AS (SELECT *, CAST(row_number() OVER (PARTITION BY row_id ORDER BY floor(abs(contribution) * 1e12 + 0.5) DESC, idx) AS INTEGER) AS rank FROM lg)
 SELECT tk.row_id, tk.rank, """ + _label_case("tk.feature", K.BASIC_FEATURE_LABELS) + """ AS feature,
  CASE tk.feature """ + " ".join(f"WHEN '{f}' THEN {e}" for f, e in _BASIC_DISPLAY.items()) + """ END AS value,
  (round(printf('%.4f', tk.contribution)::DOUBLE, 6) + 0.0) AS contribution
@@ -272,10 +265,7 @@ def serve_explained_basic(spark, sf):
     disp = SV.basic_display()
     ok = ok.withColumn("_disp", F.struct(*[e.alias(f) for f, e in disp.items()]))
     rows = SV.to_model_space_basic(ok, stats, keep=("row_id", "_disp"))
-    base = {f: 0.0 for f in K.BASIC_FEATURES}
-    c = EX.contributions_linear(BASIC_SERVE_SCORER, K.BASIC_FEATURES, base)
-    t = EX.linear_terms(rows, BASIC_SERVE_SCORER, ["row_id", "_disp"]).select(
-        "row_id", "_disp", EX.top_k(c).alias("t"))
+    t = EX.topk_array(rows, BASIC_SERVE_SCORER, K.BASIC_FEATURES, {}, ["row_id", "_disp"])
     out = EX.response_rows(t, "row_id", "t", K.BASIC_FEATURE_LABELS,
                            {f: F.col("_disp")[f] for f in disp})
     return rounded(out.drop("n_items"))
@@ -303,7 +293,7 @@ _EXPLAINED_ADV_SQL = (RA.rstrip() + f""",
 sa AS MATERIALIZED (SELECT {_SA} FROM cc),
 ok AS (SELECT aok.*, sa.* FROM aok CROSS JOIN sa),
 lg AS ({_contrib_sql(ADVANCED_SERVE_SCORER, _ADV_SCALED_M, K.ADVANCED_FEATURES)}),
-tk AS (SELECT *, CAST(row_number() OVER (PARTITION BY row_id ORDER BY abs(contribution) DESC, idx) AS INTEGER)
+tk AS (SELECT *, CAST(row_number() OVER (PARTITION BY row_id ORDER BY floor(abs(contribution) * 1e12 + 0.5) DESC, idx) AS INTEGER)
    AS rank FROM lg)
 SELECT tk.row_id, tk.rank, {_label_case("tk.feature", K.ADVANCED_FEATURE_LABELS)} AS feature,
  CASE tk.feature {" ".join(f"WHEN '{f}' THEN {e}" for f, e in _adv_display_sql().items())} END AS value,
@@ -321,8 +311,6 @@ def serve_explained_advanced(spark, sf):
     disp = SV.advanced_display()
     ok = ok.withColumn("_disp", F.struct(*[e.alias(f) for f, e in disp.items()]))
     rows = SV.to_model_space_advanced(ok, stats, vocab, feats, keep=("row_id", "_disp"))
-    c = EX.contributions_linear(ADVANCED_SERVE_SCORER, feats, {f: 0.0 for f in feats})
-    t = EX.linear_terms(rows, ADVANCED_SERVE_SCORER, ["row_id", "_disp"]).select(
-        "row_id", "_disp", EX.top_k(c).alias("t"))
+    t = EX.topk_array(rows, ADVANCED_SERVE_SCORER, feats, {}, ["row_id", "_disp"])
     out = EX.response_rows(t, "row_id", "t", K.ADVANCED_FEATURE_LABELS, {f: F.col("_disp")[f] for f in disp})
     return rounded(out.drop("n_items"))

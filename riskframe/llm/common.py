@@ -86,6 +86,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, the text's hash ``_text_hash`` and the whole row as one struct
+    ``_row``, so that no column of ``docs`` can clash with a helper's."""
+    return docs.select("doc_id", F.xxhash64("text").alias("_text_hash"),
+                       F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, text: Column | None = None) -> DataFrame:
+    """The columns of ``docs`` again, ``text`` replaced if one is given."""
+    return rows.select(*[(text if text is not None and c == "text" else F.col("_row")[c]).alias(c) for c in docs.columns])
+
+
 def broadcast_checked(small: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast a *stored* table if its counted rows stay within
     ``max_rows``; else return it plain and let Spark shuffle."""

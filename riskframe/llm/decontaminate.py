@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, broadcast_checked, let, stored, window_hashes
+from .common import ascii_lower, broadcast_checked, let, packed, stored, unpacked, window_hashes
 
 WINDOW = 10
 MAX_BROADCAST_WINDOWS = 200_000
@@ -79,15 +79,18 @@ def candidates(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataF
         F.sort_array(F.collect_set(F.struct("x.pos", "x.len", "gram", "items"))).alias("_found")), "bench-hits")
 
 
-def _verified(docs: DataFrame, bench: DataFrame, cols: list[Column], window: int) -> DataFrame:
-    """``cols`` of every row, its ``_words``, and ``_hits``: the candidates
-    whose words are those of the benchmark."""
+def _verified(docs: DataFrame, bench: DataFrame, window: int, whole: bool = False) -> DataFrame:
+    """doc_id (with ``whole`` the packed row too) of every row, its ``_words``, and
+    ``_hits``: the candidates whose words are those of the benchmark."""
     found = broadcast_checked(candidates(docs, bench, window), MAX_BROADCAST_HITS)
-    rows = docs.select(*cols, F.xxhash64("text").alias("_hash"), words(F.col("text")).alias("_words"))
-    rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_found_id")) & (F.col("_hash") == F.col("_found_hash")), "left")
+    if whole:
+        rows = packed(docs).withColumn("_words", words(F.col("_row.text")))
+    else:
+        rows = docs.select("doc_id", F.xxhash64("text").alias("_text_hash"), words(F.col("text")).alias("_words"))
+    rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_found_id")) & (F.col("_text_hash") == F.col("_found_hash")), "left")
     hits = F.when(F.col("_found").isNull(), F.array().cast(HIT)).otherwise(
         F.filter("_found", lambda s: _gram(F.col("_words"), s["pos"], s["len"]) == s["gram"]))
-    return rows.withColumn("_hits", hits).drop("_found", "_found_id", "_found_hash", "_hash")
+    return rows.withColumn("_hits", hits).drop("_found", "_found_id", "_found_hash", "_text_hash")
 
 
 def covered(spans: Column) -> Column:
@@ -102,7 +105,7 @@ def covered(spans: Column) -> Column:
 
 def scan(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, items (array), spans of every document row."""
-    rows = _verified(docs, bench, [F.col("doc_id")], window)
+    rows = _verified(docs, bench, window)
     return rows.select(
         "doc_id", F.size("_words").cast("long").alias("n_words"), covered(F.col("_hits")).alias("n_hit"),
         F.sort_array(F.array_distinct(F.flatten(F.col("_hits.items")))).alias("items"),
@@ -112,13 +115,11 @@ def scan(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
 def clean(docs: DataFrame, bench: DataFrame, remove: str = "documents", window: int = WINDOW) -> DataFrame:
     """``documents``: drop documents with a hit. ``spans``: cut the hit words,
     with the separators before them, out of the text and keep the rest."""
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    rows = _verified(docs, bench, cols, window)
+    rows = _verified(docs, bench, window, whole=True)
     if remove == "documents":
-        return rows.filter(F.size("_hits") == 0).select(*cols)
+        return unpacked(rows.filter(F.size("_hits") == 0), docs)
     # pieces: each word with the separators before it, and the last separators
-    pieces = F.regexp_extract_all("text", F.lit(f"{RAW_GAP}*{RAW_WORD}+|{RAW_GAP}+$"), F.lit(0))
+    pieces = F.regexp_extract_all(F.col("_row.text"), F.lit(f"{RAW_GAP}*{RAW_WORD}+|{RAW_GAP}+$"), F.lit(0))
     hit = lambda i: F.exists("_hits", lambda s: (s["pos"] <= i) & (i < s["pos"] + s["len"]))
     cut = let(pieces, lambda ps: F.concat_ws("", F.filter(ps, lambda p, i: ~hit(i))))
-    return rows.select(*[F.when(F.size("_hits") == 0, F.col("text")).otherwise(cut).alias("text") if c == "text"
-                         else F.col(f"`{c}`") for c in docs.columns])
+    return unpacked(rows, docs, F.when(F.size("_hits") == 0, F.col("_row.text")).otherwise(cut))

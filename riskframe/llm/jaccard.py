@@ -8,7 +8,8 @@
    shingles that many documents share last (a bounded list of heavy shingles,
    counted over all documents), so shared passages do not fill the prefixes.
    Keys held by one node only end there.
-3. Within a key a leader is compared with all members first; members of its
+3. Every node is compared with the smallest node of all its keys first. Within a
+   key whose members are then still in several components a leader is compared with all members first; members of its
    component need no further pair. What stays unresolved is cut into
    size-banded tiles: sets whose sizes differ by more than t cannot link, so
    only tiles of equal or neighbouring bands meet, and a tile holds a bounded number of members.
@@ -39,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_checked, stored
+from .common import broadcast_checked, packed, stored, unpacked
 from .components import components
 
 K = 5
@@ -440,12 +441,18 @@ def tiled_pairs(open_rows: DataFrame, light: DataFrame) -> DataFrame:
 
 
 def link(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and n_links (other *distinct sets*
-    verified as linked with this one) of every document row."""
+    """doc_id, text_hash, n_shingles and component_id of every document row."""
     table = described(docs)
     keys = shared_keys(docs, heavy_shingles(table))
     light = sketches(table, keys)
-    links, open_rows = None, keys.select("key", "node", F.col("node").alias("component"))
+    # every node meets the smallest node of all its keys: one pair a node, so a
+    # group of near copies that shares hundreds of keys is one component before any key
+    # is looked at by itself
+    lead = keys.groupBy(F.col("key").alias("_k")).agg(F.min("node").alias("lead"))
+    pairs = keys.join(lead, F.col("key") == F.col("_k")).groupBy("node").agg(F.min("lead").alias("lead")).filter("lead <> node")
+    links = verified(docs, pairs.select(F.col("lead").alias("a"), F.col("node").alias("b")), light)
+    labels = components(links)
+    open_rows = _open(keys, labels)
     for round_ in range(STAR_ROUNDS + 1):
         if round_ < STAR_ROUNDS:
             lead = open_rows.groupBy(F.col("key").alias("_k")).agg(F.min("node").alias("lead"), F.min_by("component", "node").alias("lead_c"))
@@ -454,7 +461,7 @@ def link(docs: DataFrame) -> DataFrame:
         else:
             pairs = tiled_pairs(open_rows, light)
         found = verified(docs, pairs, light)
-        links = found if links is None else links.union(found)
+        links = links.union(found)
         labels = components(links)
         if round_ < STAR_ROUNDS:
             # the leader has met all members of its key
@@ -463,31 +470,27 @@ def link(docs: DataFrame) -> DataFrame:
             open_rows = _open(rest, labels)
             if not open_rows.head(1):
                 break
-    degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
     rows = table.filter("n is not null")
     marked = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
     labels = labels.withColumnsRenamed({"node": "_n", "component": "_c"})
     marked = stored(marked.join(labels, F.col("node") == F.col("_n"), "left").select(
         "node", "first", F.coalesce("_c", "node").alias("component")), "jaccard-classes")
     smallest = marked.groupBy("component").agg(F.min("first").alias("component_id"))
-    classes = marked.join(smallest, "component").join(degree, "node", "left").select(
-        F.col("node").alias("_n"), "component_id", "n_links")
+    classes = marked.join(smallest, "component").select(F.col("node").alias("_n"), "component_id")
     return rows.join(classes, (F.col("node") == F.col("_n")) & (F.col("n") > 0), "left").select(
-        "doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+        "doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The documents with one row left of each component: its smallest id, and
     of rows that repeat that id and text, one."""
     linked = stored(link(docs).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(
-        F.min("component_id").alias("component_id"), F.count("*").alias("rows")), "jaccard-linked")
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+        F.min("component_id").alias("component_id"), F.count("*").alias("_rows")), "jaccard-linked")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
     first = linked.filter("_id <=> component_id")
-    kept = docs.join(first.filter("rows = 1"), same, "left_semi")
-    if not first.filter("rows > 1").head(1):
-        return kept
-    repeated = docs.join(first.filter("rows > 1"), same, "left_semi")
-    one = repeated.withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"]).select(*cols)
-    return kept.unionByName(one)
+    rows = packed(docs)
+    kept = rows.join(first.filter("_rows = 1"), same, "left_semi")
+    if first.filter("_rows > 1").head(1):
+        repeated = rows.join(first.filter("_rows > 1"), same, "left_semi")
+        kept = kept.unionByName(repeated.dropDuplicates(["doc_id", "_text_hash"]))
+    return unpacked(kept, docs)

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NON_SPACE, broadcast_checked, stored, unit_hash
+from .common import NON_SPACE, broadcast_checked, packed, stored, unit_hash, unpacked
 
 WEIGHTS = (3, 1, 2)
 VOLUME = 1.5
@@ -141,12 +141,10 @@ def expand(docs: DataFrame, **options) -> DataFrame:
     taken = mix(docs, **options).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(
         F.sum("copies").alias("_all"), F.count("*").alias("_rows"))
     taken = stored(taken, "mix-copies")
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.select(*cols, F.xxhash64("text").alias("_text_hash")).join(
-        taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")))
+    keyed = packed(docs).join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")))
     # rows that repeat an id and text: one of them stands for the copies of all
-    alone = keyed.filter("_rows = 1").withColumn("_n", F.col("_all"))
+    alone = keyed.filter("_rows = 1")
     if taken.filter("_rows > 1").head(1):
-        shared = keyed.filter("_rows > 1").dropDuplicates(["doc_id", "_text_hash"]).withColumn("_n", F.col("_all"))
-        alone = alone.unionByName(shared)
-    return alone.filter("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_n"))).select(*cols)
+        alone = alone.unionByName(keyed.filter("_rows > 1").dropDuplicates(["doc_id", "_text_hash"]))
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_all")))
+    return unpacked(alone.filter("_all > 0").select("_row", copies.alias("_copy")), docs)

@@ -5,8 +5,9 @@ windows) and a few shape features are computed in one projection. For every
 (language, source) group a mergeable quantile sketch per feature is kept: a
 histogram over logarithmic bins (relative error at most ``GAMMA - 1``), which
 merges by adding counts, so a hot group is combined on the map side and the
-result does not depend on the order of merging. Groups with few documents
-fall back to the merged sketch of their language, then of all documents. The
+result does not depend on the order of merging. A group's quartiles are drawn
+towards those of its language, and these towards those of all documents, the
+more the fewer documents it has (one formula at every size). The
 fences (quartiles widened by ``spread`` inter-quartile ranges, with a least
 spread per feature) replace fixed cutoffs and are joined back to the rows.
 
@@ -31,7 +32,7 @@ MAX_REPEAT_PERCENT = 30
 GAMMA = 1.02
 LEAST_VALUE = 1e-4          # smaller values share the zero bin
 ZERO_BIN = -100_000
-MIN_GROUP = 200             # documents a group needs for thresholds of its own
+PRIOR = 20.0                # weight of the parent's quartiles, in documents
 SPREAD = 4.0
 MAX_BROADCAST_GROUPS = 200_000
 #: feature -> (least inter-quartile range used for the fence, lower fence too)
@@ -127,8 +128,12 @@ def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
                                                 F.max("total").alias("total"))
 
 
-def thresholds(sketch: DataFrame, spread: float = SPREAD, min_group: int = MIN_GROUP) -> DataFrame:
-    """lang, source and the fences ``lo_<f>`` / ``hi_<f>`` of every feature."""
+def thresholds(sketch: DataFrame, spread: float = SPREAD, prior: float = PRIOR) -> DataFrame:
+    """lang, source and the fences ``lo_<f>`` / ``hi_<f>`` of every feature.
+
+    One rule at every size: a group of n documents takes its own quartiles
+    with weight n and those of its language with weight ``prior``, a language
+    likewise against all documents; so no verdict jumps when a row is added."""
     groups = quartiles(sketch, ["lang", "source"])
     langs = quartiles(sketch, ["lang"]).select(
         F.col("lang").alias("_l"), F.col("feature").alias("_lf"), F.col("q1").alias("l1"), F.col("q3").alias("l3"),
@@ -137,9 +142,9 @@ def thresholds(sketch: DataFrame, spread: float = SPREAD, min_group: int = MIN_G
         F.col("feature").alias("_af"), F.col("q1").alias("a1"), F.col("q3").alias("a3"))
     df = (groups.join(langs, F.col("lang").eqNullSafe(F.col("_l")) & (F.col("feature") == F.col("_lf")))
           .join(everything, F.col("feature") == F.col("_af")))
-    pick = lambda g, la, a: F.when(F.col("total") >= min_group, F.col(g)).when(
-        F.col("lt") >= min_group, F.col(la)).otherwise(F.col(a))
-    df = df.select("lang", "source", "feature", pick("q1", "l1", "a1").alias("q1"), pick("q3", "l3", "a3").alias("q3"))
+    mean = lambda own, n, parent: (own * n + parent * F.lit(prior)) / (n + F.lit(prior))
+    own = lambda g, la, a: mean(F.col(g), F.col("total"), mean(F.col(la), F.col("lt"), F.col(a)))
+    df = df.select("lang", "source", "feature", own("q1", "l1", "a1").alias("q1"), own("q3", "l3", "a3").alias("q3"))
     out = []
     for f, (least, _) in FEATURES.items():
         reach = spread * F.greatest(F.col("q3") - F.col("q1"), F.lit(least))
@@ -148,12 +153,12 @@ def thresholds(sketch: DataFrame, spread: float = SPREAD, min_group: int = MIN_G
     return df.groupBy("lang", "source").agg(*out)
 
 
-def judge(docs: DataFrame, spread: float = SPREAD, min_group: int = MIN_GROUP) -> DataFrame:
+def judge(docs: DataFrame, spread: float = SPREAD, prior: float = PRIOR) -> DataFrame:
     """Counts, features, fences' verdict ``kept`` and the failed features
     (``failed``: array of names) of every document row."""
     counts = stored(base_counts(docs), "quality-counts")
     fences = broadcast_checked(stored(
-        thresholds(sketches(counts), spread, min_group).withColumnsRenamed({"lang": "_lang", "source": "_source"}),
+        thresholds(sketches(counts), spread, prior).withColumnsRenamed({"lang": "_lang", "source": "_source"}),
         "quality-fences"), MAX_BROADCAST_GROUPS)
     df = counts.join(fences, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")),
                      "left")

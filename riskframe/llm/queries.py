@@ -29,7 +29,7 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.link(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "n_links")
+    return jaccard.link(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -73,16 +74,6 @@ def name_score(name: str) -> float:
     return score * (0.3 if words and (words[-1] in HARMLESS or words[0] in ("max", "min", "num")) else 1.0)
 
 
-def literal_score(value: str) -> float:
-    """0 for placeholders and short values, up to 1 for long mixed ones."""
-    if len(value) < 6 or PLACEHOLDER.match(value) or " " in value.strip():
-        return 0.0
-    counts = Counter(value)
-    entropy = -sum(c / len(value) * math.log2(c / len(value)) for c in counts.values())
-    kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9]"))
-    return min(1.0, 0.25 + 0.1 * entropy + 0.12 * kinds)
-
-
 def assignments(text: str) -> list[tuple[str, list]]:
     """(target, terms) in order; a term is ("lit", value, start, end) or ("ref", name)."""
     tokens = [(m.lastgroup, m.start(), m.end()) for m in LEX.finditer(text) if m.lastgroup != "space"]
@@ -136,42 +127,128 @@ def assignments(text: str) -> list[tuple[str, list]]:
     return out
 
 
+class Value:
+    """What is known of a concatenated constant: enough to score it, of
+    bounded size however long it is. ``joined`` adds two values up."""
+
+    __slots__ = ("length", "counts", "head", "tail", "word", "inner", "lead", "trail")
+    KEPT = 64
+
+    def __init__(self, text: str = ""):
+        core = text.strip()
+        self.length, self.counts = len(text), Counter(text)
+        self.head, self.tail = text[:self.KEPT], text[-4:]
+        self.word, self.inner = bool(core), " " in core
+        self.lead = " " in text[:len(text) - len(text.lstrip())]       # blanks before the first
+        self.trail = " " in text[len(text.rstrip()):]                  # and after the last other character
+
+    def joined(self, other: "Value") -> "Value":
+        out = Value()
+        out.length, out.counts = self.length + other.length, self.counts + other.counts
+        out.head, out.tail = (self.head + other.head)[:self.KEPT], (self.tail + other.tail)[-4:]
+        out.word = self.word or other.word
+        out.inner = self.inner or other.inner or (self.word and other.word and (self.trail or other.lead))
+        out.lead = self.lead if self.word else self.lead or other.lead
+        out.trail = other.trail if other.word else self.trail or other.trail
+        return out
+
+    def placeholder(self) -> bool:
+        if self.length <= self.KEPT:
+            return bool(PLACEHOLDER.match(self.head))
+        kinds = set(self.counts)
+        if kinds <= {"x", "X"} or kinds == {"*"}:
+            return True
+        # the other long forms are told by how they begin and end
+        ends = self.head[:32] + self.tail
+        return "\n" not in kinds and not re.match(r"x+$|\*+$", ends, re.IGNORECASE) and bool(PLACEHOLDER.match(ends))
+
+    def score(self) -> float:
+        """0 for placeholders and short values, up to 1 for long mixed ones."""
+        if self.length < 6 or self.inner or self.placeholder():
+            return 0.0
+        entropy = -sum(c / self.length * math.log2(c / self.length) for c in self.counts.values())
+        letters = self.counts.keys()
+        kinds = (any("a" <= c <= "z" for c in letters) + any("A" <= c <= "Z" for c in letters)
+                 + any("0" <= c <= "9" for c in letters) + any(not (c.isascii() and c.isalnum()) for c in letters))
+        return min(1.0, 0.25 + 0.1 * entropy + 0.12 * kinds)
+
+
+def literal_score(value: str) -> float:
+    return Value(value).score()
+
+
 def method_spans(text: str) -> list[tuple[int, int]]:
-    """Literals that reach a sensitive name, directly or through constants."""
+    """Literals that reach a sensitive name, directly or through constants.
+
+    An assignment's references are resolved once: a name stands for its
+    last assignment before, else for its first one after. So constants form a
+    graph without copies: values are added up along it with an explicit stack,
+    and the literals of a sensitive target are collected by a walk that enters
+    no assignment twice."""
     if not SENSITIVE.search(text):
         return []
     found = assignments(text)
-    if not any(name_score(t) for t, _ in found):
+    scores = [name_score(t) for t, _ in found]
+    if not any(scores):
         return []
-    later: dict[str, list] = {}
-    for target, terms in found:
-        later.setdefault(target, terms)
-    known: dict[str, list] = {}
-
-    def resolve(terms: list, seen: frozenset) -> list:
-        parts = []
-        for term in terms:
-            if term[0] == "lit":
-                parts.append(term)
-                continue
-            name = term[1]
-            if name in seen:
+    first: dict[str, int] = {}
+    for i, (target, _) in enumerate(found):
+        first.setdefault(target, i)
+    last: dict[str, int] = {}             # of the assignments before the current one
+    links: dict[int, list] = {}           # assignment -> its terms, references as assignment numbers
+    values: dict[int, Value] = {}
+
+    def link(i: int) -> None:
+        target, terms = found[i]
+        links[i] = []
+        for t in terms:
+            if t[0] == "lit":
+                links[i].append(t)
+            elif t[1] != target and (at := last.get(t[1], first.get(t[1]))) is not None:
+                links[i].append(("ref", at))
+
+    def evaluate(i: int) -> None:
+        open_, stack = set(), [i]
+        while stack:
+            j = stack[-1]
+            if j in values:
+                stack.pop()
                 continue
-            if name in known:
-                parts += known[name]
-            elif name in later:
-                parts += resolve(later[name], seen | {name})
-        return parts
-
-    spans = set()
-    for target, terms in found:
-        parts = resolve(terms, frozenset([target]))
-        if not parts and len(terms) == 1 and terms[0][0] == "ref":
+            if j not in links:
+                link(j)
+            if j not in open_:
+                open_.add(j)
+                # what is open already is a circle: those references stay out
+                links[j] = [t for t in links[j] if t[0] == "lit" or t[1] in values or t[1] not in open_]
+                todo = [t[1] for t in links[j] if t[0] == "ref" and t[1] not in values]
+                if todo:
+                    stack += todo
+                    continue
+            links[j] = [t for t in links[j] if t[0] == "lit" or t[1] in values]
+            value = Value()
+            for t in links[j]:
+                value = value.joined(Value(t[1]) if t[0] == "lit" else values[t[1]])
+            values[j] = value
+            stack.pop()
+
+    spans: set[tuple[int, int]] = set()
+    walked: set[int] = set()
+    for i, (target, terms) in enumerate(found):
+        evaluate(i)
+        if not links[i] and len(terms) == 1 and terms[0][0] == "ref":
             continue
-        known[target] = parts
-        score = name_score(target)
-        if score and parts and score * literal_score("".join(p[1] for p in parts)) >= THRESHOLD:
-            spans.update((p[2], p[3]) for p in parts if p[3] > p[2])
+        last[target] = i
+        if scores[i] and scores[i] * values[i].score() >= THRESHOLD:
+            stack = [i]
+            while stack:
+                j = stack.pop()
+                if j not in walked:
+                    walked.add(j)
+                    for t in links[j]:
+                        if t[0] == "ref":
+                            stack.append(t[1])
+                        elif t[3] > t[2]:
+                            spans.add((t[2], t[3]))
     return sorted(spans)
 
 
@@ -185,7 +262,15 @@ def find(text: str) -> list[tuple[int, int, int]]:
         spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     base = list(spans)
-    spans += [(s, 3, e) for s, e in method_spans(text) if not any(a <= s and e <= b for a, _, b in base)]
+    # spans of a base kind do not overlap: of each kind only the last one that starts
+    # at or before a literal can cover it
+    starts = [sorted((a, b) for a, kind, b in base if kind == k) for k in range(3)]
+
+    def within(s: int, e: int) -> bool:
+        at = [(own, bisect_right(own, (s, math.inf)) - 1) for own in starts]
+        return any(k >= 0 and e <= own[k][1] for own, k in at)
+
+    spans += [(s, 3, e) for s, e in method_spans(text) if not within(s, e)]
     return sorted(spans)
 
 

@@ -39,6 +39,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import broadcast_checked, packed, stored, unpacked
+
 PER_CLASS = 1_200
 MAX_TRAIN_CHARS = 50_000
 LANDMARKS, NEIGHBOURS = 48, 8
@@ -56,6 +58,7 @@ LEAST_SHARE = 0.02           # of the toxic texts that a landmark must reach
 BATCH = 4_000                # units compared at once (bounds the memory)
 CANDIDATES = 300             # units looked at as landmarks
 CACHE = 500_000
+MAX_BROADCAST_REJECTED = 1_000_000   # ids and hashes of rejected rows: 16 MB
 SINGLES = re.compile(r"(?<!\S)(?:[^\W\d_]\W* +){2,}[^\W\d_](?=\W*(?:\s|$))")
 SUBSTITUTES = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "$": "s", "@": "a"})
 
@@ -364,9 +367,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            texts, out = batch.column(2).to_pylist(), []
-            for i in range(0, len(texts), 512):
-                out.append(scorer([t or "" for t in texts[i:i + 512]]))
+            out = []
+            for i in range(0, batch.num_rows, 512):
+                out.append(scorer([t or "" for t in batch.column(2).slice(i, 512).to_pylist()]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(np.concatenate(out) if out else np.empty(0))], ["doc_id", "text_hash", "score"])
 
@@ -376,16 +379,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """The document rows that score below ``threshold``, all columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
-        for batch in batches:
-            texts = batch.column(at).to_pylist()
-            out = [scorer([t or "" for t in texts[i:i + 512]]) for i in range(0, len(texts), 512)]
-            if out:
-                yield batch.filter(pa.array(np.concatenate(out) < threshold))
-
-    return docs.mapInArrow(run, docs.schema)
+    """The document rows that score below ``threshold``, all columns. Only id
+    and text go through Python; rows with the same id and text score alike."""
+    bad = score(docs, model).filter(F.col("score") >= threshold).select(
+        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    bad = broadcast_checked(stored(bad, "toxic-rows"), MAX_BROADCAST_REJECTED)
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
+    return unpacked(packed(docs).join(bad, same, "left_anti"), docs)

@@ -1,7 +1,9 @@
 """The contract queries against plain Python on sf0.001 and edge rows."""
 
 import hashlib
+import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -94,6 +96,36 @@ def test_secrets_lexer(text, found):
     assert spans == found
 
 
+@pytest.mark.parametrize("lines", [
+    ['a0 = "Ab1!"', *(f"a{i} = a{i - 1} + a{i - 1}" for i in range(1, 200)), "password = a199"],
+    [*(f"b{i} = b{i + 1}" for i in range(3000)), 'b3000 = "Zx81nnQ2pp"', "auth_token = b0"],
+    [*(f'c{i} = c{i - 1} + "k{i}"' for i in range(1, 3000)), "secret_key = c2999"],
+    [*(f"d{i} = d{(i + 1) % 50} + d{(i * 7 + 3) % 50}" for i in range(50)), 'd7 = "Qw3rTy7788"', "password = d0"],
+])
+def test_secrets_constant_chains(lines):
+    """Doublings, long chains either way and circles end soon."""
+    began = time.time()
+    spans = secrets.method_spans("\n".join(lines))
+    assert time.time() - began < 5
+    assert spans or "d0" in lines[-1]
+
+
+def test_secret_values_add_up():
+    """The bounded state scores like the whole text."""
+    rng = random.Random(1)
+    parts = ["", " ", "a", "xxxx", "Ab1!", "  q", "q  ", "*" * 70, "x" * 80, "<" + "v" * 90, "w" * 40 + ">", "your-", "é" * 7, "changeme", "\n", "9" * 30]
+    for _ in range(3000):
+        chosen = [rng.choice(parts) for _ in range(rng.randrange(1, 6))]
+        value, whole = secrets.Value(), "".join(chosen)
+        for c in chosen:
+            value = value.joined(secrets.Value(c))
+        direct = secrets.Value(whole)
+        assert (value.inner, value.length, +value.counts) == (" " in whole.strip(), len(whole), Counter(whole)), chosen
+        assert value.score() == direct.score(), chosen
+        if len(whole) <= 64:
+            assert value.placeholder() == bool(secrets.PLACEHOLDER.match(whole))
+
+
 # 2 ---------------------------------------------------------------------------
 
 def shingles(text):
@@ -331,6 +363,20 @@ def test_quality_adapts(make):
     assert sum(kept[i] for i in range(300)) >= 297 and sum(kept[1000 + i] for i in range(300)) >= 297
 
 
+def test_quality_verdict_does_not_jump(spark):
+    """One rule at every size: a row more moves a group's fences a little."""
+    rows = [("en", "a", "symbols_per_word", b, n) for b, n in ((-50, 100), (10, 99))]
+    rows += [("en", "b", "symbols_per_word", b, n) for b, n in ((-150, 600), (100, 400))]
+    schema = "lang string, source string, feature string, bin int, n long"
+
+    def fence(extra):
+        sketch = spark.createDataFrame([*rows, ("en", "a", "symbols_per_word", -50, extra)] if extra else rows, schema)
+        return {r["source"]: r["hi_symbols_per_word"] for r in quality.thresholds(sketch).collect()}["a"]
+
+    steps = [fence(n) for n in range(4)]           # 199, 200, 201, 202 documents
+    assert max(abs(x - y) for x, y in zip(steps, steps[1:])) < 0.02 * abs(steps[0])
+
+
 def test_quality_sketch_quartiles(make, docs):
     counts = quality.base_counts(docs)
     q = {r["feature"]: r for r in quality.quartiles(quality.sketches(counts), []).collect()}

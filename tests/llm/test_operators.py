@@ -3,11 +3,13 @@ the pipeline against a plain version."""
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from riskframe.llm import decontaminate, jaccard, licenses, lines, mixing, queries, rangecoder, tokens, toxicity
@@ -121,14 +123,16 @@ def test_toxicity_catches_obfuscation():
 
 # 6 -----------------------------------------------------------------------------
 
-def line_set(line):
-    ws = [w for w in line.replace("\t", " ").replace("\r", " ").replace("\x0b", " ").replace("\x0c", " ").split(" ") if w]
-    return frozenset((ws[i] + (" " + ws[i + 1] if i + 1 < len(ws) else ""))[:lines.WIDTH] for i in range(len(ws)))
+def char_set(line):
+    """Plain character shingles of the whole line."""
+    s = " ".join(re.split(r"[\x20\x09-\x0D]+", line.strip(" \t\n\v\f\r")))
+    return frozenset(s[i:i + lines.WIDTH] for i in range(max(1, len(s) - lines.WIDTH + 1)))
 
 
 def brute_lines(rows):
-    items = [(r["doc_id"], k, line) for r in rows for k, line in enumerate((r["text"] or "").split("\n")) if line_set(line)]
-    return items, brute_components([line_set(x[2]) for x in items])
+    items = [(r["doc_id"], k, line) for r in rows for k, line in enumerate((r["text"] or "").split("\n"))
+             if re.search(r"[^\x20\x09-\x0D]", line)]
+    return items, brute_components([char_set(x[2]) for x in items])
 
 
 def test_line_recall(spark):
@@ -147,12 +151,6 @@ def test_line_recall(spark):
     assert sum(len(x) - 1 for x in wanted.values()) <= 0.01 * len(wanted)
 
 
-def char_set(line):
-    """Plain character shingles of the whole line."""
-    s = " ".join(line.split())
-    return frozenset(s[i:i + lines.WIDTH] for i in range(max(1, len(s) - lines.WIDTH + 1)))
-
-
 def check_lines(make, texts):
     """Classes of the lines (one document each) against all pairs."""
     roots = brute_components([char_set(x) for x in texts])
@@ -253,7 +251,6 @@ def whole_ids(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries.tokenizer_path())
-    t.encode_special_tokens = True
     return [e.ids + [0] for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -365,6 +362,29 @@ def test_pipeline_runs_on_empty_and_clashing(spark, make):
             out.count()
 
 
+CLASHING = ("_words", "_hash", "_found_id", "_found", "_id", "_dropped", "_text_hash", "_rows", "_all", "_row", "_copy", "_n",
+            "_n_lines", "_n_dropped", "_hits", "node", "rows")
+
+
+def test_columns_may_have_any_name(spark, make):
+    """Columns named like the operators' own helpers pass through."""
+    df = make([(1, "one two three four five six"), (2, "one two three four five six"), (2, "one two three four five six"), (3, None),
+               (4, "a line here to keep\na line here to keep")])
+    for name in CLASHING:
+        df = df.withColumn(name, F.lit(name))
+    bench = spark.createDataFrame([(1, "a line here to keep")], "item_id long, text string")
+    model = toxicity.fit(df, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    out = [decontaminate.clean(df, bench), decontaminate.clean(df, bench, remove="spans"), mixing.expand(df), jaccard.keep_first(df),
+           toxicity.drop_toxic(df, model)]
+    for got in out:
+        assert got.columns == df.columns
+        assert all(r[name] == name for r in got.collect() for name in CLASHING)
+    cut = lines.clean(df)
+    assert cut.columns == [*df.columns, "_n_lines_", "_n_dropped_"]
+    assert {r["doc_id"]: r["_n_dropped_"] for r in cut.collect()}[4] == 1
+    assert sorted(r["doc_id"] for r in out[3].collect()) == [1, 3, 4]
+
+
 def test_oracle_names():
     assert set(queries.ORACLES) <= set(queries.QUERIES)
     assert [n for n in queries.QUERIES if n.startswith("op")] == sorted(

@@ -1,7 +1,8 @@
-"""spark-submit entry points (ML8, ML6, RA4, US8) - thin argument parsing
+"""spark-submit entry points (ML8, ML6, RA4) - thin argument parsing
 around the jobs in ``riskframe.plans.presets``.
 
     spark-submit -m riskframe.cli train --mode advanced --raw clinical.csv --out models/advanced
+    spark-submit -m riskframe.cli infer --mode advanced --raw new.csv --model models/advanced --out p.parquet
     spark-submit -m riskframe.cli infer --mode basic --features f.parquet --model models/basic --out p.parquet
     spark-submit -m riskframe.cli index --corpus kb/ --out index.parquet
 """
@@ -25,7 +26,9 @@ def main(argv: list[str] | None = None) -> int:
     t.add_argument("--env", default="local", choices=["local", "prod"])
     i = sub.add_parser("infer")
     i.add_argument("--mode", required=True, choices=["basic", "advanced"])
-    i.add_argument("--features", required=True)
+    given = i.add_mutually_exclusive_group(required=True)
+    given.add_argument("--features", help="stored feature table")
+    given.add_argument("--raw", help="raw table (csv with header, or parquet)")
     i.add_argument("--model", required=True)
     i.add_argument("--out", required=True)
     x = sub.add_parser("index")
@@ -38,9 +41,12 @@ def main(argv: list[str] | None = None) -> int:
 
     spark = SparkSession.builder.appName(f"riskframe-{args.cmd}").getOrCreate()
     if args.cmd == "train":
-        raw = IO.read_csv(spark, args.raw) if args.raw.endswith(".csv") else spark.read.parquet(args.raw)
+        raw, _ = IO.read_raw(spark, args.raw, args.mode, P.preset(args.mode).key)
         metrics = P.train_job(spark, args.mode, raw, args.out, args.env).first().asDict()
         print(json.dumps(metrics))
+    elif args.cmd == "infer" and args.raw:
+        raw, _ = IO.read_raw(spark, args.raw, args.mode, P.preset(args.mode).key)
+        P.raw_inference_job(spark, args.mode, raw, args.model, args.out)
     elif args.cmd == "infer":
         P.inference_job(spark, args.mode, args.features, args.model, args.out)
     else:

@@ -190,9 +190,10 @@ def prepare_basic(raw: DataFrame, key: str = "row_id"):
     return out, stats, features
 
 
-def fit_basic(raw: DataFrame, key: str = "row_id"):
+def fit_basic(raw: DataFrame, key: str = "row_id", complete: bool = False):
     """``prepare_basic`` with the fitted fills: ``(features_df, scaler_stats,
-    fill, feature_list)``; ``apply_basic`` needs the middle two."""
+    fill, feature_list)``; ``apply_basic`` needs the middle two. ``complete``
+    fits fills for columns without nulls too."""
     from . import impute as MV
     from .prep import assert_no_nulls
 
@@ -206,7 +207,7 @@ def fit_basic(raw: DataFrame, key: str = "row_id"):
         aggs += [F.avg(x).alias(f"m::{c}"), F.stddev_pop(x).alias(f"s::{c}")]
     row = raw.agg(*aggs).first().asDict()
     counts = {c: row[f"n::{c}"] for c in [K.BASIC_TARGET_RAW] + value_cols}
-    need = [c for c in value_cols if counts[c] > 0]
+    need = [c for c in value_cols if complete or counts[c] > 0]
     fill = MV.fit_policy(raw, MV.type_policy(raw, need), nulls=counts)["fill"] if need else {}
     assert_no_nulls(counts, fill)
     stats = {}
@@ -298,9 +299,10 @@ def _mapped_advanced(raw: DataFrame, key: str) -> DataFrame:
     return bool_text_map(df, K.ADVANCED_BOOLEAN_COLS)
 
 
-def fit_advanced(raw: DataFrame, key: str = "id"):
+def fit_advanced(raw: DataFrame, key: str = "id", complete: bool = False):
     """``prepare_advanced`` with the fitted fills: ``(features_df,
-    scaler_stats, vocab, fill, feature_list)``."""
+    scaler_stats, vocab, fill, feature_list)``. ``complete`` fits fills for
+    columns without nulls too."""
     from . import impute as MV
     from .prep import assert_no_nulls
 
@@ -314,7 +316,7 @@ def fit_advanced(raw: DataFrame, key: str = "id"):
         aggs += [F.count(x).alias(f"c::{c}"), F.avg(x).alias(f"m::{c}"), F.var_pop(x).alias(f"v::{c}")]
     row = df.agg(*aggs).first().asDict()
     nulls = {c: row[f"n::{c}"] for c in checks}
-    need = {c: how for c, how in policy.items() if nulls.get(c, 0) > 0}
+    need = {c: how for c, how in policy.items() if complete or nulls.get(c, 0) > 0}
     fill = MV.fit_policy(df, need, nulls=nulls)["fill"]
     assert_no_nulls(nulls, fill)
     stats = {}

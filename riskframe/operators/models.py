@@ -134,10 +134,14 @@ def assemble(df: DataFrame, features: Sequence[str], output: str = "features") -
 
 
 def score(model, df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """ML5: batch score with a fitted Spark ML model; returns ``keep`` +
+    """ML5: batch score with a fitted Spark ML model or a ``LinearScorer``; returns ``keep`` +
     feature columns + ``prediction`` (argmax) + ``probability`` (class 1)."""
     from pyspark.ml.functions import vector_to_array
 
+    if isinstance(model, LinearScorer):
+        scored, p = df, model.probability()
+        return scored.select(*[col(c) for c in list(keep) + list(features)],
+                             argmax_decision(p).alias("prediction"), p.alias("probability"))
     scored = model.transform(assemble(df, features, model.getFeaturesCol()))
     p = vector_to_array(F.col(model.getProbabilityCol()))[1]
     return scored.select(*[col(c) for c in list(keep) + list(features)],

@@ -21,6 +21,7 @@ from ..operators import prep as PR
 from ..operators import retrieval as RT
 from ..operators import training as TR
 from ..sources import io as IO
+from . import stagestore as SS
 
 
 @dataclass(frozen=True)
@@ -56,25 +57,24 @@ def preset(name: str) -> Preset:
 
 
 def train_job(spark: SparkSession, mode: str, raw: DataFrame, out_dir: str, env: str = "local") -> DataFrame:
-    """ML8: clean -> features -> split -> fit -> evaluate; writes the model,
-    scaler, vocabulary and feature list; returns the metrics row."""
+    """ML8: clean -> features -> split -> fit -> evaluate; writes the stage
+    store (features, artefacts, manifest) and the model into ``out_dir``;
+    returns the metrics row. The model is fitted on the stored features."""
     p = preset(mode)
-    if mode == "basic":
-        feats_df, stats, feats = EN.prepare_basic(raw, key=p.key)
-        artefacts = {"scaler": stats}
-    else:
-        feats_df, stats, vocab, feats = EN.prepare_advanced(raw, key=p.key)
-        artefacts = {"scaler": stats, "vocabulary": vocab}
+    feats = SS.fit_stage(spark, mode, raw, out_dir)
     params = p.forest_local if env == "local" else p.forest_prod
-    model, metrics = TR.train_and_evaluate(feats_df, feats, "random_forest", params, key=p.key)
-    IO.save_model(model, os.path.join(out_dir, "model"))
-    IO.save_scaler(spark, artefacts["scaler"], os.path.join(out_dir, "scaler"))
-    if "vocabulary" in artefacts:
-        IO.save_vocabulary(spark, artefacts["vocabulary"], os.path.join(out_dir, "vocabulary"))
-    IO.write_feature_spec(spark, feats, os.path.join(out_dir, "feature_columns"))
+    model, metrics = TR.train_and_evaluate(IO.read_stage(spark, os.path.join(out_dir, "features")), feats, "random_forest",
+                                           params, key=p.key)
+    SS.save_model(spark, model, out_dir)
     return metrics
 
 
+def raw_inference_job(spark: SparkSession, mode: str, raw: DataFrame, model_dir: str, out_path: str) -> None:
+    """ML6 from a raw table: stored artefacts and model -> predictions."""
+    preset(mode)
+    IO.write_stage(SS.infer(spark, mode, raw, model_dir), out_path)
+
+
 def inference_job(spark: SparkSession, mode: str, features_path: str, model_dir: str, out_path: str) -> None:
     """ML6: stored model -> score a feature stage (target dropped) -> write
     predictions (key, features, prediction, probability)."""

@@ -15,8 +15,12 @@ from ..operators import prep as PR
 from ..operators import retrieval as RT
 from ..operators import split as SP
 from ..operators import training as TR
-from ..operators.models import SURVEY_TEST_SCORER
+from ..operators.models import ADVANCED_SERVE_SCORER, SURVEY_TEST_SCORER
+from ..session import shared_folder
 from ..sources.fixtures import oracle_views, view
+from . import stagestore as SS
+from .q_explain import logit_sql
+from .q_features import CC
 from .registry import register, rounded
 
 
@@ -130,13 +134,44 @@ def variant_experiment(spark, sf):
     return rounded(a.unionByName(b))
 
 
-@register("batch_inference")
+def _advanced_row_sql() -> dict[str, str]:
+    """Model-space columns of a clean clinical row, unrounded."""
+    out = {}
+    for c in K.ADVANCED_FEATURES:
+        base = next((k for k in K.ADVANCED_CATEGORICAL_COLS if c.startswith(k + "_")), None)
+        if c in K.ADVANCED_NUMERIC_COLS:
+            out[c] = f"(({c} - m_{c}) / s_{c})"
+        else:
+            out[c] = f"(CASE WHEN {base} = '{c[len(base) + 1:]}' THEN 1 ELSE 0 END)" if base else c
+    return out
+
+
+_STATS_SQL = ", ".join(f"avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END AS s_{c}"
+                       for c in K.ADVANCED_NUMERIC_COLS)
+
+
+@register("batch_inference", CC + f""", st AS (SELECT {_STATS_SQL} FROM cc),
+p AS (SELECT id, 1.0e0 / (1.0e0 + exp(-({logit_sql(ADVANCED_SERVE_SCORER, _advanced_row_sql())}))) AS probability FROM cc, st)
+SELECT id, CASE WHEN probability > 0.5 THEN 1 ELSE 0 END AS prediction, round(probability, 6) AS probability FROM p""")
 def batch_inference(spark, sf):
-    """ML6: fitted forest -> score every feature row (target dropped)."""
-    df, feats = _advanced_features(spark, sf)
-    model = TR.fit(df, feats, "random_forest", K.FOREST_ADVANCED_LOCAL)
-    rows = PR.drop_columns(df, [K.TARGET])
-    return rounded(TR.predict(model, rows, feats, keep=["id"]).select("id", "prediction", "probability"))
+    """ML6 + IO14: the stage store is fitted and written, then the raw table
+    without its target is scored with what is stored (linear scorer)."""
+    root = shared_folder(spark, "batch-inference")
+    raw = view(spark, sf, "clinical_raw")
+    SS.fit_stage(spark, "advanced", raw, root)
+    SS.save_model(spark, ADVANCED_SERVE_SCORER, root)
+    scored = SS.infer(spark, "advanced", raw.drop(K.ADVANCED_TARGET_RAW), root, "linear")
+    return rounded(scored.select("id", "prediction", "probability"))
+
+
+@register("batch_inference_forest")
+def batch_inference_forest(spark, sf):
+    """ML6 with a forest that is trained, stored and loaded again."""
+    from . import presets as P
+    root = shared_folder(spark, "batch-inference")
+    raw = view(spark, sf, "clinical_raw")
+    P.train_job(spark, "advanced", raw, root)
+    return rounded(SS.infer(spark, "advanced", raw.drop(K.ADVANCED_TARGET_RAW), root).select("id", "prediction", "probability"))
 
 
 @register("embed_index")

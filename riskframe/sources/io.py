@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (ArrayType, BooleanType, DoubleType, LongType, StringType, StructField,
                                StructType)
 
+from .. import constants as K
 
 log = logging.getLogger(__name__)
 
@@ -29,6 +30,67 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | None = None) -
     return r.schema(schema).csv(path) if schema is not None else r.option("inferSchema", True).csv(path)
 
 
+CORRUPT = "_corrupt_record"
+
+
+def raw_schema(names: Sequence[str], types: Mapping[str, str]) -> StructType:
+    """Schema of a CSV with these columns; unlisted ones are text."""
+    from pyspark.sql.types import _parse_datatype_string
+
+    return StructType([StructField(n, _parse_datatype_string(types.get(n, "string"))) for n in names])
+
+
+def read_raw_csv(spark: SparkSession, path: str, types: Mapping[str, str]) -> tuple[DataFrame, DataFrame]:
+    """IO1 with declared types: (rows, quarantined lines). The header gives the
+    order of the columns (one line is read for it, no inference pass); a line
+    with a value that is not of its column's type, or with too many fields, goes to the
+    quarantine as text."""
+    names = spark.read.option("header", True).csv(path).columns
+    schema = raw_schema(names, types)
+    rows = spark.read.option("header", True).option("columnNameOfCorruptRecord", CORRUPT).option("mode", "PERMISSIVE").schema(
+        StructType([*schema.fields, StructField(CORRUPT, StringType())])).csv(path)
+    return rows.filter(F.col(CORRUPT).isNull()).drop(CORRUPT), rows.filter(F.col(CORRUPT).isNotNull())
+
+
+KEY_CHUNK = 10_000      # equal rows that one task numbers
+
+
+def with_content_key(df: DataFrame, key: str = "row_id") -> DataFrame:
+    """A key for a table that has none: a 128-bit hash of the row's values and
+    the number of its occurrence among equal rows. The same table gives the
+    same keys whatever its files and partitions.
+
+    Equal rows are counted (map-side) and dealt out again from their count, in
+    chunks that are spread over tasks: no window, and a row that fills a
+    third of the table is no hot key."""
+    cols = [F.col(f"`{c}`") for c in df.columns]
+    counted = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
+    text = F.to_json(F.struct(*[F.coalesce(c.cast("string"), F.lit("\u0000")).alias(f"c{i}") for i, c in enumerate(cols)]))
+    chunks = counted.withColumn("_h", F.md5(text)).withColumn(
+        "_k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / F.lit(KEY_CHUNK)))))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = F.col("_k") * F.lit(KEY_CHUNK)
+    dealt = chunks.repartition(parts, "_h", "_k").withColumn(
+        "_i", F.explode(F.sequence(first, F.least(first + F.lit(KEY_CHUNK), F.col("_n")) - 1)))
+    return dealt.select(F.concat_ws("-", "_h", F.col("_i").cast("string")).alias(key), *cols)
+
+
+# declared types of the raw tables (the rest is text)
+SURVEY_TYPES = {c: "double" for c in [K.BASIC_TARGET_RAW, *K.BASIC_FEATURES]} | {"row_id": "bigint"}
+CLINICAL_TYPES = {"id": "bigint", "age": "int", "trestbps": "double", "chol": "double", "thalch": "double",
+                  "oldpeak": "double", "ca": "double", K.ADVANCED_TARGET_RAW: "int"}
+
+
+def read_raw(spark: SparkSession, path: str, mode: str, key: str) -> tuple[DataFrame, DataFrame | None]:
+    """A raw survey or clinical table (CSV with header, or Parquet) and its
+    quarantined lines; a table without a key column gets a content key."""
+    if path.rstrip("/").endswith(".csv"):
+        rows, bad = read_raw_csv(spark, path, SURVEY_TYPES if mode == "basic" else CLINICAL_TYPES)
+    else:
+        rows, bad = spark.read.parquet(path), None
+    return (rows if key in rows.columns else with_content_key(rows, key)), bad
+
+
 def write_stage(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """IO3/IO4: overwrite a stage (Parquet by default, CSV with header)."""
     w = df.write.mode("overwrite")
@@ -63,6 +125,11 @@ def write_metrics(spark: SparkSession, metrics: Mapping[str, object], path: str)
         .coalesce(1).write.mode("overwrite").text(path)
 
 
+def read_record(spark: SparkSession, path: str) -> dict:
+    """A record written by ``write_metrics``."""
+    return json.loads(spark.read.text(path).first()["value"])
+
+
 def write_table_csv(df: DataFrame, path: str) -> None:
     """IO7: a small result table as header CSV."""
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)

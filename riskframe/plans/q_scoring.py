@@ -9,6 +9,8 @@ from ..functions.exprs import argmax_decision, py_round, risk_level, serve_decis
 from ..operators import metrics as ME
 from ..operators import prep as PR
 from ..operators.models import SURVEY_TEST_SCORER
+from ..session import shared_folder
+from ..sources import io as IO
 from ..sources.fixtures import oracle_views, view
 from .registry import register, rounded
 
@@ -115,3 +117,21 @@ SELECT target, count(*)::BIGINT AS n, round(count(*) / sum(count(*)) OVER (), 6)
 FROM scored_survey GROUP BY target ORDER BY n DESC""")
 def class_distribution(spark, sf):
     return rounded(ME.class_distribution(scored_survey(spark, sf)))
+
+
+@register("log_round_trip", WSS + """
+SELECT 'basic' AS mode, prediction, risk_level, count(*)::BIGINT AS n, round(avg(probability), 6) AS avg_probability FROM (
+ SELECT probability, CASE WHEN probability >= 0.5 THEN 1 ELSE 0 END AS prediction,
+ CASE WHEN probability < 0.3 THEN 'Low' WHEN probability < 0.6 THEN 'Medium' ELSE 'High' END AS risk_level FROM scored_survey)
+GROUP BY ALL""")
+def log_round_trip(spark, sf):
+    """IO9 + IO10: responses are appended to a prediction log as one batch,
+    appended again (a replay replaces its own rows) and counted from the log."""
+    s = scored_survey(spark, sf)
+    responses = s.select(serve_decision("probability").alias("prediction"), "probability", risk_level("probability").alias("risk_level"))
+    path = shared_folder(spark, "prediction-log")
+    for _ in range(2):
+        if not IO.append_prediction_log(responses, path, "basic", "batch-1"):
+            raise RuntimeError("the prediction log could not be written")
+    return rounded(IO.read_prediction_log(spark, path).groupBy("mode", "prediction", "risk_level").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("probability").alias("avg_probability")))

@@ -204,14 +204,23 @@ def append_prediction_log(responses: DataFrame, path: str, mode: str | None = No
 
     Every write carries a batch key and uses dynamic partition overwrite, so
     re-running the same batch (a task, job or stream micro-batch replayed
-    after a failure) replaces its own rows instead of duplicating them. A
-    failure is logged and reported, never raised: logging must not fail
-    scoring."""
+    after a failure) replaces its own rows instead of duplicating them. A batch
+    keeps the time and day of its first write, so a replay after midnight meets
+    the same partition. A failure is logged and reported, never raised: logging
+    must not fail scoring."""
     import uuid
     try:
         df = responses if mode is None else responses.withColumn("mode", F.lit(mode))
-        ts = F.current_timestamp()
+        spark, ts = responses.sparkSession, F.current_timestamp()
+        if batch_key is not None:
+            # only the batch's own folders are read (partition pruning)
+            earlier = read_prediction_log(spark, path).filter(F.col("batch") == batch_key).agg(
+                F.min("ts").alias("ts"), F.min(F.col("day").cast("string")).alias("day")).first()
+            if earlier["ts"] is not None:
+                ts = F.lit(earlier["ts"])
         day = F.date_from_unix_date(F.floor(F.unix_seconds(ts) / F.lit(86400)).cast("int")).cast("string")
+        if batch_key is not None and earlier["day"] is not None:
+            day = F.lit(earlier["day"])
         (df.select(*LOG_COLUMNS, ts.alias("ts"), day.alias("day"),
                    F.lit(batch_key or uuid.uuid4().hex).alias("batch"))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

@@ -96,3 +96,16 @@ def test_content_keys_are_stable(spark, monkeypatch):
     hot = sorted(int(r["k"].split("-")[1]) for r in one if r["x"] == 1.0 and r["t"] == "a")
     assert hot == list(range(40))
     assert IO.with_content_key(df.limit(0), "k").count() == 0
+
+
+def test_log_replay_keeps_its_day(spark, tmp_dir):
+    """A batch of yesterday that is written again today is read once, on its day."""
+    path = os.path.join(tmp_dir, "log")
+    rows = spark.createDataFrame([(1, 0.7, "High"), (0, 0.1, "Low")], "prediction int, probability double, risk_level string")
+    old = rows.withColumn("mode", F.lit("basic")).withColumn("ts", F.lit("2024-01-01 23:59:00").cast("timestamp")).withColumn(
+        "day", F.lit("2024-01-01")).withColumn("batch", F.lit("b7"))
+    old.write.partitionBy("day", "batch").parquet(path)
+    assert IO.append_prediction_log(rows, path, "basic", "b7") and IO.append_prediction_log(rows, path, "basic", "b8")
+    got = sorted((r["batch"], str(r["day"]), r["risk_level"]) for r in IO.read_prediction_log(spark, path).collect())
+    assert [g[0] for g in got] == ["b7", "b7", "b8", "b8"] and {g[1] for g in got if g[0] == "b7"} == {"2024-01-01"}
+    assert {g[1] for g in got if g[0] == "b8"} != {"2024-01-01"}

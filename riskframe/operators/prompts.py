@@ -1,14 +1,16 @@
-"""Prompt datasets (RA9-RA13): patient summaries, context blocks, system
+"""Prompt datasets (RA9-RA13): request summaries, context blocks, system
 prompts, history trimming and message lists - all column expressions over
 tables (requests, scores, retrieval hits, conversation turns).
 
-The prompt wording is a parameter; the default text below is ours.
+Nothing here knows a request's fields or a language: summaries render any
+validation schema, and every text around the data is part of a ``Wording``.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -16,80 +18,51 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.exprs import col, literal_map, py_fixed
+from ..functions.rules import Field
 from ..functions.sizing import broadcast_if_small
 
-# ---------------------------------------------------------------- our text
-CONTEXT_HEADER = "\n=== REFERENCE NOTES (related to the current question) ==="
-CONTEXT_SOURCE = "Source: "
-MODE_TEXT = [("basic", "Quick screening - self assessment"), ("advanced", "Advanced - with test results")]
-PREDICTION_TEXT = [(1, "AT RISK of heart disease"), (0, "NOT at risk of heart disease")]
-SYSTEM_TEMPLATE = """Screening companion, {mode_label}.
-
-Answers given by the user:
-{patient_summary}
-
-Score: {prediction_label}, {probability} ({risk_level_label}).
-{context_block}
-How to answer: say in plain words which answers raised or lowered the score, then suggest one
-small next step. A score is an estimate from a model and no finding; leave findings, drugs and
-doses to a clinician. Name urgent care first if the user describes symptoms that cannot wait.
-Use the notes above where they fit the question, and say so when they do not.
-"""
-
-YES, NO = "yes", "no"
-
-
-def _yn(c) -> Column:
-    return F.when(col(c), F.lit(YES)).otherwise(F.lit(NO))
 
+@dataclass(frozen=True)
+class Wording:
+    """Texts around the data. ``values`` replaces values of a field by their
+    text form, ``captions`` names fields (a field without one keeps its column
+    name); ``modes``, ``decisions`` and ``risks`` label the values of a score."""
 
-def _s(c) -> Column:
-    return F.coalesce(col(c).cast("string"), F.lit("None"))
+    system: str = ("Mode {mode}. Score {decision}, probability {probability}, level {risk}.\n"
+                   "Request:\n{summary}\n{context}\n"
+                   "Explain the score from the request, in plain words. It is an estimate and no finding.\n")
+    line: str = "{caption}: {value}"
+    captions: Mapping[str, str] = field(default_factory=dict)
+    values: Mapping[str, str] = field(default_factory=lambda: {"true": "yes", "false": "no"})
+    absent: str = "not given"
+    context_title: str = "Notes:"
+    context_entry: str = "({heading}) {text}"
+    modes: Mapping[str, str] = field(default_factory=dict)
+    decisions: Mapping[int, str] = field(default_factory=dict)
+    risks: Mapping[str, str] = field(default_factory=dict)
 
 
-def _sex(c="sex") -> Column:
-    return F.when(col(c) == "Male", F.lit("male")).otherwise(F.lit("female"))
+PLAIN = Wording()
 
 
-def summary_basic() -> Column:
-    """RA10 (basic): 11 lines over a basic request row."""
-    lines = [
-        F.concat(F.lit("age band = "), _s("age_group"), F.lit("; sex = "), _sex()),
-        F.concat(F.lit("body = "), _s("height_cm"), F.lit("cm / "), _s("weight_kg"), F.lit("kg")),
-        F.concat(F.lit("blood pressure raised = "), _yn("high_bp")),
-        F.concat(F.lit("cholesterol raised = "), _yn("high_chol")),
-        F.concat(F.lit("diabetes = "), F.coalesce(col("diabetes"), F.lit(K.DIABETES_CODES[0][0]))),
-        F.concat(F.lit("stroke = "), _yn("stroke")),
-        F.concat(F.lit("smoking = "), _yn("smoker")),
-        F.concat(F.lit("active = "), _yn("phys_activity")),
-        F.concat(F.lit("fruit/greens = "), _yn("fruits"), F.lit("/"), _yn("veggies")),
-        F.concat(F.lit("own view of health = "), _s("gen_health")),
-        F.concat(F.lit("trouble with stairs = "), _yn("diff_walk")),
-    ]
-    return F.concat_ws("\n", *lines)
+def _label(labels: Mapping, value: Column) -> Column:
+    """The label of a value, else the value itself as text."""
+    text = value.cast("string")
+    return F.coalesce(literal_map(list(labels.items()))[value], text) if labels else text
 
 
-def summary_advanced() -> Column:
-    """RA10 (advanced): 7 lines over an advanced request row."""
-    lines = [
-        F.concat(F.lit("age = "), _s("age"), F.lit("; sex = "), _sex()),
-        F.concat(F.lit("chest pain = "), _s("cp")),
-        F.concat(F.lit("cholesterol = "), _s("chol"), F.lit(" mg/dl")),
-        F.concat(F.lit("sugar over limit = "), _yn("fbs")),
-        F.concat(F.lit("peak pulse = "), _s("thalch")),
-        F.concat(F.lit("angina on effort = "), _yn("exang")),
-        F.concat(F.lit("oldpeak = "), _s("oldpeak")),
-    ]
-    return F.concat_ws("\n", *lines)
+def summary(schema: Sequence[Field], wording: Wording = PLAIN) -> Column:
+    """RA10: one line per field of a request schema, in the schema's order."""
+    return F.concat_ws("\n", *[render(wording.line, {
+        "caption": F.lit(wording.captions.get(f.name, f.name)),
+        "value": F.coalesce(_label(wording.values, col(f.name).cast("string")), F.lit(wording.absent))}) for f in schema])
 
 
-def context_block(hits: Column) -> Column:
-    """RA9: '' without hits, else the header and one entry per hit in rank
-    order: ``[Source: heading]`` + newline + text + newline."""
-    entries = F.transform(hits, lambda h: F.concat(
-        F.lit("["), F.lit(CONTEXT_SOURCE), h["heading"], F.lit("]\n"), h["text"], F.lit("\n")))
+def context_block(hits: Column, wording: Wording = PLAIN) -> Column:
+    """RA9: '' without hits, else the title and one entry per hit in rank order, by lines."""
+    entries = F.transform(hits, lambda h: render(wording.context_entry, {"heading": h["heading"], "text": h["text"]}))
     return F.when(F.size(hits) == 0, F.lit("")).otherwise(
-        F.concat_ws("\n", F.concat(F.array(F.lit(CONTEXT_HEADER)), entries)))
+        F.concat_ws("\n", F.concat(F.array(F.lit(wording.context_title)), entries)))
 
 
 def render(template: str, values: Mapping[str, Column]) -> Column:
@@ -107,17 +80,13 @@ def render(template: str, values: Mapping[str, Column]) -> Column:
 
 
 def system_prompt(mode: Column, summary: Column, prediction: Column, probability: Column,
-                  risk: Column, context: Column, template: str = SYSTEM_TEMPLATE) -> Column:
-    """RA11: mode label, summary, decision label, probability as ``x.y%``
-    (Python ``.1%``), risk label, context block."""
-    pct = F.concat(py_fixed(probability * F.lit(100.0), 1), F.lit("%"))
-    risk_label = F.coalesce(literal_map(K.RISK_LABELS)[risk], risk)
-    return render(template, {
-        "mode_label": F.coalesce(literal_map(MODE_TEXT)[mode], mode),
-        "patient_summary": summary,
-        "prediction_label": literal_map(PREDICTION_TEXT)[prediction],
-        "probability": pct, "risk_level_label": risk_label, "context_block": context,
-    })
+                  risk: Column, context: Column, wording: Wording = PLAIN) -> Column:
+    """RA11: the system template filled with labels, the request's summary, the
+    probability as ``x.y%`` (Python ``.1%``) and the context block."""
+    return render(wording.system, {
+        "mode": _label(wording.modes, mode), "summary": summary, "decision": _label(wording.decisions, prediction),
+        "probability": F.concat(py_fixed(probability * F.lit(100.0), 1), F.lit("%")),
+        "risk": _label(wording.risks, risk), "context": context})
 
 
 # ---------------------------------------------------------------- history

@@ -154,6 +154,22 @@ def validate_chat(spark, sf):
                     F.concat_ws("|", R.ERRORS).alias("errors"))
 
 
+CHAT_REQUESTS = """SELECT conv_id, CASE conv_id % 4 WHEN 0 THEN 'basic' WHEN 1 THEN 'advanced' WHEN 2 THEN 'expert' END AS mode,
+ CASE WHEN conv_id % 5 = 0 THEN '' ELSE max_by(text, turn) END AS message FROM {table} WHERE role = 'user' GROUP BY conv_id"""
+
+
+@register("validate_chat_requests", f"""WITH req AS ({CHAT_REQUESTS.format(table='conversations')})
+SELECT conv_id, concat_ws('|', CASE WHEN mode IS NULL THEN 'mode:missing' END,
+  CASE WHEN mode NOT IN ('basic', 'advanced') THEN 'mode:enum' END, CASE WHEN message IS NULL THEN 'message:missing' END,
+  CASE WHEN length(message) < 1 THEN 'message:min_length' END) AS errors FROM req""")
+def validate_chat_requests(spark, sf):
+    """PR21: chat requests (each conversation's last user turn under a made-up
+    mode) against the request rules."""
+    from ..sources.tables import read_table
+    requests = spark.sql(CHAT_REQUESTS, table=read_table(spark, sf, "conversations"))
+    return R.validate(requests, R.CHAT_SCHEMA).select("conv_id", F.concat_ws("|", R.ERRORS).alias("errors"))
+
+
 @register("encode_ordinals", WB + "SELECT row_id, " + ", ".join(
     f"{(_ORD[c] if c != 'Diabetes' else _code_case('coalesce(diabetes, ' + _lit(K.DIABETES_CODES[0][0]) + ')', K.DIABETES_CODES, K.DIABETES_ALIASES))} AS {c}"
     for c in ["Age", "Diabetes", "GenHlth", "Education", "Income"]) + " FROM requests_basic")

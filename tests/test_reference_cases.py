@@ -51,14 +51,19 @@ def test_patient_summaries_and_system_prompt(spark):
     from riskframe.operators import prompts as PM
 
     from .test_metrics_explain import _basic_example
-    basic = _basic_example(spark).select(PM.summary_basic().alias("s")).first().s
-    assert len(basic.split("\n")) == 11 and "170.0cm / 85.0kg" in basic
-    adv = spark.createDataFrame([ADVANCED_EXAMPLE], IO.ADVANCED_REQUEST_SCHEMA)
-    summary = adv.select(PM.summary_advanced().alias("s")).first().s
-    assert len(summary.split("\n")) == 7 and "245.0 mg/dl" in summary
-    prompt = adv.select(PM.system_prompt(F.lit("advanced"), PM.summary_advanced(), F.lit(1), F.lit(0.7733),
-                                         F.lit("High"), F.lit("")).alias("p")).first().p
-    assert "77.3%" in prompt and summary in prompt and "Cao" in prompt
+    basic = _basic_example(spark).select(PM.summary(R.BASIC_SCHEMA).alias("s")).first().s.split("\n")
+    assert [x.split(": ")[0] for x in basic] == [f.name for f in R.BASIC_SCHEMA]
+    assert "height_cm: 170.0" in basic and "high_bp: yes" in basic
+    words = PM.Wording(captions={"chol": "cholesterol"}, values={"true": "ja", "false": "nein"}, absent="-",
+                       modes={"advanced": "long form"}, decisions={1: "flagged"}, risks={"High": "red"})
+    adv = spark.createDataFrame([(*ADVANCED_EXAMPLE[:-1], None)], IO.ADVANCED_REQUEST_SCHEMA)
+    text = PM.summary(R.ADVANCED_SCHEMA, words)
+    summary = adv.select(text.alias("s")).first().s
+    assert len(summary.split("\n")) == len(R.ADVANCED_SCHEMA) and "cholesterol: 245.0" in summary and "thal: -" in summary
+    assert "fbs: ja" in summary or "fbs: nein" in summary
+    prompt = adv.select(PM.system_prompt(F.lit("advanced"), text, F.lit(1), F.lit(0.7733),
+                                         F.lit("High"), F.lit(""), words).alias("p")).first().p
+    assert all(x in prompt for x in ("77.3%", summary, "long form", "flagged", "level red"))
 
 
 def test_forest_serving_on_a_request_stream(spark, tmp_dir):

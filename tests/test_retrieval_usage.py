@@ -73,7 +73,13 @@ def test_context_and_history(spark):
                                  "query_id int, hits array<struct<rank:int,heading:string,text:string>>")
     ctx = {r.query_id: r.c for r in hits.select("query_id", PM.context_block(F.col("hits")).alias("c")).collect()}
     assert ctx[2] == ""
-    assert ctx[1] == PM.CONTEXT_HEADER + "\n[" + PM.CONTEXT_SOURCE + "H1]\nT1\n\n[" + PM.CONTEXT_SOURCE + "H2]\nT2\n"
+    assert ctx[1] == "Notes:\n(H1) T1\n(H2) T2"
+    own = PM.Wording(context_title="", context_entry="{text} <{heading}>")
+    assert hits.select(PM.context_block(F.col("hits"), own).alias("c")).first().c == "\nT1 <H1>\nT2 <H2>"
+    files = spark.createDataFrame([("a.md", "## x\none\n## y\ntwo"), ("b.md", ""), ("c.md", "# only a title")], "source string, kb_text string")
+    files = files.withColumn("doc_id", F.monotonically_increasing_id())
+    totals = {(r.source, r.is_total): r.n_chunks for r in RT.chunk_totals(RT.chunk_markdown(files), files).collect()}
+    assert totals == {("a.md", False): 2, ("b.md", False): 0, ("c.md", False): 0, (None, True): 2}
     conv = spark.createDataFrame([(1, t, "user" if t % 2 == 0 else "assistant", f"m{t}") for t in range(8)]
                                  + [(1, 0, "system", "s")], "conv_id long, turn long, role string, text string")
     new, hist = PM.split_turns(conv, 4)

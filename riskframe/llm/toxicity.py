@@ -1,35 +1,44 @@
 """Toxicity by a subsequence-kernel support vector machine with Nystrom landmarks.
 
 Units are words reduced to their letters (case, accents, common digit and
-sign substitutions undone, punctuation inside dropped) and runs of single
-letters joined ("i d i o t"). Two units are compared by the gapped
-subsequence kernel of order 3: every three letters in order count, decayed by
-the length they span, so that inserted, split or doubled letters lower the
-similarity only a little. Landmarks are units that speak for the toxic class
-in the labelled sentences and clean units close to them; a unit's vector
-holds its similarity to each landmark (values under ``NEAR`` count as 0). The
+sign substitutions undone, punctuation inside dropped), runs of single
+letters joined ("i d i o t"), and windows of two or three words. Letters other than
+a-z are hashed into codes of their own, so every script is compared. Two units are
+compared by the gapped subsequence kernel of order 3: every three letters in order
+count, decayed by the length they span, so that inserted, split or doubled letters
+lower the similarity only a little.
+
+Landmarks come from all units of all labelled texts. A unit's support in a class is the
+number of texts that hold it, at most the number of distinct neighbourhoods (word before, word
+after) it stands in, so that copies of one passage count once. A unit
+becomes a landmark if its support in toxic texts is beyond chance for the number
+of units looked at (a Chernoff bound; less than one unit is expected by chance) and ``PURITY`` times
+that in clean ones; words count together with the words much like them. No share of the texts is
+asked for. Clean units close to a landmark are landmarks too. A unit's vector holds its similarity to
+each landmark of as many words (values under ``NEAR`` count as 0). The
 Nystrom map makes the kernel linear, and a squared-hinge support vector machine is trained on the
 units of labelled sentences: of a toxic document the units near a toxic
 landmark are examples, of a clean one all are. A text's margin is the
 weighted sum of the best margins of its distinct units; a logistic fit on the
-labelled documents turns it into a score.
+labelled documents turns it into a score. A window is compared if each of its words
+is like some word of a landmark of several words.
 
 Training collects a bounded sample: at most ``PER_CLASS`` labelled documents
-of each class, of at most ``MAX_TRAIN_CHARS`` characters. Scoring is a per-row
-function inside ``mapInArrow`` over every whole text, with the similarities of each
-distinct word kept in a bounded cache.
+of each class, of at most ``MAX_TRAIN_CHARS`` characters, and keeps at most ``LANDMARKS`` landmarks of one
+word and as many of several. Scoring is a per-row
+function inside ``mapInArrow`` over every whole text, with the margins of
+distinct units kept in a bounded cache.
 
 Defined results: null and empty texts get the score of a text without any
 unit; repeated labels count once, contradicting labels of one id not at all;
 without labels of both classes every score is 0; an empty table gives no
-rows; only doc_id, text and toxic are read.
+rows; equal evidence ranks by the unit's letters; only doc_id, text and toxic are read.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from heapq import nlargest
 from itertools import chain
@@ -43,20 +52,21 @@ from .common import broadcast_checked, packed, stored, unpacked
 
 PER_CLASS = 1_200
 MAX_TRAIN_CHARS = 50_000
-LANDMARKS, NEIGHBOURS = 48, 8
+LANDMARKS, NEIGHBOURS = 64, 8
 ORDER, SPAN, DECAY = 3, 6, 0.7
 NEAR = 0.4                   # less similar units count as unlike
 CLOSE = 0.55                 # clean units from here on become landmarks
 ALIKE = 0.7                  # neighbourhood in which texts are counted
 LONGEST = 24                 # letters of a unit compared at once; longer ones by windows
-LETTERS = 28                 # a-z, any other letter, and the start of a unit
-START = bytes([27])
+OTHER = 17                   # codes that letters outside a-z share
+LETTERS = 26 + OTHER + 1     # a-z, the others, and the start of a unit
+START = bytes([LETTERS - 1])
 TOP_WEIGHTS = np.array([1.0, 0.1, 0.05])   # of a text's best margins
 TOP = len(TOP_WEIGHTS)
 PURITY = 6                   # times the clean texts' share that the toxic ones' must be
-LEAST_SHARE = 0.02           # of the toxic texts that a landmark must reach
+WINDOWS = (3, 2)             # words of a unit of several words; of longer ones first
 BATCH = 4_000                # units compared at once (bounds the memory)
-CANDIDATES = 300             # units looked at as landmarks
+CANDIDATES = 300             # words whose neighbourhoods are counted, those of most evidence
 CACHE = 500_000
 MAX_BROADCAST_REJECTED = 1_000_000   # ids and hashes of rejected rows: 16 MB
 SINGLES = re.compile(r"(?<!\S)(?:[^\W\d_]\W* +){2,}[^\W\d_](?=\W*(?:\s|$))")
@@ -73,10 +83,15 @@ def letters(word: str) -> bytes:
         if "a" <= c <= "z":
             out.append(ord(c) - 97)
         elif c.isalpha():
-            out.append(26)
+            out.append(26 + (ord(c) * 2654435761 >> 8) % OTHER)
     return bytes(out)
 
 
+def joined(words: list[bytes]) -> bytes:
+    """The unit of several words; each keeps its start."""
+    return b"".join(words)
+
+
 def _triples(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Index triples of a unit of n letters within the span, and their decay."""
     found = [(i, j, k) for i in range(n) for k in range(i + 2, min(n, i + SPAN)) for j in range(i + 1, k)]
@@ -111,15 +126,20 @@ def _parts(unit: bytes) -> list[bytes]:
 
 
 class Similarities:
-    """Kernel of units with fixed landmarks, by table look-up."""
+    """Kernel of units with fixed landmarks of as many words, by table look-up."""
 
     def __init__(self, landmarks: list[bytes]):
         self.m = len(landmarks)
-        self.table = np.zeros((LETTERS ** 3, self.m), np.float32)
-        for j, z in enumerate(landmarks):
-            for code, w in features(z).items():
-                self.table[code, j] = w
-        self.any = self.table.max(1) if self.m else np.zeros(LETTERS ** 3, np.float32)
+        self.words = np.array([z.count(START) for z in landmarks], int)
+        own = [features(z) for z in landmarks]
+        codes = sorted({c for f in own for c in f})
+        self.row = np.zeros(LETTERS ** 3, np.int32)       # row of a code in the table; 0: in no landmark
+        self.row[codes] = np.arange(1, len(codes) + 1)
+        self.table = np.zeros((len(codes) + 1, self.m), np.float32)
+        for j, f in enumerate(own):
+            for code, w in f.items():
+                self.table[self.row[code], j] = w
+        self.any = self.table.max(1) if self.m else np.zeros(1, np.float32)
 
     def __call__(self, units: list[bytes]) -> np.ndarray:
         """(units, landmarks), values under ``NEAR`` set to 0."""
@@ -137,13 +157,13 @@ class Similarities:
             where = np.array([r[0] for r in rows])
             codes = _codes(np.frombuffer(b"".join(r[1] for r in rows), np.uint8).astype(np.int64).reshape(-1, n), at)
             # the norm is least where no three letters repeat: an upper bound of all similarities
-            likely = np.flatnonzero(self.any[codes] @ decay >= NEAR * np.sqrt((decay * decay).sum()))
+            likely = np.flatnonzero(self.any[self.row[codes]] @ decay >= NEAR * np.sqrt((decay * decay).sum()))
             if not len(likely):
                 continue
             codes, where = codes[likely], where[likely]
             raw = np.zeros((len(codes), self.m), np.float32)
             for t in range(codes.shape[1]):
-                raw += self.table[codes[:, t]] * decay[t]
+                raw += self.table[self.row[codes[:, t]]] * decay[t]
             order = np.argsort(codes, axis=1, kind="stable")
             ordered, weight = np.take_along_axis(codes, order, 1), decay[order]
             first = np.ones(ordered.shape, bool)       # of equal letters within a unit
@@ -153,6 +173,7 @@ class Similarities:
             values = raw / norm[:, None]
             values[values < NEAR] = 0
             np.maximum.at(out, where, values)
+        out[np.array([u.count(START) for u in units])[:, None] != self.words] = 0
         return out
 
 
@@ -179,11 +200,13 @@ def sentences(text: str) -> list[list[str]]:
 
 
 class Model:
-    """Landmark units, the linear function of their similarities, and the
-    logistic function of a text's best margins."""
+    """Landmark units, the linear function of their similarities, the
+    logistic function of a text's best margins, and the words of landmarks of several words."""
 
-    def __init__(self, landmarks: list[bytes], weights: np.ndarray, bias: float, slope: float, offset: float):
+    def __init__(self, landmarks: list[bytes], weights: np.ndarray, bias: float, slope: float, offset: float,
+                 parts: list[bytes] = ()):
         self.landmarks, self.weights, self.bias, self.slope, self.offset = landmarks, weights, bias, slope, offset
+        self.parts = list(parts)
 
     def probability(self, margins: np.ndarray) -> np.ndarray:
         """Scores of rows of ``TOP`` margins."""
@@ -194,27 +217,63 @@ def no_model() -> Model:
     return Model([], np.zeros(0, np.float32), 0.0, 0.0, -40.0)
 
 
+class Parts:
+    """Which words are like a word of some landmark of several words."""
+
+    def __init__(self, parts: list[bytes]):
+        self.short = {p for p in parts if len(p) <= ORDER}
+        self.similar = Similarities([p for p in parts if len(p) > ORDER])
+        self.known: dict[str, bool] = {}
+
+    def learn(self, words: set[str]) -> None:
+        if len(self.known) > CACHE:
+            self.known = {}
+        new = list(words - self.known.keys())
+        for i in range(0, len(new), 20_000):
+            codes = [letters(w) for w in new[i:i + 20_000]]
+            near = self.similar(codes)
+            near = (near >= CLOSE).any(1) if self.similar.m else np.zeros(len(codes), bool)
+            self.known.update(zip(new[i:i + 20_000], [bool(x) or c in self.short for x, c in zip(near, codes)]))
+
+    def windows(self, words: list[str]) -> set[str]:
+        """Windows of words that are all like such words, joined by blanks."""
+        self.learn(set(words))
+        like = [self.known[w] for w in words]
+        return {" ".join(words[i:i + n]) for i, x in enumerate(like) if x for n in WINDOWS if all(like[i:i + n])} if True in like else set()
+
+
+def unit(text: str) -> bytes:
+    """The unit of a word or of words with blanks between."""
+    return joined([letters(w) for w in text.split(" ")])
+
+
 class Scorer:
-    """Scores texts with a model; keeps the margins of words."""
+    """Scores texts with a model; keeps the margins of units."""
 
     def __init__(self, model: Model):
         self.model = model
         self.similar = Similarities(model.landmarks)
+        self.parts = Parts(model.parts)
         self.margin_of: dict[str, float] = {}
 
-    def learn(self, words: set[str]) -> None:
-        words, bias = list(words), self.model.bias
-        for i in range(0, len(words), 20_000):
-            part = words[i:i + 20_000]
-            margins = self.similar([letters(w) for w in part]) @ self.model.weights + bias
+    def learn(self, units: set[str]) -> None:
+        units, bias = list(units), self.model.bias
+        for i in range(0, len(units), 20_000):
+            part = units[i:i + 20_000]
+            margins = self.similar([unit(w) for w in part]) @ self.model.weights + bias
             self.margin_of.update(zip(part, np.maximum(margins, bias).tolist()))
 
+    def units(self, text: str) -> set[str]:
+        words = text.split()
+        found = {*words, *spelled(text)}
+        return found | self.parts.windows(words) if self.model.parts else found
+
     def margins(self, texts: list[str]) -> np.ndarray:
         """The ``TOP`` best margins of each text's distinct units, the bias in
         place of missing ones."""
         if len(self.margin_of) > CACHE:
             self.margin_of = {}
-        cut = [{*t.split(), *spelled(t)} for t in texts]
+        cut = [self.units(t) for t in texts]
         new = {w for words in cut for w in words} - self.margin_of.keys()
         if new:
             self.learn(new)
@@ -242,82 +301,169 @@ def train(rows: list[tuple[str, int]], landmarks: int = LANDMARKS, neighbours: i
     """Fit landmarks, support vector machine and scores on labelled texts."""
     if len({y for _, y in rows}) < 2:
         return no_model()
-    once: dict[str, str] = {}       # each distinct word is held once
-    split = [([[once.setdefault(w, w) for w in s] for s in sentences(t)], y) for t, y in rows]
-    code: dict[str, bytes] = {}
-    for ss, _ in split:
-        for w in chain.from_iterable(ss):
-            if w not in code:
-                code[w] = letters(w)
-    owned = [{code[w] for s in ss for w in s if len(code[w]) > ORDER} for ss, _ in split]
     toxic = np.array([y == 1 for _, y in rows])
-    chosen = _landmarks(split, owned, code, toxic, landmarks)
+    number: dict[bytes, int] = {b"": 0}
+    code: dict[str, int] = {}
+
+    def numbered(words: list[str]) -> np.ndarray:
+        for w in words:
+            if w not in code:
+                code[w] = number.setdefault(letters(w), len(number))
+        ids = np.array([code[w] for w in words], np.int64)
+        return ids[ids != number.get(START, -1)]          # words without a letter are no units
+
+    texts = [numbered(t.split()) for t, _ in rows]
+    alone = [numbered(spelled(t)) for t, _ in rows]
+    names = list(number)
+    single = _landmarks(texts, alone, toxic, names, landmarks)
+    several = _phrases(texts, toxic, names, single, landmarks)
+    chosen = single + [joined(p) for p in several]
     if not chosen:
         return no_model()
+    long = np.array([len(u) > ORDER for u in names])
+    owned = [np.unique(np.concatenate(x)) for x in zip(texts, alone)]
+    owned = [o[long[o]] for o in owned]
     # clean units nearest to the landmarks: the machine learns to discount them
-    units = sorted(set().union(*owned))
-    near = Similarities(chosen)(units)
-    bad = Counter(u for own, y in zip(owned, toxic) if y for u in own)
-    good = Counter(u for own, y in zip(owned, toxic) if not y for u in own)
+    bad, good = (np.bincount(np.concatenate([o for o, y in zip(owned, toxic) if y == c] or [np.zeros(0, np.int64)]), minlength=len(names))
+                 for c in (True, False))
+    ids = np.flatnonzero(bad + good)
+    near = Similarities(chosen)([names[i] for i in ids])
     marks = list(chosen)
     for j in range(len(chosen)):
         order = [i for i in np.argsort(-near[:, j], kind="stable")[:200] if near[i, j] >= CLOSE]
-        clean = [units[i] for i in order if good[units[i]] > bad[units[i]] and units[i] not in marks]
+        clean = [names[ids[i]] for i in order if good[ids[i]] > bad[ids[i]] and names[ids[i]] not in marks]
         marks += clean[:max(1, neighbours // 4)]
     similar = Similarities(marks)
-    vector = {units[i + k]: v.copy() for i in range(0, len(units), BATCH)
-              for k, v in enumerate(similar(units[i:i + BATCH])) if v.any()}
-    own = [np.array([vector[u] for u in sorted(us) if u in vector], float).reshape(-1, len(marks)) for us in owned]
+    vector = {}
+    for i in range(0, len(ids), BATCH):
+        part = ids[i:i + BATCH]
+        vector.update((u, v.copy()) for u, v in zip(part.tolist(), similar([names[u] for u in part])) if v.any())
+    own = [[vector[u] for u in o.tolist() if u in vector] for o in owned]
+    if several:
+        parts = Parts(sorted({w for p in several for w in p}))
+        for (text, _), vectors in zip(rows, own):
+            found = similar([unit(w) for w in sorted(parts.windows(text.split()))])
+            vectors += list(found[found.any(1)])
+    own = [np.array(v, float).reshape(-1, len(marks)) for v in own]
     gram = similar(marks).astype(float)
     gram = np.maximum(gram, gram.T)
     value, basis = np.linalg.eigh(gram)
     root = basis @ np.diag(1 / np.sqrt(np.maximum(value, 0.1))) @ basis.T
+    least = np.array([CLOSE] * len(single) + [ALIKE] * len(several))
     x, y = [np.zeros(len(marks))], [-1.0]
     for v, label in zip(own, toxic):
         if label and len(v):
-            v = v[v[:, :len(chosen)].max(1) >= CLOSE]
+            v = v[(v[:, :len(chosen)] >= least).any(1)]
         x += list(v)
         y += [1.0 if label else -1.0] * len(v)
     w = _svm(np.array(x) @ root, np.array(y))
     weights, bias = root @ w[:-1], float(w[-1])
     best = np.array([nlargest(TOP, chain(np.maximum(v @ weights + bias, bias).tolist(), [bias] * TOP)) for v in own])
     slope, offset = _logistic(best @ TOP_WEIGHTS, toxic.astype(float))
-    return Model(marks, weights.astype(np.float32), bias, slope, offset)
-
-
-def _landmarks(split, owned, code, toxic, most: int) -> list[bytes]:
-    """Units whose neighbourhood (similarity from ``ALIKE`` on) stands in many
-    toxic and few clean texts; of units much alike, the best."""
-    pos, neg = Counter(), Counter()
-    bad = {" ".join(s) for (ss, _), t in zip(split, toxic) if t for s in ss}
-    good = {" ".join(s) for (ss, _), t in zip(split, toxic) if not t for s in ss}
-    for group, counter in ((bad - good, pos), (good, neg)):       # sentences that are repeated count once
-        for s in group:
-            counter.update({code[w] for w in s.split() if len(code[w]) > ORDER})
-    n1, n0 = max(1, len(bad - good)), max(1, len(good))
-    lift = {u: (c / n1 - neg[u] / n0) / ((c + neg[u] + 1) / (n1 + n0)) ** 0.5 for u, c in pos.items()}
-    candidates = sorted((u for u in lift if lift[u] > 0), key=lambda u: (-lift[u], u))[:CANDIDATES]
-    if not candidates:
+    return Model(marks, weights.astype(np.float32), bias, slope, offset, sorted({w for p in several for w in p}))
+
+
+def _mixed(x: np.ndarray, n: int) -> np.ndarray:
+    """64-bit hash of each ``n`` numbers in a row, 0 or more after the last."""
+    h = np.zeros(max(0, len(x) - n + 1), np.uint64)
+    for k in range(n):
+        h = (h ^ x[k:len(x) - n + 1 + k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def _support(texts: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, support, words) of the runs of ``n`` words: the number of texts that hold
+    a run, at most the number of distinct (word before, word after) it has."""
+    runs, around, seen, words = [], [], [], []
+    for t in texts:
+        h = _mixed(t, n)
+        edge = np.concatenate([[0], t, [0]])
+        runs.append(h)
+        around.append(_mixed(np.stack([h.astype(np.int64), edge[:len(h)], edge[n + 1:]], 1).reshape(-1), 3)[::3])
+        seen.append(np.unique(h))
+        words.append(np.lib.stride_tricks.sliding_window_view(t, n) if len(t) >= n else np.zeros((0, n), np.int64))
+    if not runs:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, n), np.int64)
+    runs, words = np.concatenate(runs), np.concatenate(words)
+    distinct, first = np.unique(runs, return_index=True)
+    ways = np.unique(runs[np.unique(np.concatenate(around), return_index=True)[1]], return_counts=True)[1]
+    held = np.unique(np.concatenate(seen), return_counts=True)[1]
+    return distinct, np.minimum(ways, held), words[first]
+
+
+def _evidence(bad: np.ndarray, good: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Minus the logarithm of a bound of the chance that this much or more of the
+    support is toxic (Chernoff); 0 for units that are not purely enough so."""
+    p, n = toxic.mean(), np.maximum(bad + good, 1)
+    q = bad / n
+    part = lambda a, b: np.where(a > 0, a * np.log(np.maximum(a, 1e-12) / b), 0.0)
+    pure = bad / toxic.sum() >= PURITY * good / (~toxic).sum()
+    return np.where((q > p) & pure, n * (part(q, p) + part(1 - q, 1 - p)), 0.0)
+
+
+def _landmarks(texts, alone, toxic, names: list[bytes], most: int) -> list[bytes]:
+    """Words that speak for the toxic class together with the words much like
+    them (similarity from ``ALIKE`` on); of words much alike, the best."""
+    bad, good = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+    for count, c in ((bad, True), (good, False)):
+        # a run of single letters stands for itself, whatever is around it
+        for group in ([t for t, y in zip(texts, toxic) if y == c], [np.unique(a) for a, y in zip(alone, toxic) if y == c]):
+            _, support, words = _support(group, 1)
+            count[words[:, 0]] += support
+    usable = np.array([len(u) > ORDER for u in names])
+    ids = np.flatnonzero((bad + good > 0) & usable)
+    if not len(ids):
         return []
-    units = sorted(set().union(*owned))
-    row = {u: i for i, u in enumerate(units)}
-    reach = np.zeros((len(owned), len(candidates)), bool)
-    similar = Similarities(candidates)
-    close = np.concatenate([similar(units[i:i + BATCH]) >= ALIKE for i in range(0, len(units), BATCH)])
-    for d, us in enumerate(owned):
-        if us:
-            reach[d] = close[[row[u] for u in us]].any(0)
-    share, clean = reach[toxic].mean(0), reach[~toxic].mean(0)
-    hits, n1, n0 = reach[toxic].sum(0), toxic.sum(), (~toxic).sum()
-    both = (share * n1 + clean * n0) / len(toxic)
-    z = (share - clean) / np.sqrt(both * (1 - both) * (1 / n1 + 1 / n0) + 1e-9)
-    z[(hits < max(3 if n1 >= 20 else 2, LEAST_SHARE * n1)) | (share < PURITY * clean)] = 0
+    own = _evidence(bad[ids], good[ids], toxic)
+    order = sorted((i for i in range(len(ids)) if own[i] > 0), key=lambda i: (-own[i], names[ids[i]]))[:CANDIDATES]
+    if not order:
+        return []
+    similar = Similarities([names[ids[i]] for i in order])
+    close = np.zeros((len(names), len(order)), bool)
+    for i in range(0, len(ids), BATCH):
+        close[ids[i:i + BATCH]] = similar([names[u] for u in ids[i:i + BATCH]]) >= ALIKE
+    # much alike words of one text count once
+    reach = np.array([close[np.concatenate(x)].any(0) for x in zip(texts, alone)])
+    with_bad = np.minimum(bad @ close, reach[toxic].sum(0))
+    with_good = np.minimum(good @ close, reach[~toxic].sum(0))
+    weight = _evidence(with_bad, with_good, toxic)
     chosen: list[bytes] = []
-    for j in np.argsort(-z, kind="stable"):
-        if len(chosen) == most or z[j] < 4:
+    for j in np.argsort(-weight, kind="stable"):
+        if len(chosen) == most or weight[j] <= np.log(len(ids)):
             break
-        if not chosen or Similarities(chosen)([candidates[j]]).max() < 0.8:
-            chosen.append(candidates[j])
+        u = names[ids[order[j]]]
+        if not chosen or Similarities(chosen)([u]).max() < 0.8:
+            chosen.append(u)
+    return chosen
+
+
+def _phrases(texts, toxic, names: list[bytes], single: list[bytes], most: int) -> list[list[bytes]]:
+    """Runs of two or three words that speak for the toxic class, without those
+    that hold a landmark of one word or overlap a longer or better run."""
+    near = np.zeros(len(names), bool)
+    if single:
+        similar = Similarities(single)
+        for i in range(0, len(names), BATCH):
+            near[i:i + BATCH] = (similar(names[i:i + BATCH]) >= CLOSE).any(1)
+    chosen: list[list[bytes]] = []
+    taken: set[tuple] = set()                       # pairs of words in a row of the chosen runs
+    for n in WINDOWS:
+        runs, bad, words = _support([t for t, y in zip(texts, toxic) if y], n)
+        other, support, _ = _support([t for t, y in zip(texts, toxic) if not y], n)
+        good = np.zeros(len(runs), np.int64)
+        if len(other):
+            at = np.minimum(np.searchsorted(other, runs), len(other) - 1)
+            good = np.where(other[at] == runs, support[at], 0)
+        weight = _evidence(bad, good, toxic)
+        weight[near[words].any(1)] = 0
+        found = np.flatnonzero(weight > np.log(len(runs) + 1))
+        for i in sorted(found, key=lambda i: (-weight[i], [names[w] for w in words[i]])):
+            run = tuple(words[i].tolist())
+            pairs = set(zip(run, run[1:]))
+            if len(chosen) < most and len(joined([names[w] for w in run])) > ORDER and not pairs <= taken:
+                taken |= pairs
+                chosen.append([names[w] for w in run])
     return chosen
 
 

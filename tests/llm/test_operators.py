@@ -121,6 +121,44 @@ def test_toxicity_catches_obfuscation():
     assert min(scorer([clean + " " + b + "." for b in bad])) >= 0.5
 
 
+@pytest.mark.parametrize("insults, share", [
+    (["idiot", "moron", "stupid", "worthless", "pathetic", "scumbag"], 0.09),        # each in 1.5 % of the toxic texts
+    (["go back where you came from", "waste of good air", "nobody would miss you"], 0.5),
+    (["дурак", "идиотка", "мерзавец"], 0.5),
+])
+def test_toxicity_rare_several_words_other_scripts(insults, share):
+    rng = random.Random(1)
+    words = ["".join(rng.choice("bcdfghklmnprstvw") + rng.choice("aeiou") for _ in range(rng.randrange(1, 4))) for _ in range(3000)]
+    words += 40 * sorted({w for x in insults for w in x.split()} if " " in insults[0] else [])     # ordinary words, in any order
+
+    def text(insult=None):
+        ws = [rng.choice(words) for _ in range(50)]
+        if insult:
+            ws.insert(rng.randrange(50), insult)
+        return " ".join(ws)
+
+    rows = [(text(rng.choice(insults) if rng.random() < share else None), 1) for _ in range(1200)] + [(text(), 0) for _ in range(1200)]
+    scorer = toxicity.Scorer(toxicity.train(rows))
+    bad, clean = scorer([text(rng.choice(insults)) for _ in range(150)]), scorer([text() for _ in range(150)])
+    assert np.mean(bad[:, None] > clean[None]) > 0.95 and np.mean(bad >= 0.5) > 0.95 and np.mean(clean >= 0.5) < 0.1
+
+
+def test_toxicity_copies_count_once():
+    """A passage that many toxic texts copy, or one text that repeats itself, is no evidence."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    usual = [word() for _ in range(300)]
+    passage = " ".join(word() for _ in range(40))
+    body = lambda: " ".join(rng.choice(usual) for _ in range(30))
+    rows = [(body() + (" idiot " if i % 2 else " ") + body() + " . " + passage, 1) for i in range(200)] + [(body(), 0) for _ in range(200)]
+    rows.append((" ".join(f"qwertyu {rng.choice(usual)}" for _ in range(300)), 1))
+    model = toxicity.train(rows)
+    inner = {toxicity.letters(w) for w in passage.split()[1:-1]}
+    assert toxicity.letters("idiot") in model.landmarks and not inner & set(model.landmarks)
+    assert toxicity.letters("qwertyu") not in model.landmarks
+    assert toxicity.Scorer(model)([body() + " you idiot"])[0] > toxicity.Scorer(model)([body()])[0]
+
+
 # 6 -----------------------------------------------------------------------------
 
 def char_set(line):

@@ -319,7 +319,7 @@ def test_token_output(spark, make, tmp_dir):  # noqa: F811
 # 8 -----------------------------------------------------------------------------
 
 def test_license_alignment():
-    ready = licenses.prepared(licenses.TEMPLATES)
+    ready = licenses.prepared(licenses.TEMPLATES, licenses.NOTICES)
     find = lambda t: [f[0] for f in licenses.find(t, ready)]
     filler = "Some words of prose go here and there. " * 30
     mit = licenses.TEMPLATES["MIT"]
@@ -337,6 +337,55 @@ def test_license_alignment():
     assert (name, text[start:end], cover) == ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0", 1.0)
 
 
+def test_license_siblings():
+    """A license is named right or not at all."""
+    ready = licenses.prepared(licenses.TEMPLATES, licenses.NOTICES)
+    find = lambda t: [f[0] for f in licenses.find(t, ready)]
+    filler = "Neither the first nor the second of the names may be used by all. " * 20
+    for text, names in (
+            ("Released under the BSD License.", ["BSD-notice"]), ("Released under the Zlib License.", ["Zlib-notice"]),
+            ("Released under the Foo License.", []), ("Zlib License", []),
+            ("Licensed under the GNU General Public License, version 2.", ["GPL-2.0-notice"]),
+            ("Licensed under the GNU General Public License, version 4.", []),
+            ("This work is licensed under the GNU General Public License, version 3.", ["GPL-3.0-notice"]),
+            ("Distributed under the GNU Lesser General Public License v2.1", ["LGPL-2.1-notice"]),
+            ("Licensed under the GNU Affero General Public License, version 3", ["AGPL-3.0-notice"]),
+            ("Licensed under the Apache License, Version 1.1.", ["Apache-1.1-notice"]),
+            ("Licensed under the Apache License, Version 7.0.", []),
+            ("Licensed under CC BY-ND 4.0.", ["CC-BY-ND-4.0"]), ("Licensed under CC BY 3.0", ["CC-BY-3.0"]),
+            ("Licensed under CC BY-XY 4.0.", []),
+            ("licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", ["CC-BY-SA-4.0"])):
+        assert find(text) == names and find(filler + text + " " + filler) == names, text
+    for name, text in licenses.TEMPLATES.items():
+        words = re.sub(r"[\[\]]", "", text).split()
+        for body in (" ".join(words), filler + " ".join(words) + " " + filler, " ".join(words) + "\n\n" + " ".join(words)):
+            assert set(find(body)) == {name}, name
+
+
+def plain_coverage(words, template):
+    """Longest common subsequence by the table, the most any alignment can match."""
+    row = [0] * (len(template) + 1)
+    for w in words:
+        new = [0]
+        for j, v in enumerate(template):
+            new.append(row[j] + 1 if w == v else max(new[j], row[j + 1]))
+        row = new
+    return row[-1] / len(template)
+
+
+def test_license_coverage_against_all_alignments():
+    """Edited texts: coverage never above the best alignment and near it."""
+    rng = random.Random(12)
+    ready = licenses.prepared(licenses.TEMPLATES, licenses.NOTICES)
+    for name, text in licenses.TEMPLATES.items():
+        words = re.sub(r"[\[\]]", "", text).split()
+        kept = {w.strip("[].,;") for w in re.findall(r"\[.*?\]", text) for w in w.split()}
+        edited = [w if rng.random() > 0.05 or w.strip(".,;") in kept else f"changed{rng.randrange(9)}" for w in words]
+        found = [f for f in licenses.find(" ".join(edited), ready) if f[0] == name]
+        best = plain_coverage(licenses.WORD.findall(" ".join(edited).lower()), licenses.WORD.findall(text.lower()))
+        assert len(found) == 1 and best - 0.05 <= found[0][3] <= best + 1e-9, (name, found, best)
+
+
 def test_longest_increasing_run():
     rng = random.Random(6)
     for _ in range(50):

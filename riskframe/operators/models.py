@@ -112,6 +112,8 @@ def build_model(model_type: str, params: Mapping[str, object] | None = None,
         mapped.setdefault("featureSubsetStrategy", "sqrt")
         # more tree nodes per pass over the data: fewer passes (jobs)
         mapped.setdefault("maxMemoryInMB", 1024)
+        # a row's node of every tree is kept from pass to pass, not found again from the root
+        mapped.setdefault("cacheNodeIds", True)
         return RandomForestClassifier(**common, **mapped)
     if model_type == "logistic_regression":
         c = mapped.pop("C", 1.0)

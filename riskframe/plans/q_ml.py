@@ -128,7 +128,7 @@ def variant_experiment(spark, sf):
     jobs = [(full, f_full, "full"), (reduced, f_red, "reduced")]
     # the two variants are independent distributed evaluations: run them as
     # concurrent Spark jobs
-    with ThreadPoolExecutor(max_workers=2) as pool:
+    with ThreadPoolExecutor(max_workers=TR.fits_at_once(clean.count(), 2)) as pool:
         a, b = pool.map(lambda j: TR.evaluate_variant(j[0], j[1], j[2], "random_forest",
                                                       K.FOREST_ADVANCED_LOCAL), jobs)
     return rounded(a.unionByName(b))

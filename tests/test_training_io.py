@@ -149,3 +149,22 @@ def test_log_append_is_idempotent_per_batch(spark, tmp_dir):
     assert IO.append_prediction_log(resp, path, mode="basic", batch_key="s-1")   # replay
     assert IO.append_prediction_log(resp, path, mode="basic", batch_key="s-2")
     assert IO.read_prediction_log(spark, path).count() == 4
+
+
+def test_forest_rows_are_dealt_evenly(spark):
+    """A table of one filled file among empty ones has enough partitions and no balance."""
+    from riskframe.functions.sizing import dealt
+    par = spark.sparkContext.defaultParallelism
+    rows = spark.range(0, 4000, 1, 1)
+    lopsided = rows.union(spark.range(0, 4000, 1, 2 * par).filter("id * 2 < 0"))
+    assert lopsided.rdd.getNumPartitions() > par
+    sizes = dealt(lopsided, 4000).rdd.glom().map(len).collect()
+    assert len(sizes) == par and max(sizes) - min(sizes) <= par and sum(sizes) == 4000
+    assert dealt(lopsided, 4000, part_rows=1000).rdd.getNumPartitions() % par == 0
+    model = TR.fit(lopsided.selectExpr("id", "double(id % 7) AS a", "int(id % 7 > 3) AS target"), ["a"], "random_forest",
+                   {"n_estimators": 3, "max_depth": 2, "class_weight": "balanced"})
+    assert model.getNumTrees == 3 and model.getCacheNodeIds()
+
+
+def test_large_fits_run_one_at_a_time():
+    assert [TR.fits_at_once(n, 4) for n in (0, 15_000, 250_000, 400_000, 5_400_000)] == [4, 4, 4, 2, 1]

@@ -56,11 +56,17 @@ def daily_counts_stream(log_stream: DataFrame, watermark: str = "1 day") -> Data
             .agg(F.count(F.lit(1)).alias("n")))
 
 
+def _one_file(counts: DataFrame) -> DataFrame:
+    """Counts for one file, moved by a shuffle: coalesced, all partitions of the
+    aggregation, with their state, would run inside one task."""
+    return counts.repartition(1)
+
+
 def _writer(out: str):
     def write(batch: DataFrame, batch_id: int) -> None:
         # updated groups only: at most days x modes x risk levels rows, so
         # one file per batch (no swarm of empty shuffle-partition files)
-        (batch.select(F.col("w.start").alias("window_start"), "mode", "risk_level", "n").coalesce(1)
+        (_one_file(batch.select(F.col("w.start").alias("window_start"), "mode", "risk_level", "n"))
          .write.mode("overwrite").parquet(os.path.join(out, f"batch_id={batch_id}")))
     return write
 
@@ -126,7 +132,7 @@ def _accounting_writer(out: str, delay: str):
             start = F.timestamp_seconds(F.floor(F.unix_seconds("ts") / 86400) * 86400).alias("window_start")
             folder = lambda kind: os.path.join(out, kind, f"batch_id={batch_id}")
             # days x modes x risk levels rows at most: one file per batch
-            counted.groupBy(start, "mode", "risk_level").agg(F.count(F.lit(1)).alias("n")).coalesce(1).write.mode(
+            _one_file(counted.groupBy(start, "mode", "risk_level").agg(F.count(F.lit(1)).alias("n"))).write.mode(
                 "overwrite").parquet(folder(COUNTS))
             rows.filter("reason is not null").write.mode("overwrite").parquet(folder(ASIDE))
             figures = seen.get

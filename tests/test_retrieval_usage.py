@@ -177,3 +177,27 @@ def test_partition_topk_exact_with_ties():
     for j in range(5):
         want = sorted(range(200), key=lambda i: (-s[i, j], ids[i]))[:3]
         assert list(r[q == j]) == want
+
+
+def test_usage_counts_are_not_merged_in_one_task(spark, tmp_dir):
+    """The file of a batch is written by one task, the aggregation before it is not."""
+    from riskframe.streaming import usage_stream as US
+    counts = spark.range(0, 1000, 1, 4).groupBy((F.col("id") % 7).alias("k")).count()
+    plan = US._one_file(counts)._jdf.queryExecution().executedPlan().toString()
+    assert "Coalesce" not in plan and "SinglePartition" in plan
+    seen = []
+
+    class Batch:
+        sparkSession = spark
+
+        def select(self, *cols):
+            rows = spark.range(0, 60, 1, 6).select(F.current_timestamp().alias("window_start"), F.lit("m").alias("mode"),
+                                                    F.lit("r").alias("risk_level"), F.col("id").alias("n"))
+            seen.append(rows.rdd.getNumPartitions())
+            tasks = spark.sparkContext.accumulator(0)
+            seen.append(tasks)
+            return rows.mapInArrow(lambda it: (tasks.add(1), *it)[1:], rows.schema)
+
+    US._writer(tmp_dir)(Batch(), 0)
+    assert seen[1].value == seen[0] == 6
+    assert spark.read.parquet(f"{tmp_dir}/batch_id=0").rdd.getNumPartitions() == 1

@@ -181,8 +181,11 @@ def respond_model(model, model_rows: DataFrame, features: Sequence[str],
     level from the unrounded probability."""
     from pyspark.ml.functions import vector_to_array
 
+    from ..functions.sizing import dealt
     from .models import assemble
 
+    if not model_rows.isStreaming:      # a forest costs much a row: equal parts, whatever the files
+        model_rows = dealt(model_rows, model_rows.count())
     scored = model.transform(assemble(model_rows, features, model.getFeaturesCol()))
     p = vector_to_array(F.col(model.getProbabilityCol()))[1]
     return scored.select(*[col(k) for k in keep], serve_decision(p).alias("prediction"),

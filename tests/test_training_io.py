@@ -168,3 +168,14 @@ def test_forest_rows_are_dealt_evenly(spark):
 
 def test_large_fits_run_one_at_a_time():
     assert [TR.fits_at_once(n, 4) for n in (0, 15_000, 250_000, 400_000, 5_400_000)] == [4, 4, 4, 2, 1]
+
+
+def test_forest_responses_are_made_in_equal_parts(spark):
+    from riskframe.operators import serve as SV
+    rows = spark.range(0, 800, 1, 1).selectExpr("id AS row_id", "double(id % 7) AS a", "int(id % 7 > 3) AS target")
+    model = TR.fit(rows, ["a"], "random_forest", {"n_estimators": 3, "max_depth": 2})
+    out = SV.respond_model(model, rows, ["a"])
+    sizes = out.rdd.glom().map(len).collect()
+    par = spark.sparkContext.defaultParallelism
+    assert len(sizes) == par and max(sizes) - min(sizes) <= par
+    assert {(r.row_id, r.prediction) for r in out.collect()} == {(i, int(i % 7 > 3)) for i in range(800)}

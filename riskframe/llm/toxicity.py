@@ -421,12 +421,17 @@ def _landmarks(texts, alone, toxic, names: list[bytes], most: int) -> list[bytes
         return []
     similar = Similarities([names[ids[i]] for i in order])
     close = np.zeros((len(names), len(order)), bool)
+    near_bad, near_good = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
     for i in range(0, len(ids), BATCH):
-        close[ids[i:i + BATCH]] = similar([names[u] for u in ids[i:i + BATCH]]) >= ALIKE
+        part = ids[i:i + BATCH]
+        close[part] = near = similar([names[u] for u in part]) >= ALIKE
+        # summed by parts: a product with the whole of ``close`` would make it whole numbers first
+        near_bad += bad[part] @ near
+        near_good += good[part] @ near
     # much alike words of one text count once
     reach = np.array([close[np.concatenate(x)].any(0) for x in zip(texts, alone)])
-    with_bad = np.minimum(bad @ close, reach[toxic].sum(0))
-    with_good = np.minimum(good @ close, reach[~toxic].sum(0))
+    with_bad = np.minimum(near_bad, reach[toxic].sum(0))
+    with_good = np.minimum(near_good, reach[~toxic].sum(0))
     weight = _evidence(with_bad, with_good, toxic)
     chosen: list[bytes] = []
     for j in np.argsort(-weight, kind="stable"):

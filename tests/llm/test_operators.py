@@ -4,6 +4,7 @@ the pipeline against a plain version."""
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -143,6 +144,21 @@ def test_toxicity_rare_several_words_other_scripts(insults, share):
     assert np.mean(bad[:, None] > clean[None]) > 0.95 and np.mean(bad >= 0.5) > 0.95 and np.mean(clean >= 0.5) < 0.1
 
 
+def test_toxicity_training_memory():
+    """The neighbourhoods of 300 words are counted by parts, not in a table of whole numbers."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8))
+    bad = [word() for _ in range(400)]
+    rows = [(" ".join(word() for _ in range(400)), 0) for _ in range(100)]
+    rows += [(" ".join([*rng.sample(bad, 200), *(word() for _ in range(200))]), 1) for _ in range(100)]
+    tracemalloc.start()
+    try:
+        assert toxicity.train(rows).landmarks
+        assert tracemalloc.get_traced_memory()[1] < 120 << 20
+    finally:
+        tracemalloc.stop()
+
+
 def test_toxicity_copies_count_once():
     """A passage that many toxic texts copy, or one text that repeats itself, is no evidence."""
     rng = random.Random(2)

@@ -14,6 +14,7 @@
    only tiles of equal or neighbouring bands meet, and a tile holds a bounded number of members.
    Members of the key's largest component meet only tiles of other members,
    so rows grow with the members outside it, not with the square of the group.
+   Keys of the same smallest member meet as one.
 4. Each set carries a hashed bitmap of two to four bits per shingle (a longer
    one is folded to compare it with a shorter one). |A n B| <= |A| - popcount(a & ~b), since
    each bit set in a alone stands for a shingle of A that B lacks; with the
@@ -49,7 +50,7 @@ HEAVY_MAX = 200_000        # heavy shingles kept (broadcast: 1.6 MB); order only
 KNOWN_WORDS = 150_000      # hashes a worker remembers (about 20 MB); others are computed again
 CHUNK = 2_000_000          # shingles (or prefix keys) gathered before a flush
 STAR_ROUNDS = 6
-TILE = 256
+TILE, TILE_SHINGLES = 256, 1 << 20   # texts of a tile, and the shingles they have together
 LEAST_BITS, MOST_BITS = 256, 1 << 16
 MAX_BROADCAST_NODES = 1_000_000   # ids of documents whose sets are needed: 16 MB
 
@@ -351,8 +352,91 @@ def _open(keys: DataFrame, labels: DataFrame) -> DataFrame:
     return stored(rows.join(mixed, "key", "left_semi"), "jaccard-open")
 
 
-def tiled_pairs(open_rows: DataFrame, light: DataFrame) -> DataFrame:
-    """Pairs of open members that pass the bounds, found in size-banded tiles."""
+def united(open_rows: DataFrame) -> DataFrame:
+    """Rows (key, node, component) in which keys of the same smallest member are
+    one: near copies share many keys of nearly the same members, and would meet under each."""
+    least = open_rows.groupBy(F.col("key").alias("_k")).agg(F.min("node").alias("least"))
+    return stored(open_rows.join(least, F.col("key") == F.col("_k")).select(
+        F.col("least").alias("key"), "node", "component").distinct(), "jaccard-united")
+
+
+MEETING = ["key", "band", "i", "up", "j"]
+
+
+def _by_meeting(batches, each):
+    """What ``each`` makes of the whole table of every meeting, of sorted batches."""
+    held = None
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+        if held is None or not held.num_rows:
+            continue
+        new = np.zeros(held.num_rows - 1, bool)
+        for c in MEETING:
+            v = held.column(c).to_numpy()
+            new |= v[1:] != v[:-1]
+        starts = np.append(0, np.flatnonzero(new) + 1)
+        ends = np.append(starts[1:], held.num_rows)
+        whole = len(starts) if batch is None else len(starts) - 1      # the last meeting may go on
+        for s, e in zip(starts[:whole], ends):
+            if e - s > 1:
+                yield from each(held.slice(s, e - s)).to_batches()
+        held = held.slice(starts[-1]) if batch is not None else None
+
+
+def _candidates(group: pa.Table):
+    """(x, rows y) of a meeting: pairs of different components that pass the bounds."""
+    up, i, j = (group.column(c)[0].as_py() for c in ("up", "i", "j"))
+    comp, n = (group.column(c).to_numpy() for c in ("component", "n"))
+    band, tile = group.column("own").to_numpy() - group.column("band")[0].as_py(), group.column("own_tile").to_numpy()
+    left, right = np.flatnonzero((band == 0) & (tile == i)), np.flatnonzero((band == up) & (tile == j))
+    if not len(left) or not len(right) or comp.min() == comp.max():
+        return
+    raw = group.column("bits").to_pylist()
+    bits = _folded(raw, min(map(len, raw)))
+    for x in left:
+        y = right[right > x] if not up and i == j else right
+        y = y[comp[y] != comp[x]]
+        y = y[DENOMINATOR * np.minimum(n[y], n[x]) >= NUMERATOR * np.maximum(n[y], n[x])]
+        y = y[_may_link(n[x], n[y], _bound(n[x], n[y], bits[x], bits[y]))] if len(y) else y
+        if len(y):
+            yield x, y
+
+
+def _promising(group: pa.Table) -> pa.Table:
+    """The members that some other may link with."""
+    held = np.zeros(group.num_rows, bool)
+    for x, y in _candidates(group):
+        held[x] = True
+        held[y] = True
+    return group.filter(pa.array(held))
+
+
+def _joined(group: pa.Table) -> pa.Table:
+    """Links (a, b) of a meeting by exact intersection; of members that its links
+    already join, no further one."""
+    names, comp = (group.column(c).to_numpy() for c in ("node", "component"))
+    sets = [np.frombuffer(x.as_buffer(), "<u8") for x in group.column("shingles")]
+    parent = np.unique(comp, return_inverse=True)[1]      # of each row, the number of its class
+    found = []
+    for x, near in _candidates(group):
+        for y in near:
+            if parent[x] == parent[y]:
+                continue
+            u, v = sets[x], sets[y]
+            common = int((v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u).sum())
+            if _may_link(len(u), len(v), common):
+                parent[parent == parent[y]] = parent[x]
+                found.append(sorted((int(names[x]), int(names[y]))))
+    return pa.table({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
+
+
+def tiled_links(docs: DataFrame, open_rows: DataFrame, light: DataFrame) -> DataFrame:
+    """Stored links (a, b) between the components of open members, found in size-banded
+    tiles: bit counts first name the members that may link, then their sets
+    meet. Rows grow with the members of meetings, not with pairs."""
+    open_rows = united(open_rows)
     # sizes in ratio t or more are in equal or neighbouring bands
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(DENOMINATOR / NUMERATOR))) + 1e-9).cast("int")
     rows = open_rows.join(light.select(F.col("node").alias("_n"), "n", "bits"), F.col("node") == F.col("_n")).drop("_n")
@@ -362,8 +446,9 @@ def tiled_pairs(open_rows: DataFrame, light: DataFrame) -> DataFrame:
         F.max_by("component", F.struct("c", "component")).alias("main"))
     rows = rows.join(main, F.col("key") == F.col("_m")).withColumn("is_main", F.col("component") == F.col("main")).drop("_m", "main")
     rows = stored(rows.withColumn("band", band), "jaccard-tiles")
-    count = rows.groupBy("key", "band").agg(F.ceil(F.count_if(~F.col("is_main")) / TILE).cast("int").alias("others"),
-                                            F.ceil(F.count_if("is_main") / TILE).cast("int").alias("mains"))
+    members = F.greatest(F.lit(4), F.least(F.lit(TILE), F.floor(TILE_SHINGLES / F.pow(F.lit(DENOMINATOR / NUMERATOR), F.col("band") + 1))))
+    count = rows.groupBy("key", "band").agg(F.count_if(~F.col("is_main")).alias("others"), F.count_if("is_main").alias("mains")).select(
+        "key", "band", *[F.ceil(F.col(c) / members).cast("int").alias(c) for c in ("others", "mains")])
     count = count.select("key", "band", "others", (F.col("others") + F.col("mains")).alias("tiles"))
     upper = count.select(F.col("key").alias("_k"), (F.col("band") - 1).alias("_b"),
                          F.col("tiles").alias("tiles_up"), F.col("others").alias("others_up"))
@@ -393,50 +478,13 @@ def tiled_pairs(open_rows: DataFrame, light: DataFrame) -> DataFrame:
     rows = rows.select("key", "node", "component", "n", "bits", F.col("band").alias("own"), F.col("tile").alias("own_tile"),
                        F.explode(F.concat(own, above, below)).alias("m"))
 
-    order = ["key", "band", "i", "up", "j"]
-
-    def pairs_of(group: pa.Table):
-        up, i, j = (group.column(c)[0].as_py() for c in ("up", "i", "j"))
-        names, comp, n = (group.column(c).to_numpy() for c in ("node", "component", "n"))
-        band, tile = group.column("own").to_numpy() - group.column("band")[0].as_py(), group.column("own_tile").to_numpy()
-        left, right = np.flatnonzero((band == 0) & (tile == i)), np.flatnonzero((band == up) & (tile == j))
-        if not len(left) or not len(right) or comp.min() == comp.max():
-            return
-        raw = group.column("bits").to_pylist()
-        bits = _folded(raw, min(map(len, raw)))
-        for x in left:
-            y = right[right > x] if not up and i == j else right
-            y = y[comp[y] != comp[x]]
-            y = y[DENOMINATOR * np.minimum(n[y], n[x]) >= NUMERATOR * np.maximum(n[y], n[x])]
-            y = y[_may_link(n[x], n[y], _bound(n[x], n[y], bits[x], bits[y]))] if len(y) else y
-            if len(y):
-                yield np.full(len(y), names[x]), names[y]
-
-    def meet(batches):
-        held = None
-        for batch in chain(batches, [None]):
-            if batch is not None:
-                table = pa.Table.from_batches([batch])
-                held = table if held is None else pa.concat_tables([held, table]).combine_chunks()
-            if held is None or not held.num_rows:
-                continue
-            new = np.zeros(held.num_rows - 1, bool)
-            for c in order:
-                v = held.column(c).to_numpy()
-                new |= v[1:] != v[:-1]
-            starts = np.append(0, np.flatnonzero(new) + 1)
-            ends = np.append(starts[1:], held.num_rows)
-            whole = len(starts) if batch is None else len(starts) - 1      # the last group may go on
-            found = [p for s, e in zip(starts[:whole], ends) if e - s > 1 for p in pairs_of(held.slice(s, e - s))]
-            held = held.slice(starts[-1]) if batch is not None else None
-            if found:
-                a, b = (np.concatenate(v) for v in zip(*found))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
     met = rows.select("key", "node", "component", "n", "bits", "own", "own_tile", "m.band", "m.i", "m.up", "m.j")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = met.repartition(parts, *order).sortWithinPartitions(*order).mapInArrow(meet, "a bigint, b bigint")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    dealt = lambda df: df.repartition(parts, *MEETING).sortWithinPartitions(*MEETING)
+    met = stored(dealt(met).mapInArrow(lambda batches: _by_meeting(batches, _promising), met.schema), "jaccard-promising")
+    sets = shingle_sets(docs, light, met.select("node").distinct())
+    whole = dealt(met.join(sets.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n")).drop("_n"))
+    return stored(whole.mapInArrow(lambda batches: _by_meeting(batches, _joined), "a bigint, b bigint").distinct(), "jaccard-tile-links")
 
 
 def link(docs: DataFrame) -> DataFrame:
@@ -449,10 +497,9 @@ def link(docs: DataFrame) -> DataFrame:
         if round_ < STAR_ROUNDS:
             lead = open_rows.groupBy(F.col("key").alias("_k")).agg(F.min("node").alias("lead"), F.min_by("component", "node").alias("lead_c"))
             members = open_rows.join(lead, F.col("key") == F.col("_k")).filter("component <> lead_c")
-            pairs = members.select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+            found = verified(docs, members.select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), light)
         else:
-            pairs = tiled_pairs(open_rows, light)
-        found = verified(docs, pairs, light)
+            found = tiled_links(docs, open_rows, light)
         links = found if links is None else links.union(found)
         labels = components(links)
         if round_ < STAR_ROUNDS:

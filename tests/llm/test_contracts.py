@@ -198,6 +198,18 @@ def test_jaccard_chains_and_passages(make):
     check_join(make([(1000 - i, " ".join(t)) for i, t in enumerate(rows)]))
 
 
+def test_jaccard_tiles_link_once(make, monkeypatch):
+    """Of a group of near copies the tiles give links that join it, not all its pairs."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(w if j != i + 20 else f"x{rng.random()}" for j, w in enumerate(words))) for i in range(60)]
+    seen, plain = [], jaccard.components
+    monkeypatch.setattr(jaccard, "STAR_ROUNDS", 0)
+    monkeypatch.setattr(jaccard, "components", lambda links: seen.append(links.count()) or plain(links))
+    assert {r["component_id"] for r in jaccard.link(make(rows)).collect()} == {0}
+    assert 59 <= max(seen) <= 5 * 60
+
+
 def test_jaccard_tiles(make, monkeypatch):
     """Without leader rounds the tiles alone find every link."""
     monkeypatch.setattr(jaccard, "STAR_ROUNDS", 0)

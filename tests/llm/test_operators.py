@@ -218,6 +218,27 @@ def check_lines(make, texts):
     return len(set(roots)), len(found)
 
 
+def test_line_tiles_carry_no_hashes(spark, monkeypatch):
+    """Where tiles meet, the lines travel: an array of hashes takes eight times their room."""
+    plans, keep = [], lines.stored
+
+    def stored(df, name):
+        if name == "line-tile-links":
+            plans.append(df._jdf.queryExecution().explainString(
+                df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")))
+        return keep(df, name)
+
+    monkeypatch.setattr(lines, "stored", stored)
+    passage = " ".join(f"common{i}" for i in range(30))
+    texts = [(i, 7, i, f"{passage} own{i % 5} {i * 7919} {i * 104729}") for i in range(12)]
+    texts = spark.createDataFrame(texts, "key bigint, c bigint, node bigint, line string")
+    rows = texts.select("key", "node", F.col("node").alias("component")).withColumn("key", F.lit(7).cast("bigint"))
+    texts = texts.select("node", F.size(lines.shingles(F.col("line"))).alias("n"), "line")
+    assert lines._tile_links(rows, texts).count()
+    sent = re.findall(r"\(\d+\) (?:Broadcast)?Exchange\nInput \[\d+\]: \[(.*)\]", plans[0])
+    assert sent and not any("hashes" in columns for columns in sent)
+
+
 def test_line_long_words(make):
     """Every character counts, also past the twelfth of a word."""
     rng = random.Random(4)

@@ -48,7 +48,8 @@ NUMERATOR, DENOMINATOR = 75, 100
 HEAVY_LOCAL = 3            # distinct texts of one chunk that share a shingle
 HEAVY_MAX = 200_000        # heavy shingles kept (broadcast: 1.6 MB); order only, never drops
 KNOWN_WORDS = 150_000      # hashes a worker remembers (about 20 MB); others are computed again
-CHUNK = 2_000_000          # shingles (or prefix keys) gathered before a flush
+CHUNK = 2_000_000          # shingles gathered before a flush
+KEYS = 250_000             # prefix keys gathered before a flush: some 20 MB while they are sorted and packed
 STAR_ROUNDS = 6
 TILE, TILE_SHINGLES = 256, 1 << 20   # texts of a tile, and the shingles they have together
 LEAST_BITS, MOST_BITS = 256, 1 << 16
@@ -222,7 +223,7 @@ def shared_keys(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
             keys.append(p)
             nodes.append(node)
             size += len(p)
-            if size >= CHUNK // 2:
+            if size >= KEYS:
                 yield from flush()
                 keys, nodes, size = [], [], 0
         if keys:

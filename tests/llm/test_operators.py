@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,6 +176,39 @@ def test_toxicity_copies_count_once():
     assert toxicity.Scorer(model)([body() + " you idiot"])[0] > toxicity.Scorer(model)([body()])[0]
 
 
+def test_jaccard_keys_in_bounded_memory(monkeypatch):
+    """The keys of a task are packed a few hundred thousand at a time."""
+    class Plain:
+        """Takes the functions given to ``mapInArrow``."""
+        def __init__(self):
+            self.given, self.sparkSession, self.conf = [], self, self
+
+        def get(self, name):
+            return "8"
+
+        def select(self, *columns):
+            return self
+
+        repartition = select
+
+        def mapInArrow(self, run, schema):
+            self.given.append(run)
+            return self
+
+    monkeypatch.setattr(jaccard, "stored", lambda df, name: df)
+    docs = Plain()
+    jaccard.shared_keys(docs, np.empty(0, np.uint64))
+    batch = lambda i: pa.record_batch([pa.array([" ".join(f"w{j}" for j in range(i * 9000, i * 9000 + 8000))])], ["text"])
+    tracemalloc.start()
+    try:
+        rows = sum(len(p) // 16 for out in docs.given[0](batch(i) for i in range(400)) for p in out.column(2).to_pylist())
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows > 790_000
+    assert peak < 90 << 20, peak
+
+
 # 6 -----------------------------------------------------------------------------
 
 def char_set(line):

@@ -273,6 +273,18 @@ def test_line_tiles_carry_no_hashes(spark, monkeypatch):
     assert sent and not any("hashes" in columns for columns in sent)
 
 
+def test_line_shingles_in_one_pass(spark):
+    """Shingles are cut by one pass over the line, also where characters take two units or the line is short."""
+    texts = ["x", "", "elevenchars", "twelve chars", "𝒳a𝒳b𝒳c𝒳d𝒳e𝒳f𝒳g𝒳", "straße 東京 " * 9, "a" * 500, " ".join(f"w{i}" for i in range(3000))]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "id int, line string")
+    cut = df.select("id", "line", lines.shingles(F.col("line")).alias("got"))
+    wanted = spark.createDataFrame([(i, g) for i, x in enumerate(texts) for g in char_set(x)], "id int, gram string").groupBy("id").agg(
+        F.collect_set(F.xxhash64("gram")).alias("wanted"))
+    rows = cut.join(wanted, "id").select(F.sort_array("got") == F.sort_array("wanted")).collect()
+    assert [r[0] for r in rows] == [True] * len(texts)
+    assert "sequence(" not in cut._jdf.queryExecution().optimizedPlan().toString()     # no position is looked up by itself
+
+
 def test_line_long_words(make):
     """Every character counts, also past the twelfth of a word."""
     rng = random.Random(4)

@@ -179,3 +179,32 @@ def test_forest_responses_are_made_in_equal_parts(spark):
     par = spark.sparkContext.defaultParallelism
     assert len(sizes) == par and max(sizes) - min(sizes) <= par
     assert {(r.row_id, r.prediction) for r in out.collect()} == {(i, int(i % 7 > 3)) for i in range(800)}
+
+
+def test_forest_learner_counts_every_row(spark):
+    """Nodes of the level-wise learner: bagged counts add up, class weights are in the
+    statistics, and a value of a few rows among many is a candidate split."""
+    rows = spark.range(0, 60_000, 1, 5).selectExpr("id", "double(id % 97) AS a", "double(id % 20000 = 7) AS b", "double(id % 1009) / 3 AS c",
+                                                   "int(id % 20000 = 7 OR id % 97 > 60) AS target")
+    model = TR.fit(rows, ["a", "b", "c"], "random_forest", {"n_estimators": 12, "max_depth": 4, "class_weight": "balanced"})
+    same = TR.fit(rows, ["a", "b", "c"], "random_forest", {"n_estimators": 12, "max_depth": 4, "class_weight": "balanced"})
+    assert model.toDebugString.split("\n")[1:] == same.toDebugString.split("\n")[1:] and model.getNumTrees == 12
+    path = TR.FR.shared_folder(spark, "model")
+    IO.save_model(model, path)
+    nodes = {}
+    for r in spark.read.parquet(path + "/data").collect():
+        nodes[r.treeID, r.nodeData.id] = r.nodeData
+    bags = [n.rawCount for (_, i), n in nodes.items() if i == 0]
+    assert len(bags) == 12 and len(set(bags)) > 1 and all(abs(n - 60_000) < 6 * 245 for n in bags)
+    ones = rows.filter("target = 1").count()
+    weight = [60_000 / (2 * (60_000 - ones)), 60_000 / (2 * ones)]
+    for (tree, i), n in nodes.items():
+        assert abs(sum(s / w for s, w in zip(n.impurityStats, weight)) - n.rawCount) < 1e-3
+        if n.leftChild >= 0:
+            sides = [nodes[tree, n.leftChild], nodes[tree, n.rightChild]]
+            assert sum(s.rawCount for s in sides) == n.rawCount and min(s.rawCount for s in sides) > 0 and n.gain > 0
+    assert {n.split.leftCategoriesOrThreshold[0] for n in nodes.values() if n.split.featureIndex == 1} == {0.5}
+    scored = TR.predict(model, rows, ["a", "b", "c"], keep=["target"])
+    assert scored.filter("prediction = target").count() > 59_900
+    one_class = TR.fit(rows.withColumn("target", F.lit(0)), ["a", "b"], "random_forest", {"n_estimators": 2, "max_depth": 3})
+    assert TR.predict(one_class, rows, ["a", "b"]).filter("probability <> 0").count() == 0

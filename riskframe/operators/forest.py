@@ -319,3 +319,76 @@ def fit_forest(est, df: DataFrame, features: Sequence[str], label: str, balanced
     blocks = _blocks(data.repartition(parts), names, cuts)
     trees = _grow(blocks, shares, n_trees, est.getMaxDepth(), len(features), classes, class_weight, seed)
     return _model(df.sparkSession, est, _node_table(trees, cuts, class_weight), n_trees, len(features), classes)
+
+
+def is_forest(model) -> bool:
+    from pyspark.ml.classification import RandomForestClassificationModel
+    return isinstance(model, RandomForestClassificationModel) and model.numClasses == 2
+
+
+def _read(model, spark) -> tuple[list[np.ndarray], list[tuple]]:
+    """The thresholds of every feature, and per tree its depth, node arrays (feature,
+    place of the threshold, left and right child; a leaf is its own child) and votes."""
+    path = shared_folder(spark, "forest")
+    model.write().save(path)
+    split = "nodeData.split"
+    t = spark.read.parquet(f"{path}/data").select(
+        "treeID", "nodeData.id", F.col("nodeData.leftChild").alias("left"), F.col("nodeData.rightChild").alias("right"),
+        F.col(f"{split}.featureIndex").alias("feature"), F.get(f"{split}.leftCategoriesOrThreshold", F.lit(0)).alias("cut"),
+        F.col("nodeData.impurityStats")[0].alias("n0"), F.col("nodeData.impurityStats")[1].alias("n1")).toPandas().sort_values(["treeID", "id"])
+    inner = t[t["left"] >= 0]
+    cuts = [np.unique(inner["cut"][inner["feature"] == j].to_numpy()) for j in range(model.numFeatures)]
+    trees = []
+    for _, rows in t.groupby("treeID", sort=True):
+        leaf, number = (rows["left"] < 0).to_numpy(), np.arange(len(rows))
+        feature = np.where(leaf, 0, rows["feature"].to_numpy()).astype(np.int64)
+        cut = np.array([0 if end else np.searchsorted(cuts[f], c) for end, f, c in zip(leaf, feature, rows["cut"])], np.int64)
+        left, right = (np.where(leaf, number, rows[side].to_numpy()).astype(np.int64) for side in ("left", "right"))
+        depth, open_ = 0, np.zeros(1, np.int64)
+        while not leaf[open_].all():
+            open_ = np.concatenate([left[open_[~leaf[open_]]], right[open_[~leaf[open_]]]])
+            depth += 1
+        n0, n1 = rows["n0"].to_numpy(), rows["n1"].to_numpy()
+        total = np.where(n0 + n1 > 0, n0 + n1, 1)
+        trees.append((depth, feature, cut, np.column_stack([left, right]).ravel(), n0 / total, n1 / total))
+    return cuts, trees
+
+
+def variant_scores(model, perm: DataFrame, features: Sequence[str], label: str) -> DataFrame:
+    """Rows (repeat, label, _j, _score) of ``perm`` (repeat, label, _score, the features and
+    the donors' ``_d_0``, ...): the row's probability with feature j from its donor. A
+    variant whose value lies between the same thresholds as the row's own takes
+    the row's ``_score``; the votes of the others are added tree by tree, as Spark does."""
+    cuts, trees = _read(model, perm.sparkSession)
+    n_features = len(features)
+    rows = perm.select(col("repeat").cast("int"), col(label).cast("int"), "_score", *[col(f).cast("double").alias(f"f{j}") for j, f in enumerate(features)],
+                       *[F.col(f"_d_{j}").cast("double").alias(f"d{j}") for j in range(n_features)])
+
+    def probability(x: np.ndarray) -> np.ndarray:
+        n = x.shape[1]
+        flat, row = x.ravel(), np.arange(n)
+        votes = np.zeros((2, n))
+        for depth, feature, cut, child, v0, v1 in trees:
+            node, start = np.zeros(n, np.int64), feature * n
+            for _ in range(depth):
+                node = child.take(2 * node + (flat.take(start.take(node) + row) > cut.take(node)))
+            votes[0] += v0.take(node)
+            votes[1] += v1.take(node)
+        return votes[1] / (votes[0] + votes[1])
+
+    def run(batches):
+        for batch in batches:
+            values = [batch.column(3 + j).to_numpy() for j in range(2 * n_features)]
+            x, d = (np.stack([np.searchsorted(cuts[j], values[at + j], "left").astype(np.int32) for j in range(n_features)])
+                    for at in (0, n_features))
+            for j in range(n_features):
+                score = batch.column(2).to_numpy().copy()
+                new = np.flatnonzero(x[j] != d[j])
+                if len(new):
+                    variant = x[:, new]
+                    variant[j] = d[j, new]
+                    score[new] = probability(variant)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.full(len(score), j, np.int32)),
+                                                  pa.array(score)], ["repeat", "label", "_j", "_score"])
+
+    return rows.mapInArrow(run, "repeat int, label int, _j int, _score double").withColumnRenamed("label", label)

@@ -208,3 +208,25 @@ def test_forest_learner_counts_every_row(spark):
     assert scored.filter("prediction = target").count() > 59_900
     one_class = TR.fit(rows.withColumn("target", F.lit(0)), ["a", "b"], "random_forest", {"n_estimators": 2, "max_depth": 3})
     assert TR.predict(one_class, rows, ["a", "b"]).filter("probability <> 0").count() == 0
+
+
+def test_permuted_forest_is_scored_like_its_model(spark, monkeypatch):
+    """Importances by the forest's own arrays against those by its ``transform``, and which rows go through it."""
+    rows = spark.range(400).selectExpr("id", "double(id % 2) AS a", "double((id * 7919) % 101) AS b", "1.0D AS const",
+                                       "int((id % 2) + ((id * 7919) % 101) / 50 >= 1.5) AS target")
+    model = TR.fit(rows, ["a", "b", "const"], "random_forest", {"n_estimators": 25, "max_depth": 4})
+    scored, keep = [], TR.predict
+
+    def predict(model, df, features, **k):
+        scored.append(df.count())
+        return keep(model, df, features, **k)
+
+    monkeypatch.setattr(TR, "predict", predict)
+    own = TR.permutation_importance(model, rows, ["a", "b", "const"], repeats=4, key="id").collect()
+    assert scored == [400]                         # no variant is made for ``transform``
+    monkeypatch.setattr(TR.FR, "is_forest", lambda model: False)
+    wanted = {r.feature: (r.importance_mean, r.importance_std) for r in
+              TR.permutation_importance(model, rows, ["a", "b", "const"], repeats=4, key="id").collect()}
+    assert scored == [400, 400, 4 * 400 * 3]
+    assert {r.feature: (r.importance_mean, r.importance_std) for r in own} == wanted
+    assert wanted["a"][0] > 0.01 and wanted["const"][0] == 0

@@ -34,6 +34,7 @@ from ..functions.sizing import PART_ROWS
 from ..session import materialize, shared_folder
 
 BINS = 32                  # Spark's default for maxBins
+LARGE_ROWS = 50_000        # up to so many Spark's own learner, whose passes cost less to start
 BLOCK_ROWS = 1 << 15
 TASKS = 3                  # a core's tasks of a pass, at least: one waits less for the last
 ACCURACY = 10_000          # of the quantiles that cut a feature of many values
